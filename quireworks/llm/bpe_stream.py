@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 _SPACE = "\t-\r \x85\xa0  -     　"
 _TOKEN = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[\p{{L}}]+|[\p{{N}}]|[^{_SPACE}\p{{L}}\p{{N}}]+")
 END = "</w>"
-CACHE_WORDS, CACHE_LENGTH = 600_000, 40
+CACHE_WORDS, CACHE_LENGTH = 150_000, 40
 
 
 def byte_symbols() -> list[str]:
@@ -100,7 +100,7 @@ class Merges:
     def stable(self, a: int, b: int) -> bool:
         found = self._stable.get((a, b))
         if found is None:
-            if len(self._stable) > 500_000:
+            if len(self._stable) > 200_000:
                 self._stable.clear()
             found = self._stable[a, b] = not self._crosses(a, b, float("inf"))
         return found
