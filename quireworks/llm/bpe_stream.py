@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 _SPACE = "\t-\r \x85\xa0  -     　"
 _TOKEN = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[\p{{L}}]+|[\p{{N}}]|[^{_SPACE}\p{{L}}\p{{N}}]+")
 END = "</w>"
-CACHE_WORDS, CACHE_LENGTH = 150_000, 40
+CACHE_WORDS, CACHE_LENGTH = 400_000, 40
 
 
 def byte_symbols() -> list[str]:
@@ -51,12 +51,13 @@ class Merges:
         self.first_rank = len(names)
         self.number = {t: i for i, t in enumerate(names)}
         self.parts: list[tuple[int, int] | None] = [None] * len(names)
-        self.pair: dict[tuple[int, int], int] = {}
+        self.wide = len(names) + len(merges)  # a pair (a, b) is the number a * wide + b
+        self.pair: dict[int, int] = {}
         for a, b in merges:
             if a + b in self.number or a not in self.number or b not in self.number:
                 raise ValueError(f"the merges aren't proper: {a} {b}")
             pair = self.number[a], self.number[b]
-            self.pair[pair] = self.number[a + b] = len(self.parts)
+            self.pair[pair[0] * self.wide + pair[1]] = self.number[a + b] = len(self.parts)
             self.parts.append(pair)
         self.names = list(self.number)
         self.ids = [vocabulary[t] for t in self.names]
@@ -70,47 +71,48 @@ class Merges:
         self.specials = specials
         self._right: dict[int, list] = {}
         self._left: dict[int, list] = {}
-        self._stable: dict[tuple[int, int], bool] = {}
-        self._whole: dict[int, bool] = {}
+        self._stable: dict[int, bool] = {}
+        #: tokens that their own symbols encode to; only these can come out
+        self.usable: dict[str, int] = {}
+        whole = []
+        for i, p in enumerate(self.parts):
+            whole.append(p is None or whole[p[0]] and whole[p[1]] and not self._crosses(p[0], p[1], i))
+            if whole[-1]:
+                self.usable[self.names[i]] = i
+        self._right.clear()
+        self._left.clear()
 
     def _edge(self, token: int, side: int, kept: dict) -> list[tuple[int, float]]:
         """The tokens that stood at a token's border while it grew, with the rank of the merge that ended each."""
-        if token not in kept:
-            spine, ends = [], float("inf")
-            at: int | None = token
-            while at is not None:
-                spine.append((at, ends))
-                ends = at
-                at = self.parts[at][side] if self.parts[at] else None
-            kept[token] = spine
-        return kept[token]
+        spine, ends = [], float("inf")
+        at: int | None = token
+        while at is not None:
+            spine.append((at, ends))
+            ends = at
+            at = self.parts[at][side] if self.parts[at] else None
+        kept[token] = spine
+        return spine
 
     def _crosses(self, a: int, b: int, before: float) -> bool:
         """Whether a merge over the border of a and b comes before those that made a and b, and before ``before``."""
-        pair = self.pair
-        left = self._edge(b, 0, self._left)
-        for x, x_ends in self._edge(a, 1, self._right):
+        get, wide = self.pair.get, self.wide
+        left = self._left.get(b) or self._edge(b, 0, self._left)
+        for x, x_ends in self._right.get(a) or self._edge(a, 1, self._right):
+            row = x * wide
             for y, y_ends in left:
-                m = pair.get((x, y))
+                m = get(row + y)
                 # of equal merges the left one is first
                 if m is not None and m < x_ends and m <= y_ends and m < before:
                     return True
         return False
 
     def stable(self, a: int, b: int) -> bool:
-        found = self._stable.get((a, b))
+        pair = a * self.wide + b
+        found = self._stable.get(pair)
         if found is None:
             if len(self._stable) > 200_000:
                 self._stable.clear()
-            found = self._stable[a, b] = not self._crosses(a, b, float("inf"))
-        return found
-
-    def whole(self, token: int) -> bool:
-        """Whether the token's own symbols encode to it."""
-        found = self._whole.get(token)
-        if found is None:
-            p = self.parts[token]
-            found = self._whole[token] = p is None or self.whole(p[0]) and self.whole(p[1]) and not self._crosses(p[0], p[1], token)
+            found = self._stable[pair] = not self._crosses(a, b, float("inf"))
         return found
 
     @lru_cache(maxsize=1)  # noqa: B019
@@ -169,7 +171,7 @@ class Transducer:
         """Takes a symbol; returns the tokens that have become certain."""
         self.text.append(symbol)
         m, n = self.m, len(self.text)
-        number, last, stable = m.number, self.last, m.stable
+        number, last, stable = m.usable, self.last, m.stable
         name = ""
         for k in range(1, min(m.longest, n) + 1):
             name = self.text[n - k] + name
@@ -177,7 +179,7 @@ class Transducer:
             if token is None:
                 continue
             prior = last[n - k - 1] if n > k else self.before
-            if m.whole(token) and (prior is None or stable(prior, token)):
+            if prior is None or stable(prior, token):
                 last.append(token)
                 break
         else:
@@ -200,16 +202,21 @@ class Transducer:
     def run(self, letters: str) -> list[int]:
         """The tokens of a short word at once; ``letters`` are its symbols without the mark of the end."""
         m, last, n = self.m, [], len(letters)
-        number, stable, whole, ending = m.number, m.stable, m.whole, m.ending
+        number, known, wide, ending = m.usable.get, m._stable.get, m.wide, m.ending
         for i in range(1, n + 1):
             mark = END if i == n else ""
             for j in range(i - 1, -1, -1):
                 name = letters[j:i] + mark
-                token = number.get(name)
-                if token is not None and whole(token) and (j == 0 or stable(last[j - 1], token)):
-                    last.append(token)
-                    break
-                if name not in ending:
+                token = number(name)
+                if token is not None:
+                    if j == 0:
+                        last.append(token)
+                        break
+                    fits = known(last[j - 1] * wide + token)
+                    if fits or fits is None and m.stable(last[j - 1], token):
+                        last.append(token)
+                        break
+                elif name not in ending:
                     break
             if len(last) < i:
                 raise ValueError(f"{letters[i - 1]!r} isn't in the vocabulary")
@@ -252,36 +259,35 @@ class Codec:
         self.special = regex.compile("(" + "|".join(map(regex.escape, specials)) + ")") if specials else None
         self.names = {i: t for t, i in (model["vocab"] | specials).items()}
         self.transducer = Transducer(self.merges)
-        self.cache: dict[str, tuple[bytes, str]] = {}
+        self.cache: dict[str, bytes] = {}
 
-    def _stream(self, word: str) -> Iterator[int]:
+    def _stream(self, word: str) -> list[int]:
         data = word.encode()
         if len(data) <= 64:
-            yield from self.transducer.run("".join([self.symbols[b] for b in data]))
-            return
+            return self.transducer.run("".join([self.symbols[b] for b in data]))
+        out = []
         for b in data[:-1]:
-            yield from self.transducer.push(self.symbols[b])
-        yield from self.transducer.push(self.symbols[data[-1]] + END)
-        yield from self.transducer.finish()
+            out += self.transducer.push(self.symbols[b])
+        return out + self.transducer.push(self.symbols[data[-1]] + END) + self.transducer.finish()
 
-    def word(self, word: str) -> tuple[bytes, str]:
-        """Ids as bytes, and the tokens' names as decoded."""
+    def word(self, word: str) -> bytes:
+        """A word's ids as bytes."""
         found = self.cache.get(word)
         if found is None:
-            tokens = list(self._stream(word))
-            found = array("I", [self.merges.ids[t] for t in tokens]).tobytes(), " ".join([self.merges.names[t] for t in tokens])
+            ids = self.merges.ids
+            found = array("I", [ids[t] for t in self._stream(word)]).tobytes()
             if len(word) <= CACHE_LENGTH:
                 if len(self.cache) >= CACHE_WORDS:
                     self.cache.clear()
                 self.cache[word] = found
         return found
 
-    def pieces(self, text: str) -> Iterator[tuple[bytes, str]]:
-        """An entry for each word or special token."""
+    def pieces(self, text: str) -> Iterator[bytes]:
+        """The ids of each word or special token."""
         parts = self.special.split(text) if self.special and "<" in text else [text]
         for part in parts:
             if part in self.merges.specials:
-                yield array("I", [self.merges.specials[part]]).tobytes(), part
+                yield array("I", [self.merges.specials[part]]).tobytes()
                 continue
             if not unicodedata.is_normalized("NFC", part):
                 part = unicodedata.normalize("NFC", part)
@@ -292,11 +298,12 @@ class Codec:
 
     def encode(self, text: str | None) -> bytes:
         """Ids as little-endian unsigned 32-bit numbers."""
-        return b"".join([a for a, _ in self.pieces(text or "")])
+        return b"".join(self.pieces(text or ""))
 
     def both(self, text: str | None) -> tuple[bytes, str]:
-        found = list(self.pieces(text or ""))
-        return b"".join([a for a, _ in found]), " ".join([b for _, b in found])
+        """Ids, and the text that they decode to."""
+        ids = self.encode(text)
+        return ids, " ".join(map(self.names.__getitem__, array("I", ids)))
 
 
 class Decoder:
