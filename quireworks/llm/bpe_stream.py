@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 _SPACE = "\t-\r \x85\xa0  -     　"
 _TOKEN = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[\p{{L}}]+|[\p{{N}}]|[^{_SPACE}\p{{L}}\p{{N}}]+")
 END = "</w>"
-CACHE_WORDS, CACHE_LENGTH = 400_000, 40
+CACHE_WORDS, CACHE_LENGTH = 250_000, 40
 
 
 def byte_symbols() -> list[str]:
@@ -124,28 +124,25 @@ class Merges:
         to the first; ``after[a]`` is the longest chain that may follow a merge whose left part is a.
         """
         begins = defaultdict(list)
-        text = self.names
-        prefixes: dict[int, list[int]] = {}
-        suffixes: dict[int, list[int]] = {}
-        for x in range(self.first_rank, len(text)):
-            name = text[x]
-            prefixes[x] = [d for k in range(1, len(name)) if (d := self.number.get(name[:k])) is not None]
-            suffixes[x] = [d for k in range(1, len(name)) if (d := self.number.get(name[k:])) is not None]
+        text, number = self.names, self.number
+        fronts = lambda x: [d for k in range(1, len(text[x])) if (d := number.get(text[x][:k])) is not None]
+        backs = lambda x: [d for k in range(1, len(text[x])) if (d := number.get(text[x][k:])) is not None]
         joins, after = defaultdict(int), defaultdict(int)
         best = 0
         for m in range(len(text) - 1, self.first_rank - 1, -1):
             a, d = self.parts[m]
             length = 1 + after[a]
             best = max(best, length)
-            top = max((joins[p] for p in prefixes[m]), default=0)
-            for s in suffixes[m]:
+            begun = fronts(m)
+            top = max((joins[p] for p in begun), default=0)
+            for s in backs(m):
                 after[s] = max(after[s], top)
-            for p in prefixes[m]:
+            for p in begun:
                 begins[p].append(m)
             if length > joins[d]:
                 joins[d] = length
                 for x in begins[d]:
-                    for s in suffixes[x]:
+                    for s in backs(x):
                         if after[s] < length:
                             after[s] = length
         return (best + 1) * self.longest

@@ -21,7 +21,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -194,10 +193,10 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, **settin
 def score_column(model: Model) -> object:
     """A function of a text column that gives its score."""
 
-    @F.pandas_udf("double")
-    def score(texts: pd.Series) -> pd.Series:
-        out = [model.score(_figures_of(texts.iloc[at : at + 1024])) for at in range(0, len(texts), 1024)]
-        return pd.Series(np.concatenate(out) if out else np.zeros(0))
+    @F.arrow_udf("double")
+    def score(texts: pa.Array) -> pa.Array:
+        out = [model.score(_figures_of(t.as_py() for t in texts.slice(at, 1024))) for at in range(0, len(texts), 1024)]
+        return pa.array(np.concatenate(out) if out else np.zeros(0), pa.float64())
 
     return score
 
