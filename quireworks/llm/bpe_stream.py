@@ -126,7 +126,7 @@ class Merges:
         begins = defaultdict(list)
         text, number = self.names, self.number
         fronts = lambda x: [d for k in range(1, len(text[x])) if (d := number.get(text[x][:k])) is not None]
-        backs = lambda x: [d for k in range(1, len(text[x])) if (d := number.get(text[x][k:])) is not None]
+        backs = [[d for k in range(1, len(x)) if (d := number.get(x[k:])) is not None] for x in text]
         joins, after = defaultdict(int), defaultdict(int)
         best = 0
         for m in range(len(text) - 1, self.first_rank - 1, -1):
@@ -135,14 +135,14 @@ class Merges:
             best = max(best, length)
             begun = fronts(m)
             top = max((joins[p] for p in begun), default=0)
-            for s in backs(m):
+            for s in backs[m]:
                 after[s] = max(after[s], top)
             for p in begun:
                 begins[p].append(m)
             if length > joins[d]:
                 joins[d] = length
                 for x in begins[d]:
-                    for s in backs(x):
+                    for s in backs[x]:
                         if after[s] < length:
                             after[s] = length
         return (best + 1) * self.longest
@@ -151,8 +151,8 @@ class Merges:
 class Transducer:
     """Symbols in, tokens out; ``held`` is the number of symbols not yet encoded for good."""
 
-    def __init__(self, merges: Merges):
-        self.m, self.look, self.every = merges, merges.lookahead(), 8 * merges.longest
+    def __init__(self, merges: Merges, lookahead: int):
+        self.m, self.look, self.every = merges, lookahead, 8 * merges.longest
         self.restart()
 
     def restart(self) -> None:
@@ -245,7 +245,7 @@ class Transducer:
 class Codec:
     """Texts to ids and back, by a vocabulary file of the kind with word ends."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, lookahead: int | None = None):
         with open(path, encoding="utf-8") as f:
             config = json.load(f)
         model = config["model"]
@@ -255,7 +255,7 @@ class Codec:
         self.symbols = byte_symbols()
         self.special = regex.compile("(" + "|".join(map(regex.escape, specials)) + ")") if specials else None
         self.names = {i: t for t, i in (model["vocab"] | specials).items()}
-        self.transducer = Transducer(self.merges)
+        self.transducer = Transducer(self.merges, lookahead or self.merges.lookahead())
         self.cache: dict[str, bytes] = {}
 
     def _stream(self, word: str) -> list[int]:
@@ -335,10 +335,10 @@ class Decoder:
 _CODECS: dict[str, Codec] = {}
 
 
-def codec(path: str) -> Codec:
-    """The codec of a file, kept as long as the worker lives."""
+def codec(path: str, lookahead: int | None = None) -> Codec:
+    """The codec of a file, kept as long as the worker lives; the lookahead is computed unless given."""
     if path not in _CODECS:
-        _CODECS[path] = Codec(path)
+        _CODECS[path] = Codec(path, lookahead)
     return _CODECS[path]
 
 
@@ -350,8 +350,10 @@ def decode(c: Codec, ids: Iterable[int], words: bool = False) -> str:
 def encode(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, n_tokens, ids (array of int) and decoded for each row of ``docs`` (doc_id, text)."""
 
+    lookahead = codec(path).transducer.look
+
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = codec(path)
+        c = codec(path, lookahead)
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
@@ -372,8 +374,10 @@ def _running(lengths: Iterable[int]) -> Iterator[int]:
 def digests(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 and decoded_sha256: what ``encode`` gives, digested where it is made."""
 
+    lookahead = codec(path).transducer.look
+
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = codec(path)
+        c = codec(path, lookahead)
         for batch in batches:
             rows = []
             for x in batch.column("text"):
