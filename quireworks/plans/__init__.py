@@ -1 +1 @@
-
+"""Chunk planning: sections to chunks."""
