@@ -6,10 +6,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Where a text is cut into lines, the shape of a heading, and the ranges of Chinese characters.
-LINE_BREAKS = "\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85  ]"
+LINE_BREAKS = "\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]"
 HEADING = r"^(#{1,6})(?U)\s+(.+)$"
-CJK_WIDE = "[^　-〿一-鿿]"
-CJK_IDEOGRAPHS = "[^一-鿿]"
+CJK_WIDE = "[^\u3000-\u303f\u4e00-\u9fff]"
+CJK_IDEOGRAPHS = "[^\u4e00-\u9fff]"
 SPACE = r"(?U)\s"
 
 

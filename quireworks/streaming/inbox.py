@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
+from quireworks.functions.lineage import save
 from quireworks.operators.clean import clean
 from quireworks.plans.chunking import chunk_text, fresh_numbers, plan_chunks, sections_of
 from quireworks.sources.documents import to_lines
@@ -14,7 +15,7 @@ SCHEMA = "doc_id bigint, text string"
 
 def chunks_of(docs: DataFrame) -> DataFrame:
     """doc_id, chunk_no, provenance, body of docs (doc_id, text)."""
-    fresh = fresh_numbers(clean(to_lines(docs)))
+    fresh = save(fresh_numbers(clean(to_lines(docs))))
     return chunk_text(fresh, plan_chunks(sections_of(fresh)).where("kind = 'chunk'"))
 
 
