@@ -29,7 +29,7 @@ import regex
 from pyspark.sql import DataFrame
 
 #: White space of the vocabulary's normaliser (Unicode White_Space), written out as the pattern libraries differ over it.
-_SPACE = "\t-\r \x85\xa0  -     　"
+_SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _TOKEN = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[\p{{L}}]+|[\p{{N}}]|[^{_SPACE}\p{{L}}\p{{N}}]+")
 END = "</w>"
 CACHE_WORDS, CACHE_LENGTH = 250_000, 40

@@ -107,9 +107,10 @@ FROM ruled
 """
 
 LINE_SQL = r"""
-WITH lines AS (
-  SELECT doc_id, generate_subscripts(u, 1) - 1 AS unit_no, unnest(u) AS line, unnest(list_transform(range(1, len(u) + 1), i -> coalesce(list_sum(list_transform(u[1:i - 1], x -> length(x) + 1)), 0))) AS start
-  FROM (SELECT doc_id, string_split(text, chr(10)) AS u FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL)),
+WITH cut AS (
+  SELECT doc_id, CAST(generate_subscripts(u, 1) - 1 AS INTEGER) AS unit_no, unnest(u) AS line
+  FROM (SELECT DISTINCT doc_id, string_split(text, chr(10)) AS u FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL)),
+lines AS (SELECT *, coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY unit_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM cut),
 normal AS (SELECT doc_id, unit_no, start, line, trim(regexp_replace(lower(line), '[^\p{L}\p{N}]+', ' ', 'g')) AS n FROM lines),
 taken AS (SELECT DISTINCT * FROM normal WHERE len(string_split(n, ' ')) >= 20),
 firsts AS (SELECT n, min(struct_pack(d := doc_id, u := unit_no)) AS f FROM taken GROUP BY n)
