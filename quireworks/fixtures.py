@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quireworks.functions.lineage import save
 from quireworks.plans.chunking import group_at_level, sections_of
 
 #: The Chinese letters that stand for a to z in every fourth book.
@@ -43,13 +44,19 @@ def fx_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts.select(F.col("book").alias("doc_id"), number.cast("int").alias("line_no"), F.col("r.line").alias("line"))
 
 
-def fx_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sections_of(fx_lines(spark, sf_dir))
+def fx_sections(spark: SparkSession, sf_dir: str, lines: DataFrame | None = None) -> DataFrame:
+    return sections_of(fx_lines(spark, sf_dir) if lines is None else lines)
 
 
-def fx_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A plan: each unit at level 2 is a chunk."""
-    return group_at_level(fx_sections(spark, sf_dir)).select("doc_id", F.col("unit_no").alias("chunk_no"), "start", "end", "heading", "units")
+def fx_chunks(spark: SparkSession, sf_dir: str, lines: DataFrame | None = None) -> DataFrame:
+    """A plan: each unit at level 2 is a chunk. Written down, as jobs use it more than once."""
+    return save(group_at_level(fx_sections(spark, sf_dir, lines)).select("doc_id", F.col("unit_no").alias("chunk_no"), "start", "end", "heading", "units"))
+
+
+def fx_book(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Lines and their chunks, both written down."""
+    lines = save(fx_lines(spark, sf_dir))
+    return lines, fx_chunks(spark, sf_dir, lines)
 
 
 def fx_drafts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -71,9 +71,9 @@ def restore_latex_simple(lines: DataFrame) -> DataFrame:
 
 
 def strip_inline_math(lines: DataFrame) -> DataFrame:
-    """What is left of formulas as plain text; only lines with a dollar sign go to Python."""
-    has = F.col("line").contains("$")
-    return lines.where(~has).unionByName(lines.where(has).withColumn("line", strip_math(F.col("line"))))
+    """What is left of formulas as plain text; only lines with a dollar sign go to Python, others as nulls."""
+    line = F.col("line")
+    return lines.withColumn("line", F.coalesce(strip_math(F.when(line.contains("$"), line)), line))
 
 
 def dedupe_h1(cleaned: DataFrame, raw: DataFrame) -> DataFrame:
@@ -82,8 +82,7 @@ def dedupe_h1(cleaned: DataFrame, raw: DataFrame) -> DataFrame:
     counts = raw.select("doc_id", title.alias("t")).where("t IS NOT NULL").groupBy("doc_id", "t").agg(F.count("*").alias("n")).where("n > 1")
     keyed = cleaned.withColumn("t", title).join(counts, ["doc_id", "t"], "left")
     rank = F.row_number().over(Window.partitionBy("doc_id", "t").orderBy("line_no"))
-    titles = keyed.where("n IS NOT NULL").withColumn("r", rank).where("r = 1").select("doc_id", "line_no", "line")
-    return keyed.where("n IS NULL").select("doc_id", "line_no", "line").unionByName(titles)
+    return keyed.withColumn("r", F.when(F.col("n").isNotNull(), rank)).where("n IS NULL OR r = 1").select("doc_id", "line_no", "line")
 
 
 def merge_page_breaks(lines: DataFrame) -> DataFrame:

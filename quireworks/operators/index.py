@@ -104,8 +104,8 @@ def check_descriptions(descriptions: DataFrame, lexicon: DataFrame) -> DataFrame
 
     lexicon: kind (``mark`` or ``banned``) and phrase; a small table that is gathered into two arrays.
     """
-    words = lexicon.groupBy(F.lit(1).alias("one")).agg(F.collect_set(F.when(F.col("kind") == "mark", F.col("phrase"))).alias("marks"), F.collect_set(F.when(F.col("kind") == "banned", F.col("phrase"))).alias("banned"))
-    d = descriptions.withColumn("one", F.lit(1)).join(F.broadcast(words), "one", "left")  # one row
+    words = lexicon.agg(F.collect_set(F.when(F.col("kind") == "mark", F.col("phrase"))).alias("marks"), F.collect_set(F.when(F.col("kind") == "banned", F.col("phrase"))).alias("banned"))
+    d = descriptions.withColumns({"marks": words.select("marks").scalar(), "banned": words.select("banned").scalar()})
     main = F.col("main")
     rules = {
         "subtopic-count": ~F.size("subtopics").between(2, 4),
@@ -146,8 +146,8 @@ def retrieve(queries: DataFrame, descriptions: DataFrame, k: int = 5, most_share
     asked = queries.select("query_id", F.explode(terms_of(F.col("text"))).alias("term"))
     postings = descriptions.select("doc_id", "chunk_no", F.explode(terms_of(said)).alias("term")).join(asked.select("term").distinct(), "term", "left_semi")
     if most_share < 1:
-        total = descriptions.agg(F.count("*").alias("total"))
-        common = postings.groupBy("term").agg(F.count("*").alias("n")).join(F.broadcast(total), F.col("n") > most_share * F.col("total")).select("term")
+        total = descriptions.agg(F.count("*").alias("total")).scalar()
+        common = postings.groupBy("term").agg(F.count("*").alias("n")).where(F.col("n") > most_share * total).select("term")
         postings = postings.join(common, "term", "left_anti")
     scores = asked.join(postings, "term").groupBy("query_id", "doc_id", "chunk_no").agg(F.count("*").alias("score"))
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id", "chunk_no")

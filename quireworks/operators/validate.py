@@ -97,8 +97,8 @@ def find_verbatim(quotes: DataFrame, chunks: DataFrame, shingle: int = 8) -> Dat
     words = lambda c: F.filter(F.split(c, r"(?U)\s+"), lambda w: w != "")
     key = lambda w, i, n: F.xxhash64(F.array_join(F.slice(w, i, n), " "))
     asked = quotes.withColumn("w", words(F.col("quote"))).withColumn("n", F.least(F.size("w"), F.lit(shingle))).where("n > 0").withColumn("k", key(F.col("w"), F.lit(1), F.col("n")))
-    sizes = asked.select("n").distinct()
-    places = chunks.withColumn("w", words(F.col("body"))).join(F.broadcast(sizes), F.size("w") >= F.col("n"))  # sizes: at most ``shingle`` rows
+    sizes = asked.select("n").distinct()  # at most ``shingle`` rows
+    places = chunks.select("doc_id", "chunk_no", words(F.col("body")).alias("w")).withColumn("n", F.explode(F.sequence(F.lit(1), F.lit(shingle)))).join(sizes, "n", "left_semi").where(F.size("w") >= F.col("n"))
     keys = places.select("doc_id", "chunk_no", "n", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - F.col("n") + 1), lambda i: key(F.col("w"), i, F.col("n"))))).alias("k"))
     met = asked.select("quote_id", "quote", "n", "k").join(keys, ["n", "k"]).join(chunks.select("doc_id", "chunk_no", "body"), ["doc_id", "chunk_no"])
     return met.where(F.contains("body", "quote")).select("quote_id", "doc_id", "chunk_no").distinct()

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quireworks.fixtures import DRAFTS_SQL, LINES_SQL, OUTLINE_SQL, SECTIONS_SQL, fx_chunks, fx_drafts, fx_lines, fx_outline, table
+from quireworks.fixtures import DRAFTS_SQL, LINES_SQL, OUTLINE_SQL, SECTIONS_SQL, fx_book, fx_drafts, fx_lines, fx_outline, table
 from quireworks.operators import cite, outline, validate
 from quireworks.operators.index import headings_of
 from quireworks.plans.chunking import chunk_text, lines_in_chunks
@@ -102,7 +102,7 @@ j AS (SELECT n.*, (SELECT count(*) FROM pg WHERE pg.doc_id = n.doc_id AND pg.chu
 r AS (SELECT note_id, CASE WHEN k > 0 AND page_from IS NOT NULL AND hits = 0 THEN 'page-absent' WHEN k > 0 AND page_from IS NULL THEN 'page-missing' WHEN k = 0 AND page_from IS NOT NULL THEN 'page-invented' END AS rule FROM j)
 SELECT note_id, rule, CASE rule WHEN 'page-missing' THEN 'warning' ELSE 'error' END AS severity FROM r WHERE rule IS NOT NULL""")
 def v3_check_pages(spark: SparkSession, sf: str) -> DataFrame:
-    chunks, lines = fx_chunks(spark, sf), fx_lines(spark, sf)
+    lines, chunks = fx_book(spark, sf)
     n, at = F.col("chunk_no"), (F.col("doc_id") + F.col("start")) % 500
     notes = chunks.select((F.col("doc_id") * 1000 + n).alias("note_id"), "doc_id", "chunk_no", F.when(n % 4 != 0, at.cast("int")).alias("page_from"), F.when(n % 3 == 0, (at + 40).cast("int")).alias("page_to"))
     pages = lines_in_chunks(lines, chunks).where(F.col("line").rlike(validate.PAGE_MARKER)).select("doc_id", "chunk_no", F.regexp_extract("line", validate.PAGE_MARKER, 1).cast("int").alias("page"))
@@ -134,7 +134,7 @@ walk AS (SELECT quote_id, body, parts, 1 AS i, CAST(1 AS BIGINT) AS place, true
   UNION ALL SELECT quote_id, body, parts, i + 1, place + CASE WHEN strpos(substr(body, place), parts[i]) > 0 THEN strpos(substr(body, place), parts[i]) + length(parts[i]) - 1 ELSE 0 END, ok AND strpos(substr(body, place), parts[i]) > 0 FROM walk WHERE i <= len(parts))
 SELECT quote_id, ok AS verbatim FROM walk WHERE i = len(parts) + 1""")
 def v5_check_verbatim(spark: SparkSession, sf: str) -> DataFrame:
-    chunks = chunk_text(fx_lines(spark, sf), fx_chunks(spark, sf)).select("doc_id", "chunk_no", "body")
+    chunks = chunk_text(*fx_book(spark, sf)).select("doc_id", "chunk_no", "body")
     return validate.check_verbatim(_quotes(chunks), chunks)
 
 

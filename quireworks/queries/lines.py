@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quireworks.fixtures import LINES_SQL, SECTIONS_SQL, fx_chunks, fx_lines, fx_sections, raw_lines, table
+from quireworks.fixtures import LINES_SQL, SECTIONS_SQL, fx_book, fx_chunks, fx_lines, fx_sections, raw_lines, table
 from quireworks.functions.text import cjk_count, heading_level, word_count
 from quireworks.operators import clean, extract
 from quireworks.operators.index import headings_of
@@ -222,14 +222,14 @@ def k8_plan_chunks(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"""WITH {SECTIONS_SQL} SELECT c.doc_id, c.chunk_no, l.line_no FROM fx_chunks c JOIN fx_lines l ON l.doc_id = c.doc_id AND l.line_no > c.start AND l.line_no < c."end" WHERE trim(l.line) = ''""")
 def k9_paragraph_breaks(spark: SparkSession, sf: str) -> DataFrame:
-    return chunking.paragraph_breaks(fx_lines(spark, sf), fx_chunks(spark, sf))
+    return chunking.paragraph_breaks(*fx_book(spark, sf))
 
 
 @query(f"""WITH {SECTIONS_SQL}, b AS (SELECT c.doc_id, c.chunk_no, units, l.line_no, row_number() OVER w - 1 AS i, count(*) OVER (PARTITION BY c.doc_id, c.chunk_no) AS k FROM fx_chunks c JOIN fx_lines l ON l.doc_id = c.doc_id AND l.line_no > c.start AND l.line_no < c."end" WHERE trim(l.line) = '' AND units > 200 WINDOW w AS (PARTITION BY c.doc_id, c.chunk_no ORDER BY l.line_no)),
 s AS (SELECT *, greatest(units // 200, 1) AS n, greatest(k // greatest(units // 200, 1), 1) AS step FROM b)
 SELECT doc_id, chunk_no, string_agg(CAST(line_no AS VARCHAR), '|' ORDER BY line_no) AS candidates FROM s WHERE i >= step AND i % step = 0 AND i // step <= greatest(n, 3) GROUP BY 1, 2""")
 def k10_split_candidates(spark: SparkSession, sf: str) -> DataFrame:
-    lines, chunks = fx_lines(spark, sf), fx_chunks(spark, sf)
+    lines, chunks = fx_book(spark, sf)
     return chunking.split_candidates(chunks.withColumn("most", F.lit(200)), chunking.paragraph_breaks(lines, chunks)).withColumn("candidates", _flat("candidates"))
 
 
@@ -237,7 +237,7 @@ _SPLITS_SQL = "splits AS (SELECT c.doc_id, c.chunk_no, l.line_no, c.\"end\" FROM
 
 
 def _split(spark: SparkSession, sf: str) -> DataFrame:
-    lines, chunks = fx_lines(spark, sf), fx_chunks(spark, sf)
+    lines, chunks = fx_book(spark, sf)
     return chunking.apply_splits(chunks, chunking.paragraph_breaks(lines, chunks).where("line_no % 24 = 0"))
 
 
@@ -266,7 +266,7 @@ def k14_token_budget(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"""WITH {SECTIONS_SQL} SELECT c.doc_id, c.chunk_no, '来源: ' || CAST(c.doc_id AS VARCHAR) || chr(10) || '位置: ' || CAST(c.start AS VARCHAR) || '-' || CAST(c."end" AS VARCHAR) AS provenance, string_agg(l.line, chr(10) ORDER BY l.line_no) AS body
 FROM fx_chunks c JOIN fx_lines l ON l.doc_id = c.doc_id AND l.line_no BETWEEN c.start AND c."end" GROUP BY 1, 2, 3""")
 def k15_chunk_text(spark: SparkSession, sf: str) -> DataFrame:
-    return chunking.chunk_text(fx_lines(spark, sf), fx_chunks(spark, sf))
+    return chunking.chunk_text(*fx_book(spark, sf))
 
 
 @query(f"""WITH {SECTIONS_SQL}, cl AS (SELECT c.doc_id, c.chunk_no, l.line_no, l.line, trim(l.line) = '' AS blank FROM fx_chunks c JOIN fx_lines l ON l.doc_id = c.doc_id AND l.line_no BETWEEN c.start AND c."end"),
@@ -275,7 +275,7 @@ r AS (SELECT *, sum(edge) OVER (PARTITION BY doc_id, chunk_no ORDER BY line_no)
 m AS (SELECT *, min(line_no) FILTER (NOT blank AND regexp_matches(trim(line), '^<!--\\s*footnote\\s+\\d+\\s*-->')) OVER (PARTITION BY doc_id, chunk_no, run) AS m FROM r)
 SELECT doc_id, chunk_no, coalesce(string_agg(line, chr(10) ORDER BY line_no) FILTER (m IS NULL OR line_no < m), '') AS body, coalesce(string_agg(line, '|' ORDER BY line_no) FILTER (line_no > m AND NOT blank), '') AS notes FROM m WHERE m IS NULL OR line_no < m OR line_no > m AND NOT blank GROUP BY 1, 2""")
 def k16_chunk_bodies(spark: SparkSession, sf: str) -> DataFrame:
-    return chunking.chunk_bodies(chunking.lines_in_chunks(fx_lines(spark, sf), fx_chunks(spark, sf))).withColumn("notes", _flat("notes"))
+    return chunking.chunk_bodies(chunking.lines_in_chunks(*fx_book(spark, sf))).withColumn("notes", _flat("notes"))
 
 
 @query(f"""WITH {SECTIONS_SQL} SELECT doc_id, 'chunk' AS kind, 1 AS chunk_no, 1 AS start, max(line_no) AS "end", coalesce(arg_min(heading, line_no) FILTER (level IS NOT NULL), '') AS heading, CAST(sum(units) AS BIGINT) AS units FROM ul GROUP BY doc_id HAVING sum(units) < 4000 OR count(level) = 0""")

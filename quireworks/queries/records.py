@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quireworks.fixtures import BIB_SQL, LINES_SQL, SECTIONS_SQL, fx_bib, fx_chunks, fx_description_lines, fx_lines, table
+from quireworks.fixtures import BIB_SQL, LINES_SQL, SECTIONS_SQL, fx_bib, fx_book, fx_chunks, fx_description_lines, fx_lines, table
 from quireworks.functions import arrow
 from quireworks.operators import bib, extract, index
 from quireworks.queries.registry import Registry
@@ -134,7 +134,8 @@ mapped AS (SELECT c.doc_id, chunk_no, start, coalesce((SELECT arg_max(p.heading,
 
 def _late(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     """Chunks from the third on, with the headings of all lines."""
-    return fx_chunks(spark, sf).where("chunk_no > 2"), index.headings_of(fx_lines(spark, sf))
+    lines, chunks = fx_book(spark, sf)
+    return chunks.where("chunk_no > 2"), index.headings_of(lines)
 
 
 @query(f"WITH {SECTIONS_SQL}, {_CHAPTERS_SQL} SELECT * FROM chapters")
