@@ -286,6 +286,14 @@ def single_chunk(lines: DataFrame, languages: DataFrame, limit: int = 400) -> Da
     return sums.where((F.col("units") < limit) | (F.col("h") == 0)).select("doc_id", F.lit("chunk").alias("kind"), F.lit(1).alias("chunk_no"), F.lit(1).alias("start"), "end", F.coalesce("heading", F.lit("")).alias("heading"), "units", F.array().cast("array<string>").alias("warnings"))
 
 
+def plan_documents(lines: DataFrame) -> DataFrame:
+    """The plan of every document: short ones and those without headings are one chunk, the others are folded."""
+    languages = detect_language(lines)
+    single = single_chunk(lines, languages)
+    folded = plan_chunks(sections_of(lines)).join(single.select("doc_id"), "doc_id", "left_anti")
+    return folded.unionByName(single)
+
+
 def concat_parts(parts: DataFrame) -> DataFrame:
     """doc_id, part, chunk_no, number of (doc_id, part, chunk_no): numbers go on over the parts of a document."""
     w = Window.partitionBy("doc_id").orderBy("part")

@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quireworks.fixtures import LINES_SQL, SECTIONS_SQL, fx_book, fx_chunks, fx_lines, fx_sections, raw_lines, table
+from quireworks.functions.lineage import shared_dir
 from quireworks.functions.text import cjk_count, heading_level, word_count
 from quireworks.operators import clean, extract
 from quireworks.operators.index import headings_of
 from quireworks.plans import chunking
 from quireworks.queries.registry import Registry
-from quireworks.sources.documents import parse_plan, to_lines
+from quireworks.sources.documents import parse_plan, to_lines, write_chunks
+from quireworks.streaming.inbox import ingest_stream
 
 query = Registry()
 QUERIES, ORACLES = query.queries, query.oracles
@@ -269,6 +273,23 @@ def k15_chunk_text(spark: SparkSession, sf: str) -> DataFrame:
     return chunking.chunk_text(*fx_book(spark, sf))
 
 
+@query(f"""WITH {SECTIONS_SQL} SELECT c.doc_id, c.chunk_no, '来源: ' || CAST(c.doc_id AS VARCHAR) || chr(10) || '位置: ' || CAST(c.start AS VARCHAR) || '-' || CAST(c."end" AS VARCHAR) AS provenance, string_agg(l.line, chr(10) ORDER BY l.line_no) AS body
+FROM fx_chunks c JOIN fx_lines l ON l.doc_id = c.doc_id AND l.line_no BETWEEN c.start AND c."end" GROUP BY 1, 2, 3""")
+def s7_write_chunks(spark: SparkSession, sf: str) -> DataFrame:
+    """Chunk texts written by bucket and read back."""
+    path = f"{shared_dir(spark)}/chunks-{uuid.uuid4().hex}"
+    write_chunks(chunking.chunk_text(*fx_book(spark, sf)), path)
+    return spark.read.parquet(path).drop("bucket")
+
+
+@query()
+def t1_ingest_stream(spark: SparkSession, sf: str) -> DataFrame:
+    """The documents' files as an inbox (a pattern, as the table may be one file or a folder), streamed through cleaning and planning."""
+    path = f"{shared_dir(spark)}/inbox-{uuid.uuid4().hex}"
+    ingest_stream(spark, f"{sf}/documents.parque[t]", f"{path}/out", f"{path}/checkpoint").awaitTermination()
+    return spark.read.parquet(f"{path}/out").drop("batch")
+
+
 @query(f"""WITH {SECTIONS_SQL}, cl AS (SELECT c.doc_id, c.chunk_no, l.line_no, l.line, trim(l.line) = '' AS blank FROM fx_chunks c JOIN fx_lines l ON l.doc_id = c.doc_id AND l.line_no BETWEEN c.start AND c."end"),
 e AS (SELECT *, CASE WHEN NOT blank AND coalesce(lag(blank) OVER (PARTITION BY doc_id, chunk_no ORDER BY line_no), true) THEN 1 ELSE 0 END AS edge FROM cl),
 r AS (SELECT *, sum(edge) OVER (PARTITION BY doc_id, chunk_no ORDER BY line_no) AS run FROM e),

@@ -112,6 +112,13 @@ def e9_content_pages(spark: SparkSession, sf: str) -> DataFrame:
     return extract.content_pages(table(spark, sf, "pages").select("page_id", dressed.alias("html")))
 
 
+@query("SELECT page_id, html FROM pages")
+def s3_decode_html(spark: SparkSession, sf: str) -> DataFrame:
+    """Pages as bytes, every third one in UTF-16 with its mark, decoded."""
+    content = F.when(F.col("page_id") % 3 == 0, F.encode("html", "UTF-16")).otherwise(F.encode("html", "UTF-8"))
+    return table(spark, sf, "pages").select("page_id", arrow.decode_html(content).alias("html"))
+
+
 # ---- descriptions and the index
 
 _DESCRIBED_SQL = """described AS (
