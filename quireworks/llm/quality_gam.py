@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 THRESHOLD = 0.3
 MAX_ROWS = 20_000
-FEATURES = ("log_words", "word_length", "capitals", "digits", "symbols", "marks", "exclamation", "pipes", "spaces", "other_bytes", "line_words", "repeated_lines", "distinct_words", "top_word", "same_as_next", "long_words")
+FEATURES = ("log_words", "word_length", "capitals", "digits", "symbols", "marks", "exclamation", "pipes", "spaces", "other_bytes", "line_words", "repeated_lines", "distinct_words", "top_word", "same_as_next", "long_words", "line_pipes", "line_exclamation", "line_symbols", "line_sameness")
 
 _CLASSES = np.zeros(256, dtype=np.uint8)
 for _c, _chars in enumerate((b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b"#*$%&<>@^~_=+\\/{}[]", b".,;:?'\"()-", b"!", b"|", b" \t\n\r\x0b\x0c", bytes(range(128, 256))), 1):
@@ -47,7 +47,15 @@ def figures(text: str | None) -> list[float]:
     n_lines = max(1, len(lines))
     counts = Counter(words)
     same = sum(map(str.__eq__, words, words[1:]))
-    return [np.log1p(len(words)), sum(map(len, words)) / n_words, shares[0], shares[1], shares[2], shares[3], shares[4], shares[5], shares[6], shares[7], np.log1p(n_words / n_lines), 1 - len(set(lines)) / n_lines if lines else 0.0, len(counts) / n_words**0.9, max(counts.values(), default=0) / n_words, same / n_words, sum(len(w) > 14 for w in words) / n_words]
+    # of junk within one line of a clean text, shares of the whole text show little
+    worst = [0.0, 0.0, 0.0, 0.0]
+    for line in lines:
+        w = line.split()
+        k = len(w)
+        if k >= 5:
+            count = line.count
+            worst = list(map(max, worst, (count("|") / k, count("!") / k, sum(map(count, "#$%&*")) / k, 1 - len(set(w)) / k**0.9 if k > 9 else 0.0)))
+    return [np.log1p(len(words)), sum(map(len, words)) / n_words, shares[0], shares[1], shares[2], shares[3], shares[4], shares[5], shares[6], shares[7], np.log1p(n_words / n_lines), 1 - len(set(lines)) / n_lines if lines else 0.0, len(counts) / n_words**0.9, max(counts.values(), default=0) / n_words, same / n_words, sum(len(w) > 14 for w in words) / n_words, *worst]
 
 
 @dataclass
