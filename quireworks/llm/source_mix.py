@@ -179,7 +179,8 @@ def mix_sizes(sized: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: f
     keyed = sized.select("doc_id", "source", "size", turn_of(F.col("doc_id")).alias("turn"), pattern_of(F.col("sources")).alias("pattern"))
     plan, sizes, quota = plan_mix(keyed, weights, share, most)
     own = spark.createDataFrame([(s, int(sizes[s]), quota[s]) for s in sizes] or [(None, 0, 0.0)], "name string, source_size bigint, target double")
-    found = keyed.join(plan, "pattern").join(F.broadcast(own), F.col("source").eqNullSafe(F.col("name")))  # own: a row a source, as the driver just held it
+    # plan has a row a pattern, own a row a source: what the driver just held
+    found = keyed.join(F.broadcast(save(plan)), "pattern").join(F.broadcast(own), F.col("source").eqNullSafe(F.col("name")))
     return found.select("doc_id", "source", "size", "source_size", "target", (F.col("size") * times(F.col("turn"))).alias("taken"))
 
 
@@ -190,5 +191,5 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float =
     plan, _, _ = plan_mix(save(sized), weights, share, most)
     plan = plan.select(F.col("pattern").alias("__qw_pattern"), F.col("full").alias("__qw_full"), F.col("cut").alias("__qw_cut"))
     n = (F.col("__qw_full") + (F.col("__qw_turn") <= F.col("__qw_cut")).cast("int")).cast("int")
-    taken = keyed.join(save(plan), "__qw_pattern").withColumn("__qw_times", n).where("__qw_times > 0")
+    taken = keyed.join(F.broadcast(save(plan)), "__qw_pattern").withColumn("__qw_times", n).where("__qw_times > 0")
     return taken.withColumn("__qw_copy", F.explode(F.sequence(F.lit(1), F.col("__qw_times")))).select(*docs.columns)
