@@ -141,9 +141,10 @@ def _cuts(sized: DataFrame, amounts: DataFrame, slices: int) -> DataFrame:
 
 
 def plan_mix(sized: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, most: int = 2, slices: int = 4096) -> tuple[DataFrame, dict, dict]:
-    """From sized (pattern, turn, doc_id, size): a small table (pattern, target, source_size, full, cut), sizes and quotas by source.
+    """From sized (pattern, turn, doc_id, size): a small table (pattern, full, cut, routes), sizes and quotas by source.
 
-    A document is taken ``full`` times, and once more if its turn is at most ``cut``. The driver sees one row a pattern.
+    A document is taken ``full`` times, and once more if its turn is at most ``cut``; it fills the quota of the first of ``routes``
+    whose cut its turn is within. The driver sees one row a pattern.
     """
     spark = sized.sparkSession
     rows = sized.groupBy("pattern").agg(F.sum("size").alias("n")).collect()
@@ -155,15 +156,29 @@ def plan_mix(sized: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: fl
             sizes[s] += n
     quota = targets(dict(sizes), weights, share, float(most))
     flow = route(capacity, quota, most)
-    full, rest = {}, {}
+    full: list[tuple] = []
+    routes: list[tuple] = []
     for r in rows:
-        n, taken = r["n"], sum(flow[members[r["pattern"]]].values())
-        full[r["pattern"]] = taken // n if n else 0
-        rest[r["pattern"]] = taken - full[r["pattern"]] * n
-    amounts = spark.createDataFrame([(p, k) for p, k in rest.items() if k] or [("", 0)], "pattern string, amount bigint")
-    cuts = _cuts(sized, amounts, slices)
-    plan = spark.createDataFrame([(p, int(k)) for p, k in full.items()] or [("", 0)], "pattern string, full bigint")
-    return plan.join(cuts.select("pattern", "cut"), "pattern", "left").select("pattern", "full", F.coalesce("cut", F.lit(-1)).alias("cut")), dict(sizes), quota
+        n, to = r["n"], [(s, k) for s, k in sorted(flow[members[r["pattern"]]].items(), key=lambda x: (x[0] is None, x[0] or "")) if k]
+        taken = sum(k for _, k in to)
+        times_all = taken // n if n else 0
+        rest = taken - times_all * n
+        full.append((r["pattern"], int(times_all), int(rest)))
+        # a source's stretch of the order: up to where the words taken reach its part of the flow
+        upto = 0
+        for place, (s, k) in enumerate(to):
+            upto += k
+            more = min(upto, (times_all + 1) * rest)
+            at = more // (times_all + 1) + ((upto - more) // times_all if times_all else 0)
+            routes.append((r["pattern"], place, s, None if place == len(to) - 1 else int(at)))
+    wanted = {(p, k) for p, _, k in full if k} | {(p, k) for p, _, _, k in routes if k}
+    cuts = save(_cuts(sized, spark.createDataFrame(sorted(wanted), "pattern string, amount bigint"), slices))
+    once_more = cuts.withColumnRenamed("amount", "rest")
+    plan = spark.createDataFrame(full, "pattern string, full bigint, rest bigint").join(once_more, ["pattern", "rest"], "left").select("pattern", "full", F.coalesce("cut", F.lit(-1)).alias("cut"))
+    stretch = spark.createDataFrame(routes, "pattern string, place int, source string, amount bigint").join(cuts, ["pattern", "amount"], "left")
+    last = F.when(F.col("amount").isNull(), F.lit(1 << 40)).otherwise(F.coalesce("cut", F.lit(-1)))
+    by_pattern = stretch.groupBy("pattern").agg(F.sort_array(F.collect_list(F.struct("place", last.alias("cut"), "source"))).alias("routes"))
+    return plan.join(by_pattern, "pattern", "left"), dict(sizes), quota
 
 
 def times(turn: Column) -> Column:
@@ -171,9 +186,10 @@ def times(turn: Column) -> Column:
 
 
 def mix_sizes(sized: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, most: int = 2) -> DataFrame:
-    """doc_id, source, size, source_size, target and taken for sized: doc_id, source, sources (array), size.
+    """doc_id, source, size, source_size, target, taken and quota_source for sized: doc_id, source, sources (array), size.
 
-    ``sources`` are all sources a document belongs to, ``source`` the one it's reported under.
+    ``sources`` are all sources a document belongs to, ``source`` the one it's reported under, ``quota_source`` the one whose quota the
+    flow lets it fill (null source or not taken: null).
     """
     spark = sized.sparkSession
     keyed = sized.select("doc_id", "source", "size", turn_of(F.col("doc_id")).alias("turn"), pattern_of(F.col("sources")).alias("pattern"))
@@ -181,7 +197,7 @@ def mix_sizes(sized: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: f
     own = spark.createDataFrame([(s, int(sizes[s]), quota[s]) for s in sizes] or [(None, 0, 0.0)], "name string, source_size bigint, target double")
     # plan has a row a pattern, own a row a source: what the driver just held
     found = keyed.join(F.broadcast(save(plan)), "pattern").join(F.broadcast(own), F.col("source").eqNullSafe(F.col("name")))
-    return found.select("doc_id", "source", "size", "source_size", "target", (F.col("size") * times(F.col("turn"))).alias("taken"))
+    return found.select("doc_id", "source", "size", "source_size", "target", (F.col("size") * times(F.col("turn"))).alias("taken"), F.when(times(F.col("turn")) > 0, F.get(F.filter("routes", lambda r: F.col("turn") <= r["cut"]), F.lit(0))["source"]).alias("quota_source"))
 
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, most: int = 2) -> DataFrame:
@@ -189,7 +205,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float =
     keyed = docs.select("*", turn_of(F.col("doc_id")).alias("__qw_turn"), pattern_of(F.array("source")).alias("__qw_pattern"))
     sized = keyed.select(F.col("__qw_pattern").alias("pattern"), F.col("__qw_turn").alias("turn"), "doc_id", size_of(F.col("text")).alias("size"))
     plan, _, _ = plan_mix(save(sized), weights, share, most)
-    plan = plan.select(F.col("pattern").alias("__qw_pattern"), F.col("full").alias("__qw_full"), F.col("cut").alias("__qw_cut"))
+    plan = plan.drop("routes").select(F.col("pattern").alias("__qw_pattern"), F.col("full").alias("__qw_full"), F.col("cut").alias("__qw_cut"))
     n = (F.col("__qw_full") + (F.col("__qw_turn") <= F.col("__qw_cut")).cast("int")).cast("int")
     taken = keyed.join(F.broadcast(save(plan)), "__qw_pattern").withColumn("__qw_times", n).where("__qw_times > 0")
     return taken.withColumn("__qw_copy", F.explode(F.sequence(F.lit(1), F.col("__qw_times")))).select(*docs.columns)

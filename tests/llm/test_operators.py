@@ -189,9 +189,16 @@ def test_mix(spark, docs, odd, nothing):
 
 def test_overlapping_sources(spark):
     sized = spark.createDataFrame([(i, "a" if i % 2 else "b", ["a", "b"] if i % 3 == 0 else ["a" if i % 2 else "b"], 10) for i in range(600)], "doc_id bigint, source string, sources array<string>, size bigint")
-    got = source_mix.mix_sizes(sized).collect()
-    assert all(r.taken <= 2 * r.size for r in got)
-    assert abs(sum(r.taken for r in got) - sum({(r.source, r.target) for r in got} and {r.source: r.target for r in got}.values())) <= 60
+    member = {r.doc_id: set(r.sources) for r in sized.collect()}
+    got = source_mix.mix_sizes(sized, weights=(5, 2), share=1.0).collect()
+    target = {r.source: r.target for r in got}
+    filled = Counter()
+    for r in got:
+        assert r.taken <= 2 * r.size and (r.quota_source in member[r.doc_id] if r.taken else r.quota_source is None)
+        filled[r.quota_source] += r.taken
+    assert all(abs(filled[s] - t) <= 30 for s, t in target.items())
+    # what the quota of a needs beyond its own documents comes from the shared ones
+    assert {r.quota_source for r in got if len(member[r.doc_id]) == 2 and r.taken} >= {"a"}
 
 
 # 5
