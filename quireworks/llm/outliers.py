@@ -30,6 +30,8 @@ FLOORS = (0.08, 0.35, 0.7, 0.7, 0.5, 0.3)
 P = len(FLOORS)
 PAIRS = [(i, j) for i in range(P) for j in range(i + 1)]
 BINS_PER_OCTAVE = 8
+#: Rows of estimates, a dozen megabytes, up to which they are broadcast.
+BROADCAST_ROWS = 50_000
 
 
 def _gamma_p(a: float, x: float) -> float:
@@ -93,8 +95,13 @@ def _grouped(stats: DataFrame, min_group: int) -> DataFrame:
     small = F.col("g_n") < min_group
     pooled = sizes.groupBy("g_lang").agg(F.sum(F.when(small, F.col("g_n"))).alias("g_pool"))
     pool = F.when(F.col("g_pool") < min_group, F.lit("rest")).otherwise(F.concat(F.lit("pool\n"), F.col("g_lang")))
-    groups = sizes.join(pooled, "g_lang").select("g_fine", F.when(small, pool).otherwise(F.concat(F.lit("group\n"), F.col("g_fine"))).alias("grp"))
-    return stats.withColumn("g_fine", fine).join(groups, "g_fine").drop("g_fine")
+    groups = save(sizes.join(pooled, "g_lang").select("g_fine", F.when(small, pool).otherwise(F.concat(F.lit("group\n"), F.col("g_fine"))).alias("grp")))
+    return stats.withColumn("g_fine", fine).join(_hinted(groups, groups.count()), "g_fine").drop("g_fine")
+
+
+def _hinted(small: DataFrame, n: int) -> DataFrame:
+    """Broadcast if the ``n`` rows, of some 250 bytes each, are few; else the join shuffles, and splits hot groups."""
+    return F.broadcast(small) if n <= BROADCAST_ROWS else small
 
 
 def _cholesky(params: DataFrame) -> DataFrame:
@@ -153,19 +160,20 @@ def mcd_outliers(docs: DataFrame, share: float = 0.75, starts: int = 6, early_st
     stats = save(text_counts(docs).withColumn("base_failed", base_failed()).select("*", *_statistics()))
     rows = save(_grouped(stats, min_group))
     sound = rows.where("NOT base_failed")
-    counts = sound.groupBy("grp").agg(F.count("*").alias("total"))
+    counts = save(sound.groupBy("grp").agg(F.count("*").alias("total")))
     # elemental starts: about P + 1 rows of a group, chosen by a hash
-    seeds = sound.join(counts, "grp").withColumn("start", F.explode(F.sequence(F.lit(0), F.lit(starts - 1)))).where(F.pmod(F.xxhash64("doc_id", "start"), F.lit(1 << 30)) * F.col("total") <= F.lit((2 * P + 2) * (1 << 30)))
+    n = counts.count()
+    seeds = sound.join(_hinted(counts, n), "grp").withColumn("start", F.explode(F.sequence(F.lit(0), F.lit(starts - 1)))).where(F.pmod(F.xxhash64("doc_id", "start"), F.lit(1 << 30)) * F.col("total") <= F.lit((2 * P + 2) * (1 << 30)))
     params = save(_estimate(seeds.groupBy("grp", "start").agg(F.max("total").alias("total"), *_sums()), ["grp", "start"], 1.0))
     for _ in range(early_steps):
-        params = save(_concentrate(sound, params, share))
+        params = save(_concentrate(sound, _hinted(params, n * starts), share))
     best = params.groupBy("grp").agg(F.min(F.struct("logdet", "start")).alias("b")).select("grp", F.col("b.start").alias("start"))
     params = save(params.join(best, ["grp", "start"]))
     for _ in range(late_steps):
-        params = save(_concentrate(sound, params, share))
-    inner = _distance(sound.join(params, "grp"), ["grp", "start", "total", *_XS]).where(F.col("d2") <= chi2_quantile(reweight, P))
+        params = save(_concentrate(sound, _hinted(params, n), share))
+    inner = _distance(sound.join(_hinted(params, n), "grp"), ["grp", "start", "total", *_XS]).where(F.col("d2") <= chi2_quantile(reweight, P))
     final = save(_estimate(inner.groupBy("grp", "start").agg(F.max("total").alias("total"), *_sums()), ["grp", "start"], consistency(reweight)))
     columns = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
-    judged = _distance(rows.join(final, "grp", "left"), columns)
+    judged = _distance(rows.join(_hinted(final, n), "grp", "left"), columns)
     far = F.col("d2") > chi2_quantile(quantile, P)
     return judged.select(*columns, (~F.col("base_failed") & ~F.coalesce(far, F.lit(False))).alias("kept"), F.when(F.col("n_words") > 0, F.sqrt("d2")).alias("distance"))
