@@ -8,8 +8,8 @@ Only digests and offsets are shuffled, never texts. The first occurrence is an a
 others can split a digest with very many places.
 
 Cases: a null text has no units; empty units and units below ``min_words`` stay; units equal within a document count as repeats;
-rows that repeat a doc_id with the same text are one document and lose the same units; rows with a null doc_id rank last and are left as
-they are; an empty table gives an empty result; columns beyond doc_id and text are ignored by ``repeated_units`` and kept by ``dedup``.
+rows that repeat a doc_id with the same text are one document and lose the same units; rows with a null doc_id take no part and are
+left as they are; an empty table gives an empty result; columns beyond doc_id and text are ignored by ``repeated_units`` and kept by ``dedup``.
 """
 
 from __future__ import annotations
