@@ -30,6 +30,8 @@ FLOORS = (0.08, 0.35, 0.7, 0.7, 0.5, 0.3)
 P = len(FLOORS)
 PAIRS = [(i, j) for i in range(P) for j in range(i + 1)]
 BINS_PER_OCTAVE = 8
+#: Distances that one task works out; the table of statistics is so small that Spark would read it in few tasks.
+TASK_DISTANCES = 100_000
 #: Rows of estimates, a dozen megabytes, up to which they are broadcast.
 BROADCAST_ROWS = 50_000
 
@@ -140,6 +142,12 @@ def _totals() -> list[Column]:
     return [F.sum(x).alias(x) for x in names]
 
 
+def _spread(rows: DataFrame, distances: int) -> DataFrame:
+    """``rows`` in as many tasks as the number of distances asks for, at some 60 bytes of shuffle a row, if these are more than cores."""
+    parts = math.ceil(distances / TASK_DISTANCES)
+    return rows.repartition(parts) if parts > rows.sparkSession.sparkContext.defaultParallelism else rows
+
+
 def _concentrate(rows: DataFrame, params: DataFrame, share: float) -> DataFrame:
     """One concentration step: the estimate from the nearest ``share`` of each group, in whole distance bins."""
     by_bin = _distance(rows.join(params, "grp"), ["grp", "start", "total", *_XS]).withColumn("bin", F.floor(F.log2(F.greatest("d2", F.lit(1e-3))) * BINS_PER_OCTAVE)).groupBy("grp", "start", "total", "bin").agg(*_sums())
@@ -162,15 +170,16 @@ def mcd_outliers(docs: DataFrame, share: float = 0.75, starts: int = 6, early_st
     sound = rows.where("NOT base_failed")
     counts = save(sound.groupBy("grp").agg(F.count("*").alias("total")))
     # elemental starts: about P + 1 rows of a group, chosen by a hash
-    n = counts.count()
+    sizes = counts.agg(F.count("*").alias("n"), F.coalesce(F.sum("total"), F.lit(0)).alias("rows")).first()
+    n = sizes["n"]
     seeds = sound.join(_hinted(counts, n), "grp").withColumn("start", F.explode(F.sequence(F.lit(0), F.lit(starts - 1)))).where(F.pmod(F.xxhash64("doc_id", "start"), F.lit(1 << 30)) * F.col("total") <= F.lit((2 * P + 2) * (1 << 30)))
     params = save(_estimate(seeds.groupBy("grp", "start").agg(F.max("total").alias("total"), *_sums()), ["grp", "start"], 1.0))
     for _ in range(early_steps):
-        params = save(_concentrate(sound, _hinted(params, n * starts), share))
+        params = save(_concentrate(_spread(sound, sizes["rows"] * starts), _hinted(params, n * starts), share))
     best = params.groupBy("grp").agg(F.min(F.struct("logdet", "start")).alias("b")).select("grp", F.col("b.start").alias("start"))
     params = save(params.join(best, ["grp", "start"]))
     for _ in range(late_steps):
-        params = save(_concentrate(sound, _hinted(params, n), share))
+        params = save(_concentrate(_spread(sound, sizes["rows"]), _hinted(params, n), share))
     inner = _distance(sound.join(_hinted(params, n), "grp"), ["grp", "start", "total", *_XS]).where(F.col("d2") <= chi2_quantile(reweight, P))
     final = save(_estimate(inner.groupBy("grp", "start").agg(F.max("total").alias("total"), *_sums()), ["grp", "start"], consistency(reweight)))
     columns = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
