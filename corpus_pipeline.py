@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quireworks.llm import bpe_stream, line_dedup, quality_gam, simhash, source_mix
+from quireworks.llm import bpe_stream, line_dedup, near_copies, quality_gam, source_mix
 from quireworks.llm.common import save, table
 from quireworks.llm.queries import tokenizer_path
 
@@ -18,8 +18,8 @@ def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash component."""
-    return simhash.dedup(docs)
+    """One document of each component of texts with a 5-word similarity of 0.8 or more, or with SimHash fingerprints within 2 bits."""
+    return near_copies.dedup(docs)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
