@@ -256,6 +256,26 @@ def test_neighbours(spark):
     assert hits / (20 * len(got)) >= 0.95 and set(got) == {i for i in vectors if i % 20 == 0}
 
 
+def test_recall_of_a_full_block(spark):
+    """The registered query's own block and rerank, on one block that is full."""
+    from pyspark.sql import functions as F
+
+    held = np.stack([np.array(r.embedding, dtype=np.float32) for r in spark.read.parquet(f"{DATA.parent}/sf0.1/embeddings.parquet").collect()])
+    rng = np.random.default_rng(8)
+    x = held[rng.integers(0, len(held), 8192)] + rng.normal(0, 0.5 * held.std(), (8192, held.shape[1])).astype(np.float32)
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<float>")
+    got: dict = {}
+    for r in anisotropic_ann.nearest(table, F.col("vec_id") % 20 == 0).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    x = x.astype(float)
+    hits = 0
+    for q, found in got.items():
+        scores = x @ x[q]
+        scores[q] = -np.inf
+        hits += len(set(np.argsort(-scores)[:20].tolist()) & found)
+    assert len(got) == 410 and hits / (20 * len(got)) >= 0.95
+
+
 def test_odd_vectors(spark):
     from pyspark.sql import functions as F
 
