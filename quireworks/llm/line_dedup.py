@@ -7,6 +7,9 @@ their offsets in the original text kept. Digests of short units (headings, notic
 Only digests and offsets are shuffled, never texts. The first occurrence is an aggregate, combined map-side; the join that finds the
 others can split a digest with very many places.
 
+``dedup_passages`` finds passages inside lines too: lines are cut further into sentences, sentences of any length are grouped, and only
+then a run of neighbouring repeated sentences is judged: it goes if it has ``min_words`` words or ``min_chars`` characters in all.
+
 Cases: a null text has no units; empty units and units below ``min_words`` stay; units equal within a document count as repeats;
 rows that repeat a doc_id with the same text are one document and lose the same units; rows with a null doc_id take no part and are
 left as they are; an empty table gives an empty result; columns beyond doc_id and text are ignored by ``repeated_units`` and kept by ``dedup``.
@@ -19,13 +22,18 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quireworks.llm.common import save
 
 MIN_WORDS = 20
+#: For texts without spaces between words: characters that count as much as ``MIN_WORDS`` words.
+MIN_CHARS = 200
 _OTHER = re.compile(r"[\W_]+")
+_SENTENCE = re.compile(r"\S[^\n]*?(?:[.!?\u2026;:]+(?=\s)|[\u3002\uff01\uff1f\uff1b]+|(?=\n)|\Z)")
+#: A digest that occurs more often is joined by broadcast.
+_OFTEN = 1000
 
 
 def normal_form(unit: str) -> str:
@@ -69,3 +77,61 @@ def dedup(docs: DataFrame, min_words: int = MIN_WORDS, separator: str = "\n") ->
     left = F.filter(F.split("text", f"\\Q{separator}\\E", -1), lambda u, i: ~F.array_contains("__qw_gone", i))
     text = F.when(F.col("__qw_gone").isNull(), F.col("text")).otherwise(F.array_join(left, separator))
     return joined.withColumn("text", text).select(*docs.columns)
+
+
+def sentences(docs: DataFrame) -> DataFrame:
+    """doc_id, unit_no, start, length, words, chars and digest of the sentences, within lines, that have letters or digits."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows: list[tuple] = []
+            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
+                no = 0
+                for found in _SENTENCE.finditer(text.as_py()):
+                    if n := normal_form(found[0]):
+                        rows.append((doc_id, no, found.start(), len(found[0]), n.count(" ") + 1, len(n), hashlib.blake2b(n.encode(), digest_size=16).digest()))
+                        no += 1
+            columns = list(zip(*rows, strict=True)) or [()] * 7
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], ["doc_id", "unit_no", "start", "length", "words", "chars", "digest"])
+
+    named = docs.where("text IS NOT NULL AND doc_id IS NOT NULL").select(F.col("doc_id").cast("bigint"), "text")
+    return named.mapInArrow(cut, "doc_id bigint, unit_no int, start bigint, length bigint, words bigint, chars bigint, digest binary")
+
+
+def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, min_chars: int = MIN_CHARS) -> DataFrame:
+    """doc_id, unit_no, start, length of the sentences that repeat earlier ones, in runs of at least ``min_words`` words or ``min_chars`` characters."""
+    found = save(sentences(docs).distinct())
+    place = F.struct("doc_id", "unit_no")
+    first = save(found.groupBy("digest").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1"))
+    often = F.broadcast(first.where(F.col("n") > _OFTEN).select("digest", "first"))
+    common = found.join(often, "digest")
+    rare = found.join(often, "digest", "left_anti").join(first.where(F.col("n") <= _OFTEN).select("digest", "first"), "digest")
+    later = common.unionByName(rare).where(place > F.col("first")).drop("first", "digest")
+    w = Window.partitionBy("doc_id").orderBy("unit_no")
+    runs = later.withColumn("run", F.col("unit_no") - F.row_number().over(w))
+    run = Window.partitionBy("doc_id", "run")
+    sized = runs.withColumns({"all_words": F.sum("words").over(run), "all_chars": F.sum("chars").over(run)})
+    return sized.where((F.col("all_words") >= min_words) | (F.col("all_chars") >= min_chars)).select("doc_id", "unit_no", "start", "length")
+
+
+def without(text: str, spans: list[tuple[int, int]]) -> str:
+    """``text`` without spans (start, length), the blanks after them, and lines that this empties."""
+    out, at = "", 0
+    for start, length in sorted(spans):
+        out += text[at:start] if start > at else ""
+        at = start + length
+        while at < len(text) and text[at] != "\n" and text[at].isspace():
+            at += 1
+        if at < len(text) and text[at] == "\n" and (not out or out.endswith("\n")):
+            at += 1
+    rest = text[at:]
+    return out[:-1] if spans and not rest and out.endswith("\n") else out + rest
+
+
+def dedup_passages(docs: DataFrame, min_words: int = MIN_WORDS, min_chars: int = MIN_CHARS) -> DataFrame:
+    """``docs`` with repeated passages taken out of the texts; other columns as they were."""
+    gone = save(repeated_passages(docs, min_words, min_chars).groupBy("doc_id").agg(F.collect_list(F.struct("start", "length")).alias("__qw_gone")))
+    cut = F.udf(lambda text, spans: None if text is None or spans is None else without(text, [tuple(s) for s in spans]), "string")
+    joined = docs.join(gone, "doc_id", "left")
+    text = F.when(F.col("__qw_gone").isNull(), F.col("text")).otherwise(cut(F.when(F.col("__qw_gone").isNotNull(), F.col("text")), "__qw_gone"))
+    return joined.withColumn("text", text).select(*docs.columns)
