@@ -226,6 +226,15 @@ def i11_retrieve(spark: SparkSession, sf: str) -> DataFrame:
     return index.retrieve(table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text"), described, 5)
 
 
+@query(r"""WITH q AS (SELECT DISTINCT item_id AS query_id, unnest(string_split_regex(lower(text), '[^\p{L}\p{N}]+')) AS term FROM benchmark), d AS (SELECT DISTINCT doc_id, 0 AS chunk_no, unnest(string_split_regex(lower(coalesce(text, '') || ' ' || source || ' ' || lang), '[^\p{L}\p{N}]+')) AS term FROM documents),
+s AS (SELECT query_id, doc_id, chunk_no, count(*) AS score FROM q JOIN d USING (term) WHERE length(term) > 2 GROUP BY 1, 2, 3), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id, chunk_no) AS INT) AS rank FROM s)
+SELECT query_id, rank, doc_id, chunk_no, score FROM r WHERE rank <= 5""")
+def i11_retrieve_whole(spark: SparkSession, sf: str) -> DataFrame:
+    """Benchmark items as queries over documents described by their whole texts."""
+    described = table(spark, sf, "documents").select("doc_id", F.lit(0).alias("chunk_no"), F.col("text").alias("main"), F.array("source").alias("subtopics"), F.array("lang").alias("tags"))
+    return index.retrieve(table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text"), described, 5)
+
+
 @query(f"""WITH {SECTIONS_SQL}, {_DESCRIBED_SQL}, t AS (SELECT doc_id, unnest(string_split(tags, '|')) AS tag FROM described), n AS (SELECT doc_id, tag, count(*) AS n FROM t GROUP BY 1, 2), f AS (SELECT tag, count(*) AS df FROM n GROUP BY 1),
 r AS (SELECT *, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, tag) AS INT) AS rank FROM n) SELECT doc_id, tag, n, df, rank FROM r JOIN f USING (tag) WHERE rank <= 3""")
 def i12_tag_stats(spark: SparkSession, sf: str) -> DataFrame:
