@@ -67,7 +67,7 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.repeated_units(table(spark, sf_dir, "documents"))
+    return line_dedup.repeated_passages(table(spark, sf_dir, "documents")).drop("tag")
 
 
 def op9_bpe_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -106,19 +106,52 @@ SELECT page_id, host, path, rule,
 FROM ruled
 """
 
-LINE_SQL = r"""
-WITH cut AS (
-  SELECT doc_id, CAST(generate_subscripts(u, 1) - 1 AS INTEGER) AS unit_no, unnest(u) AS line
-  FROM (SELECT DISTINCT doc_id, string_split(text, chr(10)) AS u FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL)),
-lines AS (SELECT *, coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY unit_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM cut),
-normal AS (SELECT doc_id, unit_no, start, line, trim(regexp_replace(lower(line), '[^\p{L}\p{N}]+', ' ', 'g')) AS n FROM lines),
-taken AS (SELECT DISTINCT * FROM normal WHERE len(string_split(n, ' ')) >= 20),
-firsts AS (SELECT n, min(struct_pack(d := doc_id, u := unit_no)) AS f FROM taken GROUP BY n)
-SELECT doc_id, CAST(unit_no AS INTEGER) AS unit_no, CAST(start AS BIGINT) AS start, CAST(length(line) AS BIGINT) AS length,
-       f.d AS kept_doc_id, CAST(f.u AS INTEGER) AS kept_unit_no
-FROM taken JOIN firsts USING (n) WHERE doc_id != f.d OR unit_no != f.u
+_WORD = r"[^\x20\x09-\x0D。！？；：，、]*[。！？；：，、]+|[^\x20\x09-\x0D。！？；：，、]+"
+_CLOSING = r"""["''”’»)\]]?$"""
+
+PASSAGE_SQL = rf"""
+WITH texts AS (SELECT DISTINCT doc_id, text FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL),
+cut AS (SELECT doc_id, unnest(a) AS x, generate_subscripts(a, 1) AS k FROM (SELECT doc_id, regexp_extract_all(text, '[\x20\x09-\x0D]*(?:{_WORD})') AS a FROM texts)),
+placed AS (
+  SELECT doc_id, k, regexp_replace(x, '^[\x20\x09-\x0D]*', '') AS w, sum(length(x)) OVER o AS finish,
+         sum(CASE WHEN contains(x, chr(10)) THEN 1 ELSE 0 END) OVER o AS line
+  FROM cut WINDOW o AS (PARTITION BY doc_id ORDER BY k)),
+words AS (
+  SELECT *, trim(regexp_replace(lower(w), '[^\p{{L}}\p{{N}}]+', ' ', 'g')) AS n, finish - length(w) AS start,
+         list_sum([unicode(c) FOR c IN string_split(regexp_replace(lower(w), '[^\p{{L}}\p{{N}}]+', '', 'g'), '')]) AS chk
+  FROM placed WHERE regexp_matches(w, '[\p{{L}}\p{{N}}]')),
+ended AS (SELECT *, coalesce(lead(line) OVER (PARTITION BY doc_id ORDER BY k) != line, true) AS line_end FROM words),
+marked AS (SELECT *, line_end OR regexp_matches(w, '[.!?;:…。！？；：]{_CLOSING}') AS s_end FROM ended),
+in_sentence AS (SELECT *, coalesce(sum(s_end::INT) OVER (PARTITION BY doc_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s FROM marked),
+pieced AS (SELECT *, s_end OR (count(*) OVER (PARTITION BY doc_id, s) > {line_dedup.LONG} AND (regexp_matches(w, '[,，、]{_CLOSING}') OR chk % {line_dedup.WORD_CUT} = 0)) AS p_end FROM in_sentence),
+in_piece AS (SELECT *, coalesce(sum(p_end::INT) OVER (PARTITION BY doc_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS p FROM pieced),
+united AS (SELECT *, p_end AND (line_end OR count(*) OVER q >= {line_dedup.SHORT} OR sum(chk) OVER q % {line_dedup.PIECE_CUT} = 0) AS u_end FROM in_piece WINDOW q AS (PARTITION BY doc_id, p)),
+in_unit AS (SELECT *, coalesce(sum(u_end::INT) OVER (PARTITION BY doc_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS u FROM united),
+units AS (SELECT doc_id, u, min(start) AS start, max(finish) AS finish, count(*) AS words, sum(length(replace(n, ' ', ''))) AS chars, string_agg(n, ' ' ORDER BY k) AS n FROM in_unit GROUP BY doc_id, u),
+-- a unit has a word at least, so a stretch has at most as many units as words are asked for
+runs AS (
+  SELECT doc_id, u, start, list(n) OVER f AS ns, list(finish) OVER f AS ends, list(words) OVER f AS ws, list(chars) OVER f AS cs
+  FROM units WINDOW f AS (PARTITION BY doc_id ORDER BY u ROWS BETWEEN CURRENT ROW AND {line_dedup.MIN_WORDS - 1} FOLLOWING)),
+tried AS (SELECT *, unnest(range(1, len(ns) + 1)) AS m FROM runs),
+sized AS (
+  SELECT doc_id, u, m, start, ends[m] AS finish, list_sum(ws[1:m]) AS words, list_sum(cs[1:m]) AS chars, ws[1] AS w1, cs[1] AS c1, ws[m] AS wm, cs[m] AS cm, ns FROM tried),
+taken AS (
+  SELECT doc_id, start, finish, array_to_string(ns[1:m], ' ') AS n FROM sized
+  WHERE (words >= {line_dedup.MIN_WORDS} OR chars >= {line_dedup.MIN_CHARS})
+    AND (words - wm < {line_dedup.MIN_WORDS} AND chars - cm < {line_dedup.MIN_CHARS} OR words - w1 < {line_dedup.MIN_WORDS} AND chars - c1 < {line_dedup.MIN_CHARS})),
+firsts AS (SELECT n, min(struct_pack(d := doc_id, s := start, e := finish)) AS f FROM taken GROUP BY n),
+later AS (
+  SELECT doc_id, CASE WHEN doc_id = f.d THEN greatest(start, f.e) ELSE start END AS b, finish AS e, f.d AS kept_doc_id, f.s AS kept_start
+  FROM taken JOIN firsts USING (n) WHERE doc_id != f.d OR start != f.s),
+islands AS (
+  SELECT *, sum(fresh) OVER (PARTITION BY doc_id ORDER BY b, e, kept_doc_id, kept_start ROWS UNBOUNDED PRECEDING) AS run
+  FROM (SELECT *, CASE WHEN b <= max(e) OVER (PARTITION BY doc_id ORDER BY b, e, kept_doc_id, kept_start ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 1 THEN 0 ELSE 1 END AS fresh
+        FROM later WHERE b < e))
+SELECT doc_id, CAST(min(b) AS BIGINT) AS start, CAST(max(e) - min(b) AS BIGINT) AS length,
+       arg_min(kept_doc_id, struct_pack(b, e, kept_doc_id, kept_start)) AS kept_doc_id, CAST(arg_min(kept_start, struct_pack(b, e, kept_doc_id, kept_start)) AS BIGINT) AS kept_start
+FROM islands GROUP BY doc_id, run
 """
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_url_cascade": URL_SQL, "op8_line_dedup": LINE_SQL}
+    return {"op2_url_cascade": URL_SQL, "op8_line_dedup": PASSAGE_SQL}

@@ -14,7 +14,7 @@ import pytest
 import xxhash
 from conftest import DATA, rows, same_rows
 
-from quireworks.llm import anisotropic_ann, bpe_stream, components, license_templates, line_dedup, outliers, quality_gam, queries, simhash, source_mix, token_rollups, url_cascade
+from quireworks.llm import anisotropic_ann, bpe_stream, components, license_templates, outliers, quality_gam, queries, simhash, source_mix, token_rollups, url_cascade
 
 DOCS = "doc_id bigint, text string, lang string, source string, words string, size int, taken int"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -363,35 +363,6 @@ def test_simhash(spark, docs, odd, nothing):
     assert left.columns == odd.columns and {r.doc_id for r in left.collect()} == {1, 4, 5, 6, 7, 8, None}
 
 
-# 8
-
-
-def repeats_by_loop(texts, least):
-    seen, out = {}, []
-    for i, text in sorted(texts.items()):
-        start = 0
-        for no, unit in enumerate((text or "").split("\n")):
-            n = " ".join(re.findall(r"[^\W_]+", unit.lower()))
-            if len(n.split()) >= least:
-                if n in seen:
-                    out.append((i, no, start, len(unit), *seen[n]))
-                seen.setdefault(n, (i, no))
-            start += len(unit) + 1
-    return sorted(out)
-
-
-def test_repeated_units(spark, docs, odd, nothing):
-    for table, least in ((docs, 20), (docs, 3), (odd.where("doc_id IS NOT NULL"), 2)):
-        texts = {r.doc_id: r.text for r in table.collect()}
-        assert sorted(map(tuple, line_dedup.repeated_units(table, least).collect())) == repeats_by_loop(texts, least)
-    left = {r.doc_id: r.text for r in line_dedup.dedup(odd, 2).collect()}
-    assert left[6] == "same words in here" and left[1] is None and left[5] == LONG and left[None] == "no id at all"
-    assert line_dedup.dedup(nothing).count() == 0 and line_dedup.dedup(odd).columns == odd.columns
-    # nothing of a text but its repeated units goes
-    for r in line_dedup.dedup(docs).join(docs.selectExpr("doc_id", "text AS old"), "doc_id").collect():
-        assert set(r.text.split("\n")) <= set(r.old.split("\n")) | {""}
-
-
 # 9
 
 
