@@ -23,8 +23,8 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the passages, runs of sentences within lines or across them, that stood earlier in the corpus."""
-    return line_dedup.dedup_passages(docs)
+    """Texts without the passages, within lines or across them, that stood earlier in the corpus."""
+    return line_dedup.dedup(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
