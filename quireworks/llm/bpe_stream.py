@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 _SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _TOKEN = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[\p{{L}}]+|[\p{{N}}]|[^{_SPACE}\p{{L}}\p{{N}}]+")
 END = "</w>"
-CACHE_WORDS, CACHE_LENGTH = 250_000, 40
+CACHE_WORDS, CACHE_LENGTH = 100_000, 40
 
 
 def byte_symbols() -> list[str]:

@@ -40,7 +40,7 @@ WORD_CUT, PIECE_CUT = 16, 4
 MARKS = {"sentence": ".!?;:…", "wide sentence": "。！？；：", "clause": ",", "wide clause": "，、", "closing": "\"'”’»)]"}
 _KINDS = {name: k for k, name in enumerate(MARKS, 2)}
 #: Characters that are worked on at once, if a text isn't longer.
-_AT_ONCE = 1 << 20
+_AT_ONCE = 1 << 17
 
 
 @cache
@@ -63,19 +63,21 @@ class _Rolling:
     def __init__(self, seed: int):
         rng = np.random.default_rng(seed)
         self.factor, self.spread, self.start = (int(x) | 1 for x in rng.integers(1 << 62, 1 << 63, 3))
-        self.powers = self.inverse = np.ones(1, dtype=np.uint64)
+        self.kept = self._steps(2 * _AT_ONCE)
+
+    def _steps(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """The factor's powers up to ``n``, and their inverses."""
+        steps = lambda x: np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n, x, np.uint64)]))
+        return steps(self.factor), steps(pow(self.factor, -1, 1 << 64))
 
     def __call__(self, letters: np.ndarray, starts: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-        if len(letters) >= len(self.powers):
-            n = 2 * len(letters) + 1
-            steps = lambda x: np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n - 1, x, np.uint64)]))
-            self.powers, self.inverse = steps(self.factor), steps(pow(self.factor, -1, 1 << 64))
+        powers, inverse = self.kept if len(letters) <= 2 * _AT_ONCE else self._steps(len(letters))
         x = (letters.astype(np.uint64) + np.uint64(self.start) * starts) * np.uint64(self.spread)
         x ^= x >> np.uint64(31)
         x *= np.uint64(self.spread)
         x ^= x >> np.uint64(29)
-        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(x * self.powers[: len(x)], dtype=np.uint64)])
-        return ((sums[end] - sums[begin]) * self.inverse[begin]).view(np.int64)
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(x * powers[: len(x)], dtype=np.uint64)])
+        return ((sums[end] - sums[begin]) * inverse[begin]).view(np.int64)
 
 
 _FIRST, _SECOND = _Rolling(8), _Rolling(80)
@@ -204,7 +206,7 @@ def dedup(docs: DataFrame, min_words: int = MIN_WORDS, min_chars: int = MIN_CHAR
 
     @F.arrow_udf("string")
     def cut(texts: pa.Array, gone: pa.Array) -> pa.Array:
-        return pa.array([None if t is None else without(t, [(s["start"], s["length"]) for s in g or ()]) for t, g in zip(texts.to_pylist(), gone.to_pylist(), strict=True)], pa.string())
+        return pa.array((None if not t.is_valid else without(t.as_py(), [(s["start"], s["length"]) for s in g.as_py()]) for t, g in zip(texts, gone, strict=True)), pa.string())
 
     named = docs.withColumns({"__qw_id": F.col("doc_id").cast("bigint"), "__qw_tag": _tag()})
     joined = named.join(gone, ["__qw_id", "__qw_tag"], "left")

@@ -8,7 +8,8 @@ so that large groups of copies cost little more than one check a text. Pairs alr
 SimHash links of radius 2 count too, so a component holds all that ``simhash`` joins.
 
 Cases: a text of less than five words is one shingle; a text without words (null too) has no shingles and has SimHash links alone; rows
-without a doc_id take no part and stay; rows that repeat a doc_id are one document; an empty table gives an empty result.
+without a doc_id take no part and stay; rows that repeat a doc_id are one document, linked by any of
+its texts; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -49,11 +50,11 @@ def shingles(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
 
 
 def band_keys(hashes: np.ndarray) -> np.ndarray:
-    """One key a band."""
+    """One key a band; keys of different bands differ too."""
     least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, dtype=np.uint64)
     for at in range(0, len(hashes), 1024):  # bounded memory for long texts
         least = np.minimum(least, (hashes[at : at + 1024, None] * _TIMES + _PLUS).min(axis=0))
-    keys = np.zeros(BANDS, dtype=np.uint64)
+    keys = np.arange(1, BANDS + 1, dtype=np.uint64) * _MIX
     for part in least.reshape(BANDS, ROWS).T:
         keys = (keys ^ part) * _MIX
         keys ^= keys >> np.uint64(29)
@@ -77,68 +78,64 @@ def _sketches(docs: DataFrame) -> DataFrame:
 
 
 def _sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """node and hashes, for the documents in ``nodes`` (node, digest)."""
+    """node, n (shingles) and hashes, of each text of the documents in ``nodes`` (node)."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for node, digest, text in zip(batch.column("node").to_pylist(), batch.column("digest").to_pylist(), batch.column("text"), strict=True):
-                packed = shingles(text.as_py()).tobytes()
-                if hashlib.blake2b(packed, digest_size=16).digest() == digest:  # a repeated doc_id may have another text
-                    rows.append((node, digest, packed))
-            columns = list(zip(*rows, strict=True)) or [()] * 3
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.binary(), pa.binary()), strict=True)], ["node", "digest", "hashes"])
+            for at in range(0, batch.num_rows, 1000):
+                part = batch.slice(at, 1000)
+                found = [shingles(x.as_py()) for x in part.column("text")]
+                yield pa.RecordBatch.from_arrays([part.column("node"), pa.array(map(len, found), pa.int64()), pa.array((x.tobytes() for x in found), pa.binary())], ["node", "n", "hashes"])
 
-    texts = nodes.join(docs.select(F.col("doc_id").cast("bigint").alias("node"), "text"), "node")
-    return texts.select("node", "digest", "text").mapInArrow(work, "node bigint, digest binary, hashes binary").distinct()
+    # texts of a document that is there more than once are told apart where the join has brought them together
+    texts = nodes.join(docs.select(F.col("doc_id").cast("bigint").alias("node"), "text"), "node").distinct()
+    return texts.mapInArrow(work, "node bigint, n bigint, hashes binary")
 
 
 def _alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b: digests) whose sets are similar enough; a set in many pairs is copied to several places."""
+    """The pairs (a, b: nodes) with similar enough sets; a set in many pairs is copied to several places."""
     share = pairs.groupBy("a").agg(F.ceil(F.count("*") / _TOGETHER).cast("int").alias("places"))
     dealt = pairs.join(share, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("places")).cast("int").alias("place"))
-    left = share.join(sets.select(F.col("digest").alias("a"), F.col("hashes").alias("x")), "a").select("a", "x", F.explode(F.sequence(F.lit(0), F.col("places") - 1)).alias("place"))
-    both = dealt.join(sets.select(F.col("digest").alias("b"), F.col("hashes").alias("y")), "b").join(left, ["a", "place"]).select("a", "b", "x", "y")
+    right = dealt.join(sets.select(F.col("node").alias("b"), F.col("hashes").alias("y"), F.col("n").alias("ny")), "b")
+    left = share.join(sets.select(F.col("node").alias("a"), F.col("hashes").alias("x"), F.col("n").alias("nx")), "a").withColumn("place", F.explode(F.sequence(F.lit(0), F.col("places") - 1))).drop("places")
+    both = right.join(left, ["a", "place"]).where((similarity * F.col("nx") <= F.col("ny")) & (similarity * F.col("ny") <= F.col("nx"))).select("a", "b", "x", "y")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             taken = []
             for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
-                x, y = np.frombuffer(x.as_py(), dtype=np.uint64), np.frombuffer(y.as_py(), dtype=np.uint64)
-                common = len(np.intersect1d(x, y, assume_unique=True)) if similarity * max(len(x), len(y)) <= min(len(x), len(y)) else 0
+                x, y = np.frombuffer(x.as_buffer(), dtype=np.uint64), np.frombuffer(y.as_buffer(), dtype=np.uint64)
+                common = len(np.intersect1d(x, y, assume_unique=True))
                 taken.append(common >= similarity * (len(x) + len(y) - common))
             yield batch.select(["a", "b"]).filter(pa.array(taken, pa.bool_()))
 
-    return both.mapInArrow(check, "a binary, b binary")
+    return both.mapInArrow(check, "a bigint, b bigint")
 
 
 def components(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """doc_id and root, the smallest doc_id of its component, for each document that is linked to another."""
     found = save(_sketches(docs))
-    classes = save(found.groupBy("digest").agg(F.min("doc_id").alias("node")))
-    same = found.join(classes, "digest").where("doc_id != node").select(F.col("node").alias("a"), F.col("doc_id").alias("b"))
+    classes = save(found.groupBy("digest").agg(F.min("doc_id").alias("node"), F.any_value("keys").alias("keys")))
+    same = found.select("digest", "doc_id").join(classes.select("digest", "node"), "digest").where("doc_id != node").select(F.col("node").alias("a"), F.col("doc_id").alias("b"))
     close = simhash.simhash_components(docs).where("doc_id != component_id").select(F.col("component_id").alias("a"), F.col("doc_id").alias("b"))
     edges = save(same.unionByName(close))
 
-    one = found.withColumnRenamed("doc_id", "node").join(classes, ["digest", "node"])
-    keyed = one.select("digest", "node", F.posexplode("keys").alias("band", "key")).distinct()
-    least = keyed.groupBy("band", "key").agg(F.min("digest").alias("a"), F.count("*").alias("n")).where("n > 1").drop("n")
-    met = save(keyed.join(least, ["band", "key"]).select("band", "key", "digest", "node", "a"))
-    sets = save(_sets(docs, met.select("node", "digest").distinct()))
+    keyed = classes.select("node", F.explode("keys").alias("key"))
+    least = keyed.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a != z").drop("z")
+    met = save(keyed.join(least, "key").select("key", "node", "a"))
+    sets = save(_sets(docs, met.select("node").distinct()))
 
     def linked(pairs: DataFrame) -> DataFrame:
-        """Edges with those of the similar ones of ``pairs`` added."""
-        alike = _alike(pairs, sets, similarity)
-        a, b = classes.select(F.col("digest").alias("a"), F.col("node").alias("na")), classes.select(F.col("digest").alias("b"), F.col("node").alias("nb"))
-        return save(edges.unionByName(alike.join(a, "a").join(b, "b").select(F.col("na").alias("a"), F.col("nb").alias("b"))))
+        """Edges with the similar ones of ``pairs`` added."""
+        return save(edges.unionByName(_alike(pairs, sets, similarity)))
 
-    edges = linked(save(met.where("a != digest").select("a", F.col("digest").alias("b")).distinct()))
+    edges = linked(save(met.where("a != node").select("a", F.col("node").alias("b")).distinct()))
     roots = smallest_reachable(edges)
-    rooted = met.join(roots, "node", "left").select("band", "key", "digest", F.coalesce("root", "node").alias("root"))
-    several = rooted.groupBy("band", "key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x != y").select("band", "key")
-    open_ = save(rooted.join(several, ["band", "key"]))
-    left, right = open_.select("band", "key", F.col("digest").alias("a"), F.col("root").alias("ra")), open_.select("band", "key", F.col("digest").alias("b"), F.col("root").alias("rb"))
-    across = left.join(right, ["band", "key"]).where("a < b AND ra != rb").select("a", "b").distinct()
+    rooted = met.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
+    several = rooted.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x != y").select("key")
+    open_ = save(rooted.join(several, "key"))
+    left, right = open_.select("key", F.col("node").alias("a"), F.col("root").alias("ra")), open_.select("key", F.col("node").alias("b"), F.col("root").alias("rb"))
+    across = left.join(right, "key").where("a < b AND ra != rb").select("a", "b").distinct()
     edges = linked(save(across))
     return smallest_reachable(edges).select(F.col("node").alias("doc_id"), "root")
 
