@@ -110,7 +110,7 @@ class Merges:
         pair = a * self.wide + b
         found = self._stable.get(pair)
         if found is None:
-            if len(self._stable) > 200_000:
+            if len(self._stable) > 100_000:
                 self._stable.clear()
             found = self._stable[pair] = not self._crosses(a, b, float("inf"))
         return found
