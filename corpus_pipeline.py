@@ -12,18 +12,31 @@ from quireworks.llm.common import save, table
 from quireworks.llm.queries import tokenizer_path
 
 
+#: Texts that an Arrow batch holds at most: of long ones, the default of 10,000 takes too much memory beside the heap.
+BATCH_TEXTS = 1000
+
+
+def _bounded(spark: SparkSession) -> None:
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_TEXTS:
+        spark.conf.set(name, str(BATCH_TEXTS))
+
+
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier, trained on the labelled ones among them, doesn't reject."""
+    _bounded(spark)
     return quality_gam.keep(docs, quality_gam.train(docs, table(spark, sf_dir, "labels")))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component of texts with a 5-word similarity of 0.8 or more, or with SimHash fingerprints within 2 bits."""
+    _bounded(spark)
     return near_copies.dedup(docs)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the passages, within lines or across them, that stood earlier in the corpus."""
+    _bounded(spark)
     return line_dedup.dedup(docs)
 
 
@@ -34,6 +47,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 and decoded_sha256 of each text, encoded and decoded again."""
+    _bounded(spark)
     return bpe_stream.digests(docs, tokenizer_path("word_bpe_49k.json"))
 
 
