@@ -2,10 +2,11 @@
 
 Level 0 encodes the listed keys. Those keys of the corpus that it takes for listed by mistake are encoded by level 1, the listed keys
 that level 1 takes for mistakes by level 2, and so on, until a level makes no mistake over the complete key universe. All steps are
-DataFrame expressions; keys stay in tables, and only the filters, whose size is checked, become literals of the final expression.
+DataFrame expressions; keys stay in tables, and only the filters, whose size is checked, become literals of the final expression, each
+once. A list too long for filters of ``max_bytes`` is answered by an equality join instead, as exactly.
 
 Cases: a null url or one without ``://`` has neither keys nor host; empty lists or tables give no levels and nothing is listed;
-repeated rows get equal verdicts; null keys of the list are ignored; other columns are ignored.
+repeated rows get equal verdicts; rules of one length that fit alike are taken in the order of their text; null keys of the list are ignored; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -20,47 +21,46 @@ from pyspark.sql import functions as F
 from quireworks.llm.common import ascii_lower, save
 
 
+#: Bits that a byte of a filter holds: bytes below 128 are characters, so ``ascii`` reads them.
+BITS = 7
+#: Bits of a row in which a filter is built.
+ROW_BITS = 8 * BITS
+
+
 @dataclass(frozen=True)
 class Level:
     bits: int
     hashes: int
     seed: int
-    words: np.ndarray
+    filter: bytes
 
     def holds(self, key: Column) -> Column:
-        test = lambda p: F.get(F.lit(self.words), F.floor(p / 64).cast("int")).bitwiseAND(_bit(p)) != 0
-        found = test(_place(key, self, 0))
-        for k in range(1, self.hashes):
-            found = found & test(_place(key, self, k))
-        return found
-
-
-def _place(key: Column, level: Level, k: int) -> Column:
-    return F.pmod(F.xxhash64(key, F.lit(level.seed * 64 + k)), F.lit(level.bits).cast("long"))
-
+        """Whether all places of ``key`` are set; the filter stands once in the expression, however many hash functions there are."""
+        places = F.transform(F.sequence(F.lit(0), F.lit(self.hashes - 1)), lambda k: F.pmod(F.xxhash64(key, F.lit(self.seed), k), F.lit(self.bits).cast("long")))
+        byte = lambda p: F.ascii(F.substring(F.lit(self.filter), F.floor(p / BITS).cast("int") + 1, F.lit(1)).cast("string"))
+        return F.forall(places, lambda p: byte(p).bitwiseAND(F.call_function("shiftleft", F.lit(1), F.pmod(p, F.lit(BITS)).cast("int"))) != 0)
 
-def _bit(place: Column) -> Column:
-    return F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(place, F.lit(64)).cast("int"))
 
-
-def _level(keys: DataFrame, n: int, wrong: float, seed: int, max_bytes: int) -> Level:
-    """The filter over ``keys``; bits are combined map-side, so at most one row for each of its words is shuffled."""
+def _level(keys: DataFrame, n: int, wrong: float, seed: int, max_bytes: int) -> Level | None:
+    """The filter over ``keys``, None if it is too large; bits are combined map-side, so at most one row for each eight of its bytes is shuffled."""
     hashes = max(1, min(30, round(-math.log2(wrong))))
-    words = max(1, math.ceil(n * hashes / math.log(2) / 64))
-    if words * 8 > max_bytes:
-        raise ValueError(f"a filter of {words * 8} bytes for {n} keys is beyond max_bytes={max_bytes}; join the list instead")
-    level = Level(words * 64, hashes, seed, np.zeros(words, dtype=np.int64))
-    places = keys.select(F.explode(F.array(*[_place(F.col("key"), level, k) for k in range(hashes)])).alias("p"))
-    bits = places.groupBy(F.floor(F.col("p") / 64).alias("word")).agg(F.bit_or(_bit(F.col("p"))).alias("bits"))
-    for row in bits.toLocalIterator():  # bounded by max_bytes
-        level.words[row["word"]] = row["bits"]
-    return level
-
-
-def build_cascade(keys: DataFrame, wrong: float = 0.1, max_bytes: int = 16 << 20) -> list[Level]:
-    """Levels over ``keys``: a row (key, listed) for each key of the universe.
-
-    ``wrong`` is the share of mistakes that a level after the first may make. Filters are bounded by ``max_bytes`` each.
+    rows = max(1, math.ceil(n * hashes / math.log(2) / ROW_BITS))
+    if rows * 8 > max_bytes:
+        return None
+    bits = rows * ROW_BITS
+    places = keys.select(F.explode(F.transform(F.sequence(F.lit(0), F.lit(hashes - 1)), lambda k: F.pmod(F.xxhash64("key", F.lit(seed), k), F.lit(bits).cast("long")))).alias("p"))
+    row, bit = F.floor(F.col("p") / ROW_BITS), F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod("p", F.lit(ROW_BITS)).cast("int"))
+    held = places.groupBy(row.alias("row")).agg(F.bit_or(bit).alias("bits")).toPandas()  # bounded by max_bytes
+    found = np.zeros((rows, 8), dtype=np.uint8)
+    for byte in range(8):
+        found[held["row"].to_numpy(dtype=np.int64), byte] = (held["bits"].to_numpy(dtype=np.int64) >> (BITS * byte)) & 127
+    return Level(bits, hashes, seed, found.tobytes())
+
+
+def build_cascade(keys: DataFrame, wrong: float = 0.1, max_bytes: int = 16 << 20) -> list[Level] | None:
+    """Levels over ``keys``: a row (key, listed) for each key of the universe; None if the list is too long for filters of ``max_bytes``.
+
+    ``wrong`` is the share of mistakes that a level after the first may make.
     """
     counts = keys.agg(F.count_if("listed").alias("yes"), F.count_if(~F.col("listed")).alias("no")).first()
     n, others, levels = counts["yes"], counts["no"], []
@@ -68,6 +68,8 @@ def build_cascade(keys: DataFrame, wrong: float = 0.1, max_bytes: int = 16 << 20
         share = min(0.5, max(1e-6, n / (math.sqrt(2) * max(others, 1)))) if not levels else wrong
         inside = F.col("listed") if len(levels) % 2 == 0 else ~F.col("listed")
         level = _level(keys.where(inside), n, share, len(levels), max_bytes)
+        if level is None:
+            return None
         levels.append(level)
         # those encoded stay; of the others, only the ones that this level mistakes go on
         keys = save(keys.where(inside | level.holds(F.col("key"))))
@@ -111,7 +113,7 @@ def matching_rule(host: Column, path: Column, rules: list[tuple[str, str]]) -> C
 def filter_urls(pages: DataFrame, listed: DataFrame, rules: list[tuple[str, str]], wrong: float = 0.1, max_bytes: int = 16 << 20) -> DataFrame:
     """page_id, host, path, rule and verdict (allow or block) for each row of ``pages`` (page_id, url).
 
-    A url that a rule fits gets the rule's verdict, and is else blocked if ``listed`` (key) names its host, a domain above it,
+    ``max_bytes`` bounds each filter. A url that a rule fits gets the rule's verdict, and is else blocked if ``listed`` (key) names its host, a domain above it,
     or its host with its path.
     """
     host, path = host_and_path(F.col("url"))
@@ -125,6 +127,13 @@ def filter_urls(pages: DataFrame, listed: DataFrame, rules: list[tuple[str, str]
     by_rule = F.lit(None).cast("string")
     for text, verdict in verdicts.items():
         by_rule = F.when(F.col("rule") == text, F.lit(verdict)).otherwise(by_rule)
-    blocked = F.exists("keys", lambda k: in_cascade(levels, k))
+    if levels is None:
+        # by an equality join on rows of their own number, as a page may be there more than once
+        split = save(split.withColumn("row", F.monotonically_increasing_id()))
+        hits = split.select("row", F.explode("keys").alias("key")).join(keys.where("listed").select("key"), "key").select("row").distinct()
+        split = split.join(hits.withColumn("hit", F.lit(True)), "row", "left")
+        blocked = F.col("hit").isNotNull()
+    else:
+        blocked = F.exists("keys", lambda k: in_cascade(levels, k))
     found = split.withColumn("rule", matching_rule(F.col("host"), F.col("path"), rules))
     return found.select("page_id", "host", "path", "rule", F.coalesce(by_rule, F.when(blocked, "block").otherwise("allow")).alias("verdict"))
