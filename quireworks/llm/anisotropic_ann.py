@@ -5,12 +5,15 @@ counts the part of the residual that is parallel to the vector more than the res
 queries that score high. Codewords come from a bounded sample; every vector is encoded. A search adds up table entries over the codes,
 two codes a look, keeps the best of each block of candidates, and ranks these again by exact inner products in double precision.
 
+Candidates meet in blocks with blocks of queries, so a candidate is shuffled once for each query block, and work grows with queries times
+candidates: no partition of directions is used to skip blocks, as on vectors without clusters it costs too much recall.
+
 Equal vectors are one candidate with its smallest ids, so many copies neither crowd out others nor cost anything. Queries and candidates
 meet in blocks of bounded size, each query block with each candidate block, and a block gives a few rows for each query.
 
 Cases: vectors that are null, zero, of another than the commonest length, or hold null or non-finite components, and rows without an id
 take no part, as queries or candidates; a repeated row counts once; ties go to smaller ids; with fewer candidates than asked for, all are
-given; an empty table gives an empty result; other columns are ignored.
+given; components may be of any numeric type; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -125,7 +128,7 @@ def _matrix(column: pa.ChunkedArray) -> np.ndarray:
     return flat.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(flat), -1)
 
 
-def nearest(vectors: DataFrame, is_query: Column, k: int = 20, sample: int = 20_000, block: int = 8192, query_block: int = 1024, rerank: int = 256) -> DataFrame:
+def nearest(vectors: DataFrame, is_query: Column, k: int = 20, sample: int = 20_000, block: int = 8192, query_block: int = 4096, rerank: int = 256) -> DataFrame:
     """query_id, rank, vec_id and score: the ``k`` nearest others found for each row of vectors (vec_id, embedding) that ``is_query``.
 
     At most about ``sample`` vectors, chosen by a hash, train the codewords. In each block of at most about ``block`` candidates, the
@@ -154,7 +157,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, sample: int = 20_
             both = (codes[:, 0::2] * CODES + codes[:, 1::2]).astype(np.uint8)
             yield pa.RecordBatch.from_arrays([batch.column("cid"), batch.column("embedding"), batch.column("ids"), pa.array([r.tobytes() for r in both], pa.binary())], ["cid", "embedding", "ids", "codes"])
 
-    coded = classes.mapInArrow(code, "cid bigint, embedding array<float>, ids array<bigint>, codes binary")
+    coded = classes.mapInArrow(code, f"cid bigint, embedding {classes.schema['embedding'].dataType.simpleString()}, ids array<bigint>, codes binary")
     queries = save(rows.where("q").select("vec_id", "embedding").distinct().join(classes.select("embedding", "cid"), "embedding").select("vec_id", "cid", "embedding"))
     asked = save(queries.groupBy("cid").agg(F.min("embedding").alias("embedding")))
     n_blocks, n_asked = max(1, math.ceil(n / block)), asked.count()
