@@ -11,7 +11,7 @@ meet at such a word are linked to the smallest of them. A word is within 1 bit o
 other radii, words within r // 2 bits are used if r is even; odd radii first use r + 1 and need a check of each pair, and aren't offered.
 
 Cases: a text without words (null too) has fingerprint zero and is linked like any other; rows with a null doc_id get a fingerprint and
-are linked, and a class without any doc_id has a null component; repeated rows fall into one class; an empty table gives an empty
+link others, and a component without any doc_id has a null id; repeated rows fall into one class; an empty table gives an empty
 result; columns beyond doc_id and text are ignored by ``simhash_components`` and kept by ``dedup``.
 """
 
@@ -93,9 +93,12 @@ def fingerprint_links(classes: DataFrame, radius: int = RADIUS) -> DataFrame:
 def simhash_components(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
     """doc_id, fingerprint (16 hexadecimal digits) and component_id for each row of ``docs`` (doc_id, text)."""
     fps = save(fingerprints(docs, shingle))
-    classes = save(fps.groupBy("fp").agg(F.min("doc_id").alias("node")))
-    roots = smallest_reachable(fingerprint_links(classes.where("node IS NOT NULL"), radius))
-    of_class = save(classes.join(roots, "node", "left").select("fp", F.coalesce("root", "node").alias("component_id")))
+    classes = save(fps.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    # nodes are fingerprints, as a class may have no doc_id and yet link others
+    roots = smallest_reachable(fingerprint_links(classes.select(F.col("fp").alias("node"), "fp"), radius))
+    rooted = save(classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root")))
+    of_root = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    of_class = save(rooted.join(of_root, "root").select("fp", "component_id"))
     return fps.join(of_class, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
