@@ -33,6 +33,8 @@ _SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _TOKEN = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[\p{{L}}]+|[\p{{N}}]|[^{_SPACE}\p{{L}}\p{{N}}]+")
 END = "</w>"
 CACHE_WORDS, CACHE_LENGTH = 100_000, 40
+#: Words whose ids and text are held at once where only digests are wanted.
+STREAM_WORDS = 4096
 
 
 def byte_symbols() -> list[str]:
@@ -300,7 +302,20 @@ class Codec:
     def both(self, text: str | None) -> tuple[bytes, str]:
         """Ids, and the text that they decode to."""
         ids = self.encode(text)
-        return ids, " ".join(map(self.names.__getitem__, array("I", ids)))
+        machine = Decoder(self)
+        return ids, machine.feed(array("I", ids)) + machine.finish()
+
+    def stream(self, text: str | None) -> Iterator[tuple[bytes, str]]:
+        """Ids and decoded text, bit by bit: of some thousand words each time, or of one very long word."""
+        machine, some = Decoder(self), []
+        for piece in self.pieces(text or ""):
+            some.append(piece)
+            if len(some) == STREAM_WORDS:
+                ids = b"".join(some)
+                yield ids, machine.feed(array("I", ids))
+                some.clear()
+        ids = b"".join(some)
+        yield ids, machine.feed(array("I", ids)) + machine.finish()
 
 
 class Decoder:
@@ -317,11 +332,20 @@ class Decoder:
         self.bytes = {c: i for i, c in enumerate(codec.symbols)}
         self.state = codecs.getincrementaldecoder("utf-8")(errors="replace")
 
+    def feed(self, ids: array) -> str:
+        """What these further ids add to the text."""
+        if self.words:
+            return "".join(map(self.push, ids))
+        out = " ".join(map(self.names.__getitem__, ids))
+        if self.started and ids:
+            out = " " + out
+        self.started = self.started or len(ids) > 0
+        return out
+
     def push(self, token_id: int) -> str:
-        name = self.names[token_id]
         if not self.words:
-            out, self.started = (" " if self.started else "") + name, True
-            return out
+            return self.feed(array("I", [token_id]))
+        name = self.names[token_id]
         if name in self.specials:
             return self.state.decode(b"", True) + name
         ended = name.endswith(END)
@@ -372,7 +396,8 @@ def _running(lengths: Iterable[int]) -> Iterator[int]:
 
 
 def digests(docs: DataFrame, path: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256 and decoded_sha256: what ``encode`` gives, digested where it is made."""
+    """doc_id, n_tokens, ids_sha256 and decoded_sha256: what ``encode`` gives, digested as the encoder and the decoder's state machine give it,
+    so neither ids nor decoded text of a document are held whole."""
 
     lookahead = codec(path).transducer.look
 
@@ -381,8 +406,12 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
         for batch in batches:
             rows = []
             for x in batch.column("text"):
-                ids, decoded = c.both(x.as_py())
-                rows.append((len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()))
+                n_bytes, of_ids, of_text = 0, hashlib.sha256(), hashlib.sha256()
+                for ids, decoded in c.stream(x.as_py()):
+                    n_bytes += len(ids)
+                    of_ids.update(ids)
+                    of_text.update(decoded.encode())
+                rows.append((n_bytes // 4, of_ids.hexdigest(), of_text.hexdigest()))
             n, a, b = zip(*rows, strict=True) if rows else ((), (), ())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
