@@ -191,9 +191,9 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, **settin
 
     # chosen is bounded by max_rows, some twenty bytes a row
     joined = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").selectExpr("CAST(doc_id AS bigint) AS doc_id", "CAST(y AS int) AS y", "text")
-    rows = joined.mapInArrow(work, "doc_id bigint, y int, x array<double>").toPandas()
-    # repeated documents count once, and the order is that of doc_id
-    rows = rows.drop_duplicates("doc_id").sort_values("doc_id")
+    # repeated documents count once, with the least of their texts, and the order is that of doc_id
+    once = joined.groupBy("doc_id", "y").agg(F.min("text").alias("text"))
+    rows = once.mapInArrow(work, "doc_id bigint, y int, x array<double>").toPandas().sort_values("doc_id")
     x = np.stack(rows["x"].to_numpy()) if len(rows) else np.zeros((0, len(FEATURES)))
     return fit(x, rows["y"].to_numpy(dtype=float), **settings)
 
