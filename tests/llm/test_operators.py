@@ -98,6 +98,18 @@ def test_cascade_is_exact(spark):
     assert len(levels) > 1
 
 
+def test_long_list(spark):
+    """A million listed keys, as literals and, with filters bounded lower, by a join: the same exact verdicts."""
+    from pyspark.sql import functions as F
+
+    listed = spark.range(1_000_000).select(F.concat(F.lit("l"), F.col("id").cast("string"), F.lit(".example.org")).alias("key"))
+    pages = spark.range(0, 1_200_000, 400).select(F.col("id").alias("page_id"), F.concat(F.lit("http://a.l"), F.col("id").cast("string"), F.lit(".example.org/x")).alias("url")).unionByName(spark.createDataFrame([(5, None), (5, None), (0, "http://a.l0.example.org/x")], "page_id bigint, url string"))
+    for most in (16 << 20, 4096):
+        got = url_cascade.filter_urls(pages, listed, [], max_bytes=most).select("page_id", "verdict").collect()
+        assert len(got) == 3003
+        assert all((r.verdict == "block") == (r.page_id < 1_000_000 and r.page_id != 5) for r in got)
+
+
 def test_urls(spark):
     pages = spark.createDataFrame([(1, None), (2, ""), (3, "no scheme"), (4, "http://A.Bad.com/x?y"), (5, "http://bad.com"), (6, "http://ok.org/bad.com"), (6, "http://ok.org/bad.com"), (7, "http://WWW.example.com/en/a#b"), (8, "http://example.com/en/"), (9, "x://y.net/es/q"), (10, "http://com?x"), (11, "http://sub.notbad.com"), (12, "http://one.org/p?q")], "page_id bigint, url string")
     listed = spark.createDataFrame([("bad.com",), ("one.org/p",), (None,)], "key string")
@@ -293,6 +305,25 @@ def test_odd_vectors(spark):
     assert few.count() == 2
 
 
+def test_recall_of_the_query(spark):
+    """The registered query's own parameters on the table of sf0.1, and vectors of doubles."""
+    from pyspark.sql import functions as F
+
+    table = spark.read.parquet(f"{DATA.parent}/sf0.1/embeddings.parquet")
+    x = {r.vec_id: np.array(r.embedding, dtype=float) for r in table.collect()}
+    ids = np.array(sorted(x))
+    all_ = np.stack([x[i] for i in ids])
+    for vectors in (table, table.withColumn("embedding", F.col("embedding").cast("array<double>"))):
+        got: dict = {}
+        for r in anisotropic_ann.nearest(vectors, F.col("vec_id") % 20 == 0).collect():
+            got.setdefault(r.query_id, set()).add(r.vec_id)
+        hits = 0
+        for q, found in got.items():
+            scores = np.where(ids == q, -np.inf, all_ @ x[q])
+            hits += len(set(ids[np.argsort(-scores, kind="stable")[:20]].tolist()) & found)
+        assert set(got) == {i for i in x if i % 20 == 0} and hits / (20 * len(got)) >= 0.95
+
+
 # 7
 
 
@@ -432,6 +463,25 @@ def test_small_merges():
         bpe_stream.Merges({"a": 0, "b": 1, "ab": 2}, [("a", "x")], {})
 
 
+def test_runs_equal_the_stream(codec, docs):
+    """Short words at once, and letter by letter."""
+    rng = random.Random(17)
+    machine = bpe_stream.Transducer(codec.merges, codec.transducer.look)
+    words = {w for r in docs.limit(40).collect() for w in bpe_stream._TOKEN.findall((r.text or "").lower())} | {"".join(rng.choice("etaoinshrdlu'") for _ in range(rng.randint(1, 60))) for _ in range(400)}
+    for w in words:
+        letters = [codec.symbols[b] for b in w.encode()]
+        if len(letters) <= 64:
+            slow = [t for c in letters[:-1] for t in machine.push(c)] + machine.push(letters[-1] + bpe_stream.END) + machine.finish()
+            assert machine.run("".join(letters)) == slow
+
+
+def test_streams_join(codec, docs, monkeypatch):
+    monkeypatch.setattr(bpe_stream, "STREAM_WORDS", 7)
+    for text in [None, "", "one", LONG[:5000], *(r.text for r in docs.limit(30).collect())]:
+        parts = list(codec.stream(text))
+        assert (b"".join(a for a, _ in parts), "".join(b for _, b in parts)) == codec.both(text)
+
+
 def test_encode_table(spark, odd, nothing, codec):
     path = queries.tokenizer_path("word_bpe_49k.json")
     for r in bpe_stream.encode(odd, path).collect():
