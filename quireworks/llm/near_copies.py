@@ -160,14 +160,17 @@ def components(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
 
     edges = linked(save(met.where("a != node").select("a", F.col("node").alias("b")).distinct()))
     roots = smallest_reachable(edges)
-    rooted = met.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
-    several = rooted.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x != y").select("key")
-    open_ = rooted.join(several, "key")
+    rooted = met.join(roots, "node", "left").select("key", "node", "a", F.coalesce("root", "node").alias("root"))
+    # of a key's classes, those that its smallest has not drawn in meet all others; the rest is one component already
+    main = F.max(F.when(F.col("node") == F.col("a"), F.col("root")))
+    several = rooted.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y"), main.alias("main")).where("x != y").select("key", "main")
     # a document with several texts has a sketch of each
-    told = save(open_.join(classes.select("node", "n", "planes"), "node"))
-    left, right = (told.select("key", *[F.col(c).alias(f"{c}_{x}") for c in ("node", "root", "n", "planes")]) for x in "ab")
+    told = save(rooted.drop("a").join(several, "key").join(classes.select("node", "n", "planes"), "node"))
+    left, right = (told.select("key", "main", *[F.col(c).alias(f"{c}_{x}") for c in ("node", "root", "n", "planes")]) for x in "ab")
+    left, right = left.where("root_a != main").drop("main"), right.withColumn("apart", F.col("root_b") != F.col("main")).drop("main")
     near = (F.col("n_a") * similarity <= F.col("n_b")) & (F.col("n_b") * similarity <= F.col("n_a")) & (_unlike("planes_a", "planes_b") <= MOST_UNLIKE)
-    met_again = left.join(right, (left["key"] == right["key"]) & (F.col("node_a") < F.col("node_b")) & (F.col("root_a") != F.col("root_b")) & near)
+    once = ~F.col("apart") | (F.col("node_a") < F.col("node_b"))
+    met_again = left.join(right, (left["key"] == right["key"]) & once & (F.col("root_a") != F.col("root_b")) & near)
     across = met_again.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
     edges = linked(save(across))
     return smallest_reachable(edges).select(F.col("node").alias("doc_id"), "root")
