@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quireworks.functions.graph import smallest_reachable
 from quireworks.functions.lineage import save
 from quireworks.functions.text import strip
 
@@ -51,21 +52,18 @@ def first_location() -> Column:
 def components(records: DataFrame, min_title: int = 0) -> DataFrame:
     """record_id and work: the least record_id that equal DOIs or equal titles lead to, over any number of steps.
 
-    Null and blank keys link nothing. A round takes the least work of each key, by aggregations that are combined map-side and joins
-    whose hot keys can be split, and is written down; rounds go on until none changes a record. Chains of keys are short in practice.
+    Null and blank keys link nothing. Each record is linked to the least record of its DOI and of its title, aggregates that are combined
+    map-side; the graph of these links is then contracted, so a long chain of keys takes few rounds.
     """
     title = F.when(F.length(strip(F.col("title"))) > min_title, strip(F.col("title")))
-    rows = save(records.select("record_id", bare_doi(F.col("doi")).alias("d"), title.alias("t"), F.col("record_id").alias("work")))
-    while True:
-        labels = []
-        for key in ("d", "t"):
-            labels.append(rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.min("work").alias(f"by_{key}")))
-        joined = rows.join(labels[0], "d", "left").join(labels[1], "t", "left")
-        least = F.least("work", F.coalesce("by_d", "work"), F.coalesce("by_t", "work"))
-        fresh = save(joined.select("record_id", "d", "t", least.alias("work"), (least < F.col("work")).alias("moved")))
-        rows = fresh.drop("moved")
-        if fresh.where("moved").isEmpty():
-            return rows.select("record_id", "work")
+    rows = save(records.select("record_id", bare_doi(F.col("doi")).alias("d"), title.alias("t")))
+    edges = None
+    for key in ("d", "t"):
+        held = rows.where(F.col(key).isNotNull()).select(key, F.col("record_id").alias("b"))
+        links = held.join(held.groupBy(key).agg(F.min("b").alias("a"), F.count("*").alias("n")).where("n > 1"), key).select("a", "b")
+        edges = links if edges is None else edges.unionByName(links)
+    roots = smallest_reachable(edges).withColumnRenamed("node", "record_id")
+    return rows.select("record_id").join(roots, "record_id", "left").select("record_id", F.coalesce("root", "record_id").alias("work"))
 
 
 def dedupe(records: DataFrame) -> DataFrame:

@@ -71,7 +71,7 @@ def doc_meta(lines: DataFrame, section: str = "引用信息") -> DataFrame:
     state = F.when(strip(line) == f"## {section}", 1).when(line.startswith("## "), 0)
     seen = lines.withColumns({"state": state, "inside": F.coalesce(F.last(state, True).over(w), F.lit(0))})
     cited = F.when((F.col("inside") == 1) & F.col("state").isNull() & ~is_blank(line), F.struct("line_no", strip(line).alias("v")))
-    rows = seen.groupBy("doc_id").agg(F.min_by(strip(F.substring(line, 3, 100000)), F.when(line.startswith("# "), F.col("line_no"))).alias("title"), F.array_join(F.transform(F.sort_array(F.collect_list(cited)), lambda x: x["v"]), "\n").alias("c"))
+    rows = seen.groupBy("doc_id").agg(F.min_by(strip(F.substr(line, F.lit(3))), F.when(line.startswith("# "), F.col("line_no"))).alias("title"), F.array_join(F.transform(F.sort_array(F.collect_list(cited)), lambda x: x["v"]), "\n").alias("c"))
     return rows.select("doc_id", F.coalesce("title", F.lit("未知文献")).alias("title"), F.when(F.col("c") != "", F.col("c")).otherwise("[引用信息待补充]").alias("citation"))
 
 

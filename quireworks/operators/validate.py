@@ -180,10 +180,22 @@ def check_sequence(markers: DataFrame) -> DataFrame:
     return before.withColumn("rule", rule).where("rule IS NOT NULL").select("doc_id", "line_no", "pos", "number", "previous", "rule")
 
 
+def _tokens(text: Column) -> Column:
+    return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}']+"), lambda w: w != "")
+
+
+def _runs(lines: DataFrame, phrases: DataFrame, column: str) -> DataFrame:
+    """Adds ``column``: the runs of words of each line, once each, that are as long as some phrase; the driver sees the phrases' lengths alone."""
+    lengths = sorted(r[0] for r in phrases.select(F.size(_tokens(F.col(column)))).distinct().collect() if r[0] > 0)
+    none = F.array().cast("array<string>")
+    cut = lambda n: F.when(F.size("__w") >= n, F.transform(F.sequence(F.lit(1), F.size("__w") - n + 1), lambda i: F.array_join(F.slice("__w", i, n), " "))).otherwise(none)
+    return lines.withColumn("__w", _tokens(F.col("line"))).withColumn(column, F.explode(F.array_distinct(F.concat(none, *map(cut, lengths))))).drop("__w")
+
+
 def _uses(lines: DataFrame, terms: DataFrame, column: str) -> DataFrame:
-    """Lines that hold a term as words of their own: tokens meet terms by equality, so terms are single tokens."""
-    tokens = lines.select("doc_id", "line_no", "line", F.explode(F.array_distinct(F.split(F.lower("line"), r"[^\p{L}\p{N}]+"))).alias(column))
-    return tokens.join(terms, column)
+    """Lines that hold a term, of any number of words, as words of their own: runs of words meet terms by equality."""
+    held = terms.withColumn("__run", F.array_join(_tokens(F.col(column)), " "))
+    return _runs(lines.select("doc_id", "line_no", "line"), held, "__run").join(held, "__run").drop("__run")
 
 
 def term_variants(lines: DataFrame, terms: DataFrame) -> DataFrame:
@@ -199,14 +211,8 @@ def first_use(lines: DataFrame, terms: DataFrame) -> DataFrame:
 
 
 def lexicon_hits(lines: DataFrame, lexicon: DataFrame) -> DataFrame:
-    """doc_id, line_no, phrase for the phrases (lower case, of one to three words) of a lexicon that a line holds.
-
-    Runs of one to three words of a line meet phrases by equality.
-    """
-    words = F.filter(F.split(F.lower("line"), r"[^\p{L}\p{N}']+"), lambda w: w != "")
-    runs = lambda n: F.when(F.size("w") >= n, F.transform(F.sequence(F.lit(1), F.size("w") - n + 1), lambda i: F.array_join(F.slice("w", i, n), " "))).otherwise(F.array().cast("array<string>"))
-    cut = lines.select("doc_id", "line_no", words.alias("w")).select("doc_id", "line_no", F.explode(F.array_distinct(F.concat(runs(1), runs(2), runs(3)))).alias("phrase"))
-    return cut.join(lexicon.select(F.lower("phrase").alias("phrase")).distinct(), "phrase").select("doc_id", "line_no", "phrase")
+    """doc_id, line_no, phrase (in lower case) for the phrases of a lexicon, of any number of words, that a line holds."""
+    return _uses(lines, lexicon.select(F.lower("phrase").alias("phrase")).distinct(), "phrase").select("doc_id", "line_no", "phrase")
 
 
 def report(findings: DataFrame) -> DataFrame:
