@@ -3,7 +3,7 @@
 MinHash bands give candidates (32 bands of 4 values: a pair at 0.8 is missed with a probability of 5e-8), and each candidate is checked
 by the exact similarity of the shingle sets. Texts with the same set are one class from the start. Not all pairs of a band's key are
 checked at once: first each class with the smallest of its key, then, where a key still holds several components, the pairs across them
-that their sizes and a sketch (four bits of each MinHash value) don't rule out, so that large groups of copies cost little more than one check a text. Pairs already in one component need no check.
+that their sizes, a sketch (four bits of each MinHash value) and parities (an exact bound) don't rule out, so that large groups of copies cost little more than one check a text. Pairs already in one component need no check.
 
 SimHash links of radius 2 count too, so a component holds all that ``simhash`` joins.
 
@@ -37,6 +37,8 @@ _RNG = np.random.default_rng(42)
 _TIMES = _RNG.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _PLUS = _RNG.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
+#: Parts that a set's hashes fall into, for the parities of their numbers.
+PARTS = 1024
 #: Pairs of one text that are checked in one place.
 _TOGETHER = 64
 
@@ -76,6 +78,17 @@ def planes(least: np.ndarray) -> np.ndarray:
     return np.concatenate(bits).view(np.int64)
 
 
+def parities(hashes: np.ndarray) -> np.ndarray:
+    """A bit for each of ``PARTS`` parts: whether an odd number of hashes falls into it. Two sets differ in at least as many hashes as bits."""
+    odd = np.bincount((hashes >> np.uint64(64 - PARTS.bit_length() + 1)).astype(np.int64), minlength=PARTS) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+
+
+def _differing(x: str, y: str) -> Column:
+    """In how many bits two ``parities`` differ."""
+    return sum((F.bit_count(F.get(x, F.lit(w)).bitwiseXOR(F.get(y, F.lit(w)))) for w in range(PARTS // 64)), F.lit(0))
+
+
 def _unlike(x: str, y: str) -> Column:
     """In how many of their least values two sketches differ at least."""
     words = BANDS * ROWS // 64
@@ -107,18 +120,18 @@ def _sketches(docs: DataFrame) -> DataFrame:
 
 
 def _sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """node, n (shingles) and hashes, of each text of the documents in ``nodes`` (node)."""
+    """node, n (shingles), hashes and their parities, of each text of the documents in ``nodes`` (node)."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
                 found = [shingles(x.as_py()) for x in part.column("text")]
-                yield pa.RecordBatch.from_arrays([part.column("node"), pa.array(map(len, found), pa.int64()), pa.array((x.tobytes() for x in found), pa.binary())], ["node", "n", "hashes"])
+                yield pa.RecordBatch.from_arrays([part.column("node"), pa.array(map(len, found), pa.int64()), pa.array((x.tobytes() for x in found), pa.binary()), pa.array(map(parities, found), pa.list_(pa.int64()))], ["node", "n", "hashes", "parities"])
 
     # texts of a document that is there more than once are told apart where the join has brought them together
     texts = nodes.join(docs.select(F.col("doc_id").cast("bigint").alias("node"), "text"), "node").distinct()
-    return texts.mapInArrow(work, "node bigint, n bigint, hashes binary")
+    return texts.mapInArrow(work, "node bigint, n bigint, hashes binary, parities array<bigint>")
 
 
 def _alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -164,11 +177,14 @@ def components(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     # of a key's classes, those that its smallest has not drawn in meet all others; the rest is one component already
     main = F.max(F.when(F.col("node") == F.col("a"), F.col("root")))
     several = rooted.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y"), main.alias("main")).where("x != y").select("key", "main")
-    # a document with several texts has a sketch of each
-    told = save(rooted.drop("a").join(several, "key").join(classes.select("node", "n", "planes"), "node"))
-    left, right = (told.select("key", "main", *[F.col(c).alias(f"{c}_{x}") for c in ("node", "root", "n", "planes")]) for x in "ab")
+    # a document with several texts has figures of each
+    figures = sets.select("node", "n", "parities").join(classes.select("node", "planes"), "node")
+    told = save(rooted.drop("a").join(several, "key").join(figures, "node"))
+    left, right = (told.select("key", "main", *[F.col(c).alias(f"{c}_{x}") for c in ("node", "root", "n", "planes", "parities")]) for x in "ab")
     left, right = left.where("root_a != main").drop("main"), right.withColumn("apart", F.col("root_b") != F.col("main")).drop("main")
     near = (F.col("n_a") * similarity <= F.col("n_b")) & (F.col("n_b") * similarity <= F.col("n_a")) & (_unlike("planes_a", "planes_b") <= MOST_UNLIKE)
+    # sets at the similarity differ in at most this share of their sizes' sum; the rest is for rounding
+    near &= _differing("parities_a", "parities_b") <= (F.col("n_a") + F.col("n_b")) * ((1 - similarity) / (1 + similarity)) + 1e-6
     once = ~F.col("apart") | (F.col("node_a") < F.col("node_b"))
     met_again = left.join(right, (left["key"] == right["key"]) & once & (F.col("root_a") != F.col("root_b")) & near)
     across = met_again.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()

@@ -7,7 +7,7 @@ import re
 from conftest import DATA
 
 import corpus_pipeline
-from quireworks.llm import simhash
+from quireworks.llm import near_copies, simhash
 
 
 def shingles_by_loop(text):
@@ -57,3 +57,16 @@ def test_near_copies_of_table(spark):
     left = {r.doc_id for r in corpus_pipeline.drop_near_copies(spark, docs, str(DATA)).collect()}
     assert left == kept_by_loop({r.doc_id: r.text for r in docs.collect()})
     assert corpus_pipeline.drop_near_copies(spark, docs.where("false"), str(DATA)).count() == 0
+
+
+def test_parities_bound():
+    """Parities never differ in more bits than the sets do in hashes, so no pair is ruled out wrongly."""
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    for n in (1, 40, 700, 9000):
+        for share in (0.0, 0.05, 0.3, 1.0):
+            x = np.unique(rng.integers(0, 1 << 64, n, dtype=np.uint64))
+            y = np.unique(np.concatenate([x[rng.random(len(x)) >= share], rng.integers(0, 1 << 64, int(share * n), dtype=np.uint64)]))
+            bits = sum(int(v).bit_count() for v in (near_copies.parities(x) ^ near_copies.parities(y)).view(np.uint64))
+            assert bits <= len(np.setxor1d(x, y))
