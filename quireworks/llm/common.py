@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: What separates words: space, tab, line feed, vertical tab, form feed, carriage return.
 SPACE = r"[\x20\x09-\x0D]+"
+_FOLDER: ContextVar[str | None] = ContextVar("folder", default=None)
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -32,11 +35,30 @@ def shared_dir(spark: SparkSession) -> str:
 def save(df: DataFrame) -> DataFrame:
     """``df`` written once to the shared folder and read back: lineage ends here, and a lost executor costs no recomputation."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/quireworks-{uuid.uuid4().hex}"
+    path = _new_folder(spark)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _new_folder(spark: SparkSession) -> str:
+    return f"{_FOLDER.get() or shared_dir(spark)}/quireworks-{uuid.uuid4().hex}"
+
+
+def settled(spark: SparkSession, make: Callable[[], DataFrame]) -> DataFrame:
+    """``save(make())``; what ``save`` wrote while ``make`` ran is deleted then."""
+    folder = _new_folder(spark)
+    token = _FOLDER.set(folder)
+    try:
+        df = make()
+    finally:
+        _FOLDER.reset(token)
+    try:
+        return save(df)
+    finally:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def words(text: Column) -> Column:
     """Array of the words of a text; null gives an empty array."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE), "")

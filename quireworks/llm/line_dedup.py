@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quireworks.llm.common import save
+from quireworks.llm.common import save, settled
 
 MIN_WORDS = 20
 #: For texts without spaces between words: letters and digits that count as much as ``MIN_WORDS`` words.
@@ -201,8 +201,12 @@ def without(text: str, spans: list[tuple[int, int]]) -> str:
 
 def dedup(docs: DataFrame, min_words: int = MIN_WORDS, min_chars: int = MIN_CHARS) -> DataFrame:
     """``docs`` with repeated passages taken out of the texts; other columns as they were."""
-    spans = repeated_passages(docs, min_words, min_chars)
-    gone = save(spans.groupBy(F.col("doc_id").alias("__qw_id"), F.col("tag").alias("__qw_tag")).agg(F.collect_list(F.struct("start", "length")).alias("__qw_gone")))
+
+    def spans() -> DataFrame:
+        of_text = repeated_passages(docs, min_words, min_chars).groupBy(F.col("doc_id").alias("__qw_id"), F.col("tag").alias("__qw_tag"))
+        return of_text.agg(F.collect_list(F.struct("start", "length")).alias("__qw_gone"))
+
+    gone = settled(docs.sparkSession, spans)
 
     @F.arrow_udf("string")
     def cut(texts: pa.Array, gone: pa.Array) -> pa.Array:

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quireworks.llm import simhash
-from quireworks.llm.common import save
+from quireworks.llm.common import save, settled
 from quireworks.llm.components import smallest_reachable
 
 SHINGLE = 5
@@ -194,5 +194,5 @@ def components(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
 
 def dedup(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """``docs`` without the documents of a component other than its smallest doc_id; rows without a doc_id stay."""
-    gone = save(components(docs, similarity).where("doc_id != root").select("doc_id"))
+    gone = settled(docs.sparkSession, lambda: components(docs, similarity).where("doc_id != root").select("doc_id"))
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)

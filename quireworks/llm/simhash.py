@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quireworks.llm.common import save
+from quireworks.llm.common import save, settled
 from quireworks.llm.components import smallest_reachable
 
 RADIUS = 2
@@ -104,6 +104,5 @@ def simhash_components(docs: DataFrame, radius: int = RADIUS, shingle: int = SHI
 
 def dedup(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
     """``docs`` without the documents of a component other than its smallest doc_id; rows without a doc_id stay."""
-    found = simhash_components(docs, radius, shingle)
-    gone = save(found.where("doc_id != component_id").select("doc_id").distinct())
+    gone = settled(docs.sparkSession, lambda: simhash_components(docs, radius, shingle).where("doc_id != component_id").select("doc_id").distinct())
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)

@@ -70,3 +70,16 @@ def test_parities_bound():
             y = np.unique(np.concatenate([x[rng.random(len(x)) >= share], rng.integers(0, 1 << 64, int(share * n), dtype=np.uint64)]))
             bits = sum(int(v).bit_count() for v in (near_copies.parities(x) ^ near_copies.parities(y)).view(np.uint64))
             assert bits <= len(np.setxor1d(x, y))
+
+
+def test_settled_deletes(spark):
+    """What is saved on the way goes; the result stays readable."""
+    import os
+
+    from quireworks.llm.common import save, settled, shared_dir
+
+    folder = shared_dir(spark).removeprefix("file:")
+    before = set(os.listdir(folder))
+    got = settled(spark, lambda: save(save(spark.range(5)).where("id > 1")).where("id < 4"))
+    assert sorted(r.id for r in got.collect()) == [2, 3]
+    assert len(set(os.listdir(folder)) - before) == 1
