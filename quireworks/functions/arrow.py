@@ -13,7 +13,7 @@ from urllib.parse import unquote
 from xml.etree import ElementTree
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # What commands of formulas are about.
@@ -131,13 +131,26 @@ _SKIP = {"script", "style", "nav", "footer", "aside", "noscript", "template"}
 _VOID = {"br", "img", "hr", "meta", "link", "input"}
 _BLOCKS = {"p", "div", "section", "article", "tr", "table", "body", "ul", "ol", "header", "main", "figure"}
 _NOTE_NAME = re.compile(r"foot|note|endnote|fn", re.IGNORECASE)
+#: Fixed value: what a link to a note looks like: its anchor and number.
+_NOTE_LINK = re.compile(r"#((?:zw|fn|note|endnote|ftn|sdfootnote)[_-]?(\w+))", re.IGNORECASE)
+
+#: Stands twice for each placed note's number until it is known.
+_MARK = "\0"
 
 
 class _Walk(HTMLParser):
-    """One pass over a page: Markdown lines, and notes by anchor."""
+    """One pass over a page: Markdown lines, and notes by anchor.
+
+    Headings go without ``<sup>`` and marks like ``[1]``. A link to one of ``known`` notes outside headings gives way to the note,
+    with a mark for its number.
+    """
 
-    def __init__(self) -> None:
+    def __init__(self, known: dict[str, str] | None = None) -> None:
         super().__init__(convert_charrefs=True)
+        self.known = known or {}
+        self.heading = False
+        self.raised = 0
+        self.link = False
         self.lines: list[str] = []
         self.now = ""
         self.skip: list[str] = []
@@ -176,7 +189,12 @@ class _Walk(HTMLParser):
             self.note = (got["id"], [], tag)
         if re.fullmatch("h[1-6]", tag):
             self.flush()
+            self.heading = True
             self.now = "#" * min(6, int(tag[1]) + 1) + " "
+        elif tag == "sup":
+            self.raised += 1
+        elif tag == "a" and not self.in_notes and not self.heading:
+            self.place_note(got.get("href", ""))
         elif tag in _BLOCKS:
             self.flush()
             if tag in ("ul", "ol"):
@@ -207,7 +225,14 @@ class _Walk(HTMLParser):
         if self.in_notes and tag == self.in_notes[-1]:
             self.in_notes.pop()
             self.now = ""
-        if re.fullmatch("h[1-6]", tag) or tag in _BLOCKS:
+        if tag == "sup":
+            self.raised = max(0, self.raised - 1)
+        elif tag == "a":
+            self.link = False
+        elif re.fullmatch("h[1-6]", tag) or tag in _BLOCKS:
+            if self.heading and tag not in _BLOCKS:
+                self.now = re.sub(r"\[\d+\]", "", self.now)
+                self.heading = False
             self.flush()
             if tag in ("ul", "ol") and self.lists:
                 self.lists.pop()
@@ -226,9 +251,21 @@ class _Walk(HTMLParser):
             return
         if self.note:
             self.note[1].append(data)
-        if not self.in_notes:
+        if not (self.in_notes or self.link or self.heading and self.raised):
             self.now += data
 
+    def place_note(self, href: str) -> None:
+        """The note that a link leads to, by anchor, else the first whose anchor ends in the link's number."""
+        found = _NOTE_LINK.search(href)
+        if not found:
+            return
+        text = self.known.get(found[1]) or next((t for a, t in self.known.items() if a.endswith(found[2])), None)
+        if text:
+            self.flush()
+            quote = "> " * self.quotes
+            self.lines += [f"{quote}<!-- footnote {_MARK} -->", f"{quote}{_MARK} {text}", ""]
+            self.link = True
+
     def end_note(self) -> None:
         if self.note:
             text = re.sub(r"\s+", " ", "".join(self.note[1])).strip()
@@ -237,11 +274,12 @@ class _Walk(HTMLParser):
             self.note = None
 
 
-def walk(html: str | None) -> tuple[str, dict[str, str]]:
-    """Markdown and notes of a page."""
-    page = _Walk()
-    body = re.search(r"(?is)<body[^>]*>(.*)", html or "")
-    page.feed(body[1] if body else html or "")
+def walk(html: str | None, known: dict[str, str] | None = None) -> tuple[str, dict[str, str]]:
+    """Markdown and notes of a page; ``known`` notes stand where the page links to them, with two marks each for their numbers."""
+    page = _Walk(known)
+    html = (html or "").replace(_MARK, "")
+    body = re.search(r"(?is)<body[^>]*>(.*)", html)
+    page.feed(body[1] if body else html)
     page.close()
     page.flush()
     page.end_note()
@@ -258,6 +296,37 @@ def html_to_markdown(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", "html").mapInPandas(run, "page_id bigint, markdown string")
 
 
+def markdown_with_notes(pages: DataFrame, notes: DataFrame | None = None) -> DataFrame:
+    """page_id and markdown with the notes put where the pages refer to them, numbered in that order.
+
+    pages: page_id, html. A page's notes are its own: it is walked once for what its note containers hold, then with that. With
+    ``notes`` (book, anchor, note), pages have ``book`` and ``position`` as well: the book's notes, in whatever file they stand, come
+    before a page's own, and numbers run on through the book. A page gets only the notes it links to, by an equality join.
+    """
+    columns = ["page_id", "html"]
+    given = pages.select(*columns, F.lit(None).cast("map<string,string>").alias("known"))
+    if notes is not None:
+        columns = ["page_id", "book", "position", "html"]
+        links = F.array_distinct(F.regexp_extract_all(F.coalesce("html", F.lit("")), F.lit(f"(?iU){_NOTE_LINK.pattern}"), F.lit(1)))
+        asked = pages.select("page_id", "book", F.explode(links).alias("anchor")).join(notes.groupBy("book", "anchor").agg(F.min("note").alias("note")), ["book", "anchor"])
+        known = asked.where("note IS NOT NULL").distinct().groupBy("page_id").agg(F.map_from_entries(F.sort_array(F.collect_set(F.struct("anchor", "note")))).alias("known"))
+        given = pages.select(*columns).join(known, "page_id", "left")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            texts = []
+            for html, known in zip(b["html"], b["known"], strict=True):
+                texts.append(walk(html, dict(known if known is not None else ()) | {a: t for a, t in walk(html)[1].items() if t})[0])
+            yield b[columns[:-1]].assign(markdown=texts)
+
+    kept = [f"{c} {given.schema[c].dataType.simpleString()}" for c in columns[:-1]]
+    marked = given.mapInPandas(run, ", ".join([*kept, "markdown string"])).withColumn("parts", F.split("markdown", _MARK))
+    placed = ((F.size("parts") - 1) / 2).cast("int")
+    earlier = F.lit(0) if notes is None else F.sum(placed).over(Window.partitionBy("book").orderBy("position")) - placed
+    numbered = F.transform("parts", lambda p, j: F.when(j == 0, p).otherwise(F.concat((F.col("earlier") + F.floor((j + 1) / 2)).cast("string"), p)))
+    return marked.withColumn("earlier", earlier).select("page_id", F.array_join(numbered, "").alias("markdown"))
+
+
 def html_footnotes(pages: DataFrame) -> DataFrame:
     """page_id, anchor and note, of containers named for notes."""
 

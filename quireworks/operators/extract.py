@@ -64,19 +64,30 @@ def page_links(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", F.posexplode(F.regexp_extract_all(F.coalesce("html", F.lit("")), F.lit(r"(?is)<a\s[^>]*href=\"([^\"]*)\""), F.lit(1))).alias("pos", "href"))
 
 
+#: Fixed value: what a link to a note looks like; the group is its number.
+_NOTE_LINK = r"(?iU)(?:^|#)(?:fn|note|endnote|ftn|sdfootnote)[_-]?(\w+)"
+
+
 def resolve_note_refs(refs: DataFrame, notes: DataFrame) -> DataFrame:
     """doc_id, pos, anchor, number, marker for refs (doc_id, pos, anchor) and notes (doc_id, anchor, note).
 
-    A reference resolves by equal anchor, else by the part of its anchor after the last ``#``; resolved ones are numbered in document
-    order, others have null number and marker.
+    A reference resolves by equal anchor, else by the part of its anchor after the last ``#``, else, if it looks like a link to a note,
+    by its number: to the first note, by ``pos`` where notes have one, else by anchor, whose anchor ends in it. Resolved ones are
+    numbered in document order, others have null number and marker.
     """
+    place = F.struct(*([F.col("pos")] if "pos" in notes.columns else []), F.col("anchor"))
     exact = notes.select("doc_id", "anchor", F.col("note").alias("note1"))
     suffix = notes.select("doc_id", F.col("anchor").alias("tail"), F.col("note").alias("note2"))
-    found = refs.withColumn("tail", F.substring_index("anchor", "#", -1)).join(exact, ["doc_id", "anchor"], "left").join(suffix, ["doc_id", "tail"], "left").withColumn("note", F.coalesce("note1", "note2"))
+    # every ending of an anchor: a reference's number meets them by equality, and a group of endings is one row before the join
+    ending = F.explode(F.transform(F.sequence(F.lit(1), F.length("anchor")), lambda k: F.substring(F.col("anchor"), k, F.length("anchor"))))
+    endings = notes.where("anchor != ''").select("doc_id", ending.alias("key"), "note", place.alias("place")).groupBy("doc_id", "key").agg(F.min_by("note", "place").alias("note3"))
+    keyed = refs.withColumns({"tail": F.substring_index("anchor", "#", -1), "key": F.nullif(F.regexp_extract("anchor", _NOTE_LINK, 1), F.lit(""))})
+    found = keyed.join(exact, ["doc_id", "anchor"], "left").join(suffix, ["doc_id", "tail"], "left").join(endings, ["doc_id", "key"], "left").withColumn("note", F.coalesce("note1", "note2", "note3"))
     has = F.col("note").isNotNull()
     n = F.when(has, F.sum(has.cast("int")).over(Window.partitionBy("doc_id").orderBy("pos")).cast("int"))
     marked = found.withColumn("number", n)
-    return marked.select("doc_id", "pos", "anchor", "number", F.concat(F.lit("<!-- footnote "), F.col("number").cast("string"), F.lit(" -->\n"), F.col("note"), F.lit("\n\n")).alias("marker"))
+    number = F.col("number").cast("string")
+    return marked.select("doc_id", "pos", "anchor", "number", F.concat(F.lit("<!-- footnote "), number, F.lit(" -->\n"), number, F.lit(" "), F.col("note"), F.lit("\n\n")).alias("marker"))
 
 
 def endnote_files(links: DataFrame, least: int = 5) -> DataFrame:

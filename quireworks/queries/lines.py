@@ -14,7 +14,7 @@ from quireworks.operators import clean, extract
 from quireworks.operators.index import headings_of
 from quireworks.plans import chunking
 from quireworks.queries.registry import Registry
-from quireworks.sources.documents import parse_plan, to_lines, write_chunks
+from quireworks.sources.documents import parse_plan, scan_inbox, to_lines, write_chunks
 from quireworks.streaming.inbox import ingest_stream
 
 query = Registry()
@@ -25,6 +25,22 @@ def _flat(c: str) -> Column:
     return F.array_join(F.col(c).cast("array<string>"), "|").alias(c)
 
 
+@query("""SELECT source AS doc_id, ['markdown', 'html', 'pdf-unsupported', 'unknown'][length(source) % 4 + 1] AS route, CAST(sum(strlen(text) + 1) AS BIGINT) AS length
+FROM documents WHERE regexp_full_match(source, '[A-Za-z0-9_-]+') AND text IS NOT NULL GROUP BY source""")
+def s1_scan_inbox(spark: SparkSession, sf: str) -> DataFrame:
+    """The documents of each source written as files of an inbox, some 64 for a source at most, which is scanned; sizes are summed by
+    source."""
+    inbox = f"{shared_dir(spark)}/inbox-{uuid.uuid4().hex}"
+    docs = table(spark, sf, "documents").where("text IS NOT NULL").where(F.col("source").rlike("^[A-Za-z0-9_-]+$"))
+    docs.repartition("source", F.pmod(F.xxhash64("doc_id"), F.lit(64))).select("source", "text").write.partitionBy("source").text(inbox)
+    place = spark._jvm.org.apache.hadoop.fs.Path
+    fs = place(inbox).getFileSystem(spark._jsc.hadoopConfiguration())
+    for n, file in enumerate(fs.globStatus(place(f"{inbox}/source=*/part-*"))):
+        name = file.getPath().getParent().getName().removeprefix("source=")
+        fs.rename(file.getPath(), place(f"{inbox}/{name}~{n}.{('md', 'html', 'pdf', 'bin')[len(name) % 4]}"))
+    return scan_inbox(spark, inbox).groupBy(F.substring_index("doc_id", "~", 1).alias("doc_id"), "route").agg(F.sum("length").alias("length"))
+
+
 @query("""SELECT doc_id, CAST(generate_subscripts(a, 1) AS INT) AS line_no, unnest(a) AS line FROM (
   SELECT doc_id, CASE WHEN text = '' THEN [] WHEN ends_with(text, chr(10)) THEN string_split(text, chr(10))[:-2] ELSE string_split(text, chr(10)) END AS a FROM documents WHERE text IS NOT NULL)""")
 def s2_to_lines(spark: SparkSession, sf: str) -> DataFrame:

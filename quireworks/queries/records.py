@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import io
+import uuid
+import zipfile
+from collections.abc import Callable
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quireworks.fixtures import BIB_SQL, LINES_SQL, SECTIONS_SQL, fx_bib, fx_book, fx_chunks, fx_description_lines, fx_lines, table
 from quireworks.functions import arrow
+from quireworks.functions.lineage import shared_dir
 from quireworks.operators import bib, extract, index
 from quireworks.queries.registry import Registry
 
@@ -67,7 +74,7 @@ def e4_html_to_markdown(spark: SparkSession, sf: str) -> DataFrame:
     return arrow.html_to_markdown(table(spark, sf, "pages"))
 
 
-@query()
+@query("""SELECT page_id, unnest(['fn1', 'fn2']) AS anchor, unnest(['Note ' || CAST(page_id AS VARCHAR), 'Other note']) AS note FROM pages WHERE contains(html, '</body>')""")
 def e5_html_footnotes(spark: SparkSession, sf: str) -> DataFrame:
     """Notes of pages that end in a list of notes."""
     i = F.col("page_id").cast("string")
@@ -75,13 +82,44 @@ def e5_html_footnotes(spark: SparkSession, sf: str) -> DataFrame:
     return arrow.html_footnotes(table(spark, sf, "pages").select("page_id", F.replace("html", F.lit("</body>"), notes).alias("html")))
 
 
-@query("""WITH r AS (SELECT page_id // 10 AS doc_id, page_id % 10 AS pos, CASE WHEN page_id % 4 = 0 THEN 'f.xhtml#n' ELSE 'n' END || CAST(page_id % 7 AS VARCHAR) AS anchor FROM pages), n AS (SELECT page_id // 10 AS doc_id, 'n' || CAST(page_id % 10 AS VARCHAR) AS anchor, 'note ' || CAST(page_id AS VARCHAR) AS note FROM pages WHERE page_id % 3 != 1),
-j AS (SELECT r.*, note FROM r LEFT JOIN n ON n.doc_id = r.doc_id AND n.anchor = regexp_replace(r.anchor, '^.*#', '')), k AS (SELECT *, CASE WHEN note IS NOT NULL THEN CAST(sum(CASE WHEN note IS NULL THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY pos) AS INT) END AS number FROM j)
-SELECT doc_id, pos, anchor, number, '<!-- footnote ' || CAST(number AS VARCHAR) || ' -->' || chr(10) || note || chr(10) || chr(10) AS marker FROM k""")
+_NAMED_SQL = r"""named AS (SELECT page_id, trim(regexp_replace(regexp_replace(regexp_extract(coalesce(html, ''), '(?is)<title[^>]*>(.*?)</title>', 1), '[^\p{L}\p{N} ]', '', 'g'), ' +', ' ', 'g')) AS t FROM pages)"""
+_NOTED_SQL = f"""WITH {_NAMED_SQL} SELECT page_id, '## H ' || t || chr(10) || chr(10) || 'B ' || t || chr(10) || chr(10) || '<!-- footnote 1 -->' || chr(10) || '1 ' || 'N ' || t || chr(10) || chr(10) || 'more' || CASE WHEN page_id % 3 = 0 THEN chr(10) || chr(10) || '<!-- footnote 2 -->' || chr(10) || '2 O ' || CAST(page_id AS VARCHAR) ELSE ' gone' END || chr(10) || chr(10) || '> end' AS markdown FROM named"""
+
+
+def _noted(spark: SparkSession, sf: str) -> DataFrame:
+    """page_id, html and note of pages that refer to a note by anchor, a third of them to another one by its number alone."""
+    named = F.trim(F.regexp_replace(F.regexp_replace(F.regexp_extract(F.coalesce("html", F.lit("")), r"(?is)<title[^>]*>(.*?)</title>", 1), r"[^\p{L}\p{N} ]", ""), " +", " "))
+    second = F.when(F.col("page_id") % 3 == 0, '<a href="x.html#note_2"><sup>2</sup></a>').otherwise(' <a href="#other">gone</a>')
+    html = F.concat(F.lit("<body><h1>H "), "t", F.lit('[3]<sup><a href="#fn1">1</a></sup></h1><p>B '), "t", F.lit('<sup><a href="#fn1">1</a></sup> more'), second, F.lit("</p><blockquote>end</blockquote>"))
+    return table(spark, sf, "pages").select("page_id", named.alias("t")).select("page_id", html.alias("html"), F.concat(F.lit("N "), "t").alias("note"))
+
+
+@query(_NOTED_SQL)
+def e4_notes_in_page(spark: SparkSession, sf: str) -> DataFrame:
+    """Markdown of pages that hold their notes, with the notes put where they are referred to."""
+    own = F.concat("html", F.lit('<div class="footnotes"><ol><li id="fn1">1. '), "note", F.lit(' ↩</li><li id="sd2">O '), F.col("page_id").cast("string"), F.lit("</li></ol></div></body>"))
+    return arrow.markdown_with_notes(_noted(spark, sf).select("page_id", own.alias("html")))
+
+
+@query(f"""WITH {_NAMED_SQL}, k AS (SELECT *, CASE WHEN page_id % 3 = 0 THEN 2 ELSE 1 END AS n FROM named), p AS (SELECT *, sum(n) OVER (PARTITION BY page_id // 10 ORDER BY page_id) - n AS e FROM k)
+SELECT page_id, '## H ' || t || chr(10) || chr(10) || 'B ' || t || chr(10) || chr(10) || '<!-- footnote ' || CAST(e + 1 AS VARCHAR) || ' -->' || chr(10) || CAST(e + 1 AS VARCHAR) || ' One ' || CAST(page_id // 10 AS VARCHAR) || chr(10) || chr(10) || 'more'
+  || CASE WHEN n = 2 THEN chr(10) || chr(10) || '<!-- footnote ' || CAST(e + 2 AS VARCHAR) || ' -->' || chr(10) || CAST(e + 2 AS VARCHAR) || ' Two ' || CAST(page_id // 10 AS VARCHAR) ELSE ' gone' END || chr(10) || chr(10) || '> end' AS markdown FROM p""")
+def e4_notes_of_book(spark: SparkSession, sf: str) -> DataFrame:
+    """Ten pages each as a book whose notes stand elsewhere."""
+    book = F.floor(F.col("page_id") / 10)
+    note = lambda anchor, text: F.struct(F.lit(anchor).alias("anchor"), F.concat(F.lit(text), F.col("book").cast("string")).alias("note"))
+    pages = _noted(spark, sf).select("page_id", book.alias("book"), F.col("page_id").alias("position"), "html")
+    notes = pages.select("book").distinct().select("book", F.inline(F.array(note("fn1", "One "), note("note_2", "Two "))))
+    return arrow.markdown_with_notes(pages, notes)
+
+
+@query("""WITH r AS (SELECT page_id // 10 AS doc_id, page_id % 10 AS pos, CASE page_id % 4 WHEN 0 THEN 'f.xhtml#n' WHEN 1 THEN '#fn' ELSE 'n' END || CAST(page_id % 7 AS VARCHAR) AS anchor FROM pages), n AS (SELECT page_id // 10 AS doc_id, 'n' || CAST(page_id % 10 AS VARCHAR) AS anchor, 'note ' || CAST(page_id AS VARCHAR) AS note FROM pages WHERE page_id % 3 != 1),
+j AS (SELECT r.*, note FROM r LEFT JOIN n ON n.doc_id = r.doc_id AND (n.anchor = regexp_replace(r.anchor, '^.*#', '') OR starts_with(r.anchor, '#fn') AND ends_with(n.anchor, substr(r.anchor, 4)))), k AS (SELECT *, CASE WHEN note IS NOT NULL THEN CAST(sum(CASE WHEN note IS NULL THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY pos) AS INT) END AS number FROM j)
+SELECT doc_id, pos, anchor, number, '<!-- footnote ' || CAST(number AS VARCHAR) || ' -->' || chr(10) || CAST(number AS VARCHAR) || ' ' || note || chr(10) || chr(10) AS marker FROM k""")
 def e6_resolve_note_refs(spark: SparkSession, sf: str) -> DataFrame:
     i = F.col("page_id")
     pages = table(spark, sf, "pages")
-    refs = pages.select(F.floor(i / 10).alias("doc_id"), (i % 10).alias("pos"), F.concat(F.when(i % 4 == 0, "f.xhtml#n").otherwise("n"), (i % 7).cast("string")).alias("anchor"))
+    refs = pages.select(F.floor(i / 10).alias("doc_id"), (i % 10).alias("pos"), F.concat(F.when(i % 4 == 0, "f.xhtml#n").when(i % 4 == 1, "#fn").otherwise("n"), (i % 7).cast("string")).alias("anchor"))
     notes = pages.where(i % 3 != 1).select(F.floor(i / 10).alias("doc_id"), F.concat(F.lit("n"), (i % 10).cast("string")).alias("anchor"), F.concat(F.lit("note "), i.cast("string")).alias("note"))
     return extract.resolve_note_refs(refs, notes)
 
@@ -119,6 +157,34 @@ def s3_decode_html(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "pages").select("page_id", arrow.decode_html(content).alias("html"))
 
 
+@query("SELECT CAST(page_id // 10 AS VARCHAR) AS path, CAST(row_number() OVER (PARTITION BY page_id // 10 ORDER BY page_id DESC) - 1 AS INT) AS position, 'p' || CAST(page_id AS VARCHAR) || '.xhtml' AS href, html AS xhtml FROM pages WHERE html IS NOT NULL")
+def s4_epub_spine(spark: SparkSession, sf: str) -> DataFrame:
+    """Ten pages each as an EPUB whose spine runs backwards, read in its order."""
+    pages = table(spark, sf, "pages").where("html IS NOT NULL")
+    books = pages.groupBy(F.floor(F.col("page_id") / 10).alias("path")).agg(F.sort_array(F.collect_list(F.struct("page_id", "html")), False).alias("pages"))
+    parts = F.struct(F.transform("pages", lambda p: F.concat(F.lit("p"), p["page_id"].cast("string"), F.lit(".xhtml"))).alias("names"), F.transform("pages", lambda p: p["html"]).alias("texts"))
+    return arrow.read_epub_spine(books.select(F.col("path").cast("string").alias("path"), _zipped(parts).alias("content")))
+
+
+def _zipped(parts: Column) -> Column:
+    """The bytes of an EPUB with the files ``names`` and ``texts``, its spine in their order."""
+
+    def run(books: pd.DataFrame) -> pd.Series:
+        out = []
+        for names, texts in zip(books["names"], books["texts"], strict=True):
+            data = io.BytesIO()
+            with zipfile.ZipFile(data, "w", zipfile.ZIP_DEFLATED) as z:
+                z.writestr("META-INF/container.xml", '<container><rootfiles><rootfile full-path="b/c.opf"/></rootfiles></container>')
+                items = "".join(f'<item id="i{k}" href="{n}"/>' for k, n in sorted(enumerate(names), key=lambda x: x[1]))
+                z.writestr("b/c.opf", f"<package><manifest>{items}</manifest><spine>{''.join(f'<itemref idref=\"i{k}\"/>' for k in range(len(names)))}</spine></package>")
+                for n, t in zip(names, texts, strict=True):
+                    z.writestr(f"b/{n}", t)
+            out.append(data.getvalue())
+        return pd.Series(out)
+
+    return F.pandas_udf(run, "binary")(parts)
+
+
 # ---- descriptions and the index
 
 _DESCRIBED_SQL = """described AS (
@@ -244,32 +310,55 @@ def i12_tag_stats(spark: SparkSession, sf: str) -> DataFrame:
 # ---- records
 
 
-def _provider_rows(spark: SparkSession, sf: str, provider: str, body: str) -> DataFrame:
-    """Documents as a provider's JSON lines, read back by its schema."""
+def _provider_lines(spark: SparkSession, sf: str, body: str) -> DataFrame:
+    """Documents as a provider's JSON lines."""
     docs = table(spark, sf, "documents").select("doc_id", F.substring("text", 1, 40).alias("t"))
-    texts = docs.select(F.to_json(F.expr(body)).alias("j"))
-    return texts.select(F.from_json("j", bib.SCHEMAS[provider]).alias("r")).select("r.*")
+    return docs.select(F.to_json(F.expr(body)).alias("j"))
+
+
+def _parsed(spark: SparkSession, sf: str, provider: str, body: str) -> DataFrame:
+    return _provider_lines(spark, sf, body).select(F.from_json("j", bib.SCHEMAS[provider]).alias("r")).select("r.*")
+
 
+def _read_back(spark: SparkSession, sf: str, provider: str, body: str) -> DataFrame:
+    path = f"{shared_dir(spark)}/{provider}-{uuid.uuid4().hex}"
+    _provider_lines(spark, sf, body).write.text(path)
+    return bib.read_bib(spark, path, provider)
 
-@query("""WITH d AS (SELECT doc_id, substr(text, 1, 40) AS t FROM documents)
+
+_RECORDS_SQL = """WITH d AS (SELECT doc_id, substr(text, 1, 40) AS t FROM documents)
 SELECT 'semantic_scholar' AS provider, t AS title, 'Ann|Ben' AS authors, CAST(1990 + doc_id % 30 AS INT) AS year, '10.1/a' || CAST(doc_id AS VARCHAR) AS doi, doc_id % 9 AS citations, 'http://x/' || CAST(doc_id AS VARCHAR) AS oa_url, 'V' AS venue, 'JournalArticle' AS type FROM d
 UNION ALL SELECT 'crossref', t, 'Ann Lee', CAST(1990 + doc_id % 30 AS INT), '10.1/a' || CAST(doc_id AS VARCHAR), doc_id % 9, NULL, 'W', 'book' FROM d
 UNION ALL SELECT 'openalex', t, 'Ann Lee', CAST(1990 + doc_id % 30 AS INT), '10.1/a' || CAST(doc_id AS VARCHAR), doc_id % 9, 'http://o/' || CAST(doc_id AS VARCHAR), NULL, 'article' FROM d
-UNION ALL SELECT 'unpaywall', t, NULL, CAST(1990 + doc_id % 30 AS INT), '10.1/a' || CAST(doc_id AS VARCHAR), NULL, CASE WHEN doc_id % 2 = 0 THEN 'http://best' ELSE 'http://second' END, 'U', 'journal-article' FROM d""")
-def b1_normalise(spark: SparkSession, sf: str) -> DataFrame:
-    bodies = {
-        "semantic_scholar": "struct(t AS title, array(struct('Ann' AS name), struct('Ben' AS name)) AS authors, int(1990 + doc_id % 30) AS year, struct(concat('10.1/A', doc_id) AS DOI) AS externalIds, doc_id % 9 AS citationCount, struct(concat('http://x/', doc_id) AS url) AS openAccessPdf, 'V' AS venue, array('JournalArticle') AS publicationTypes)",
-        "crossref": "struct(concat('10.1/A', doc_id) AS DOI, array(t) AS title, array(struct('Ann' AS given, 'Lee' AS family)) AS author, struct(array(array(int(1990 + doc_id % 30), 5)) AS `date-parts`) AS `published-print`, doc_id % 9 AS `is-referenced-by-count`, array('W') AS `container-title`, 'book' AS type)",
-        "openalex": "struct(t AS title, array(struct(struct('Ann Lee' AS display_name) AS author)) AS authorships, int(1990 + doc_id % 30) AS publication_year, concat('https://doi.org/10.1/A', doc_id) AS doi, doc_id % 9 AS cited_by_count, struct(concat('http://o/', doc_id) AS oa_url) AS open_access, 'article' AS type)",
-        "unpaywall": "struct(concat('10.1/a', doc_id) AS doi, t AS title, int(1990 + doc_id % 30) AS year, if(doc_id % 2 = 0, named_struct('url_for_pdf', 'http://best'), null) AS best_oa_location, array(named_struct('url_for_pdf', string(null)), named_struct('url_for_pdf', 'http://second')) AS oa_locations, 'U' AS journal_name, 'journal-article' AS genre)",
-    }
-    parts = [bib.normalise(_provider_rows(spark, sf, p, b), p) for p, b in bodies.items()]
+UNION ALL SELECT 'unpaywall', t, NULL, CAST(1990 + doc_id % 30 AS INT), '10.1/a' || CAST(doc_id AS VARCHAR), NULL, CASE WHEN doc_id % 2 = 0 THEN 'http://best' ELSE 'http://second' END, 'U', 'journal-article' FROM d"""
+
+_PROVIDER_BODIES = {
+    "semantic_scholar": "struct(t AS title, array(struct('Ann' AS name), struct('Ben' AS name)) AS authors, int(1990 + doc_id % 30) AS year, struct(concat('10.1/A', doc_id) AS DOI) AS externalIds, doc_id % 9 AS citationCount, struct(concat('http://x/', doc_id) AS url) AS openAccessPdf, 'V' AS venue, array('JournalArticle') AS publicationTypes)",
+    "crossref": "struct(concat('10.1/A', doc_id) AS DOI, array(t) AS title, array(struct('Ann' AS given, 'Lee' AS family)) AS author, struct(array(array(int(1990 + doc_id % 30), 5)) AS `date-parts`) AS `published-print`, doc_id % 9 AS `is-referenced-by-count`, array('W') AS `container-title`, 'book' AS type)",
+    "openalex": "struct(t AS title, array(struct(struct('Ann Lee' AS display_name) AS author)) AS authorships, int(1990 + doc_id % 30) AS publication_year, concat('https://doi.org/10.1/A', doc_id) AS doi, doc_id % 9 AS cited_by_count, struct(concat('http://o/', doc_id) AS oa_url) AS open_access, 'article' AS type)",
+    "unpaywall": "struct(concat('10.1/a', doc_id) AS doi, t AS title, int(1990 + doc_id % 30) AS year, if(doc_id % 2 = 0, named_struct('url_for_pdf', 'http://best'), null) AS best_oa_location, array(named_struct('url_for_pdf', string(null)), named_struct('url_for_pdf', 'http://second')) AS oa_locations, 'U' AS journal_name, 'journal-article' AS genre)",
+}
+
+
+def _records(rows: Callable[[SparkSession, str, str, str], DataFrame], spark: SparkSession, sf: str) -> DataFrame:
+    parts = [bib.normalise(rows(spark, sf, p, b), p) for p, b in _PROVIDER_BODIES.items()]
     union = parts[0]
     for part in parts[1:]:
         union = union.unionByName(part)
     return union.withColumn("authors", F.array_join("authors", "|"))
 
 
+@query(_RECORDS_SQL)
+def b1_normalise(spark: SparkSession, sf: str) -> DataFrame:
+    return _records(_parsed, spark, sf)
+
+
+@query(_RECORDS_SQL)
+def s5_read_bib(spark: SparkSession, sf: str) -> DataFrame:
+    """The providers' files, written as JSON lines and read by their schemas."""
+    return _records(_read_back, spark, sf)
+
+
 _WORKS_SQL = """, keys AS (SELECT record_id, 'd' || d AS key FROM bd WHERE d IS NOT NULL UNION ALL SELECT record_id, 't' || regexp_replace(title, '^\\s+|\\s+$', '', 'g') FROM bd WHERE regexp_replace(title, '^\\s+|\\s+$', '', 'g') != ''),
 r1 AS (SELECT DISTINCT record_id AS a, min(record_id) OVER (PARTITION BY key) AS b FROM keys),
 links AS (SELECT a, b FROM r1 UNION SELECT b, a FROM r1),
