@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 #: What separates words: space, tab, line feed, vertical tab, form feed, carriage return.
 SPACE = r"[\x20\x09-\x0D]+"
+#: Small rows, a dozen megabytes, up to which they are broadcast.
+BROADCAST_ROWS = 50_000
 _FOLDER: ContextVar[str | None] = ContextVar("folder", default=None)
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -59,6 +61,11 @@ def settled(spark: SparkSession, make: Callable[[], DataFrame]) -> DataFrame:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def hinted(small: DataFrame, n: int) -> DataFrame:
+    """Broadcast if the ``n`` rows, of some 250 bytes each, are few; else the join shuffles, and splits hot groups."""
+    return F.broadcast(small) if n <= BROADCAST_ROWS else small
+
+
 def words(text: Column) -> Column:
     """Array of the words of a text; null gives an empty array."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE), "")
