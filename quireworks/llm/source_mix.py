@@ -21,7 +21,7 @@ from collections import defaultdict
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quireworks.llm.common import save, words
+from quireworks.llm.common import hinted, save, words
 
 SEED = 20_11
 
@@ -117,7 +117,7 @@ def _source_name(marked: str) -> str | None:
     return None if marked == "~null" else marked[1:]
 
 
-def _cuts(sized: DataFrame, amounts: DataFrame, slices: int) -> DataFrame:
+def _cuts(sized: DataFrame, amounts: DataFrame, n_amounts: int, slices: int) -> DataFrame:
     """For each pattern and amount the last turn of those documents, in order, whose running size comes nearest to the amount.
 
     sized: pattern, turn, doc_id, size. amounts: pattern, amount. The order is cut into ``slices`` even parts of the hash: sums by
@@ -130,7 +130,7 @@ def _cuts(sized: DataFrame, amounts: DataFrame, slices: int) -> DataFrame:
     by_part = by_part.withColumn("before", F.sum("n").over(order) - F.col("n"))
     hit = by_part.join(amounts, "pattern").where("amount > before AND amount <= before + n").select("pattern", "part", "before", "amount")
     # only the documents of the parts that hold a cut
-    inside = sized.withColumn("part", part).join(F.broadcast(hit), ["pattern", "part"])
+    inside = sized.withColumn("part", part).join(hinted(hit, n_amounts), ["pattern", "part"])
     turns = inside.groupBy("pattern", "amount", "before", "turn").agg(F.sum("size").alias("n"))
     order = Window.partitionBy("pattern", "amount").orderBy("turn")
     turns = turns.withColumn("upto", F.col("before") + F.sum("n").over(order))
@@ -172,7 +172,7 @@ def plan_mix(sized: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: fl
             at = more // (times_all + 1) + ((upto - more) // times_all if times_all else 0)
             routes.append((r["pattern"], place, s, None if place == len(to) - 1 else int(at)))
     wanted = {(p, k) for p, _, k in full if k} | {(p, k) for p, _, _, k in routes if k}
-    cuts = save(_cuts(sized, spark.createDataFrame(sorted(wanted), "pattern string, amount bigint"), slices))
+    cuts = save(_cuts(sized, spark.createDataFrame(sorted(wanted), "pattern string, amount bigint"), len(wanted), slices))
     once_more = cuts.withColumnRenamed("amount", "rest")
     plan = spark.createDataFrame(full, "pattern string, full bigint, rest bigint").join(once_more, ["pattern", "rest"], "left").select("pattern", "full", F.coalesce("cut", F.lit(-1)).alias("cut"))
     stretch = spark.createDataFrame(routes, "pattern string, place int, source string, amount bigint").join(cuts, ["pattern", "amount"], "left")
@@ -186,7 +186,7 @@ def times(turn: Column) -> Column:
 
 
 def mix_sizes(sized: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, most: int = 2) -> DataFrame:
-    """doc_id, source, size, source_size, target, taken and quota_source for sized: doc_id, source, sources (array), size.
+    """doc_id, size, source_size, target, taken, source and quota_source for sized: doc_id, source, sources (array), size.
 
     ``sources`` are all sources a document belongs to, ``source`` the one it's reported under, ``quota_source`` the one whose quota the
     flow lets it fill (null source or not taken: null).
@@ -195,9 +195,10 @@ def mix_sizes(sized: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: f
     keyed = sized.select("doc_id", "source", "size", turn_of(F.col("doc_id")).alias("turn"), pattern_of(F.col("sources")).alias("pattern"))
     plan, sizes, quota = plan_mix(keyed, weights, share, most)
     own = spark.createDataFrame([(s, int(sizes[s]), quota[s]) for s in sizes] or [(None, 0, 0.0)], "name string, source_size bigint, target double")
-    # plan has a row a pattern, own a row a source: what the driver just held
-    found = keyed.join(F.broadcast(save(plan)), "pattern").join(F.broadcast(own), F.col("source").eqNullSafe(F.col("name")))
-    return found.select("doc_id", "source", "size", "source_size", "target", (F.col("size") * times(F.col("turn"))).alias("taken"), F.when(times(F.col("turn")) > 0, F.get(F.filter("routes", lambda r: F.col("turn") <= r["cut"]), F.lit(0))["source"]).alias("quota_source"))
+    # plan has a row a pattern, own a row a source
+    plan = save(plan)
+    found = keyed.join(hinted(plan, plan.count()), "pattern").join(hinted(own, len(sizes)), F.col("source").eqNullSafe(F.col("name")))
+    return found.select("doc_id", "size", "source_size", "target", (F.col("size") * times(F.col("turn"))).alias("taken"), "source", F.when(times(F.col("turn")) > 0, F.get(F.filter("routes", lambda r: F.col("turn") <= r["cut"]), F.lit(0))["source"]).alias("quota_source"))
 
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, most: int = 2) -> DataFrame:
@@ -205,7 +206,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float =
     keyed = docs.select("*", turn_of(F.col("doc_id")).alias("__qw_turn"), pattern_of(F.array("source")).alias("__qw_pattern"))
     sized = keyed.select(F.col("__qw_pattern").alias("pattern"), F.col("__qw_turn").alias("turn"), "doc_id", size_of(F.col("text")).alias("size"))
     plan, _, _ = plan_mix(save(sized), weights, share, most)
-    plan = plan.drop("routes").select(F.col("pattern").alias("__qw_pattern"), F.col("full").alias("__qw_full"), F.col("cut").alias("__qw_cut"))
+    plan = save(plan.select(F.col("pattern").alias("__qw_pattern"), F.col("full").alias("__qw_full"), F.col("cut").alias("__qw_cut")))
     n = (F.col("__qw_full") + (F.col("__qw_turn") <= F.col("__qw_cut")).cast("int")).cast("int")
-    taken = keyed.join(F.broadcast(save(plan)), "__qw_pattern").withColumn("__qw_times", n).where("__qw_times > 0")
+    taken = keyed.join(hinted(plan, plan.count()), "__qw_pattern").withColumn("__qw_times", n).where("__qw_times > 0")
     return taken.withColumn("__qw_copy", F.explode(F.sequence(F.lit(1), F.col("__qw_times")))).select(*docs.columns)
