@@ -2,8 +2,9 @@
 
 Totals by source, language and tokenizer version are kept as a log of signed deltas: an insert adds a document's count, a delete takes
 it away, a revision adds the difference. A batch becomes one small folder ``batch_id=.../`` of already aggregated rows, written first
-under another name and then renamed, so a batch is either there or not and a second delivery of it changes nothing. Totals are the
-sums over the batches; ``compact`` folds them into one.
+under a name of the attempt's own and then renamed, so a batch is either there or not and a second delivery of it changes nothing, nor
+does one at the same time. Totals are the sums over the batches; ``compact`` folds them into one. The file system must rename folders at
+one stroke, as HDFS and local ones do; on a plain object store keep the log in a table format that commits.
 
 Cases: null texts count 0 tokens; null sources, languages and versions are groups of their own; a change without counts on the side
 it needs counts 0 there; a repeated change row counts as often as it occurs; an empty batch is committed and adds nothing.
@@ -12,6 +13,7 @@ it needs counts 0 there; a repeated change row counts as often as it occurs; an
 from __future__ import annotations
 
 import base64
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -87,10 +89,17 @@ class Rollup:
         final, fs = self._place(f"batch_id={batch_id}")
         if fs.exists(final):
             return False
-        draft, _ = self._place(f"_draft-{batch_id}")
+        name = f"_draft-{batch_id}-{uuid.uuid4().hex}"
+        draft, _ = self._place(name)
         # one row a group, of which there are as many as sources, languages and versions
-        signed_deltas(changes).coalesce(1).write.mode("overwrite").parquet(draft.toString())
-        return bool(fs.rename(draft, final))
+        signed_deltas(changes).coalesce(1).write.parquet(draft.toString())
+        # onto a folder that came in the meantime, a rename fails or moves the draft into it, where readers ignore it
+        inside, _ = self._place(f"batch_id={batch_id}/{name}")
+        if fs.rename(draft, final) and not fs.exists(inside):
+            return True
+        fs.delete(inside, True)
+        fs.delete(draft, True)
+        return False
 
     def batches(self) -> DataFrame:
         self._place("")[1].mkdirs(self._place("")[0])
