@@ -7,7 +7,8 @@ with nothing between them but what markup allows. Every place of a text where th
 Beside the templates, fixed phrases give base labels wherever their words stand consecutively.
 
 Cases: a null text has no words; texts without any hit have null places and empty labels; repeated rows give equal rows; an empty table
-gives an empty result; columns beyond doc_id and text are ignored.
+gives an empty result; columns beyond doc_id and text are ignored; very long texts are scanned whole, an automaton being tried only where its first words fit
+and all its mandatory words occur.
 """
 
 from __future__ import annotations
@@ -23,8 +24,40 @@ from pyspark.sql import functions as F
 #: Phrases and their labels.
 PHRASES = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
 
-#: Notices of licences, with what may be absent or replaced.
-TEMPLATES = {
+#: Public licences and licence headers from first to last word, with what may be absent or replaced.
+LICENCES = {
+    "mit-text": """<<optional>>the <<any 1>> mit license<<end>> <<optional>>copyright <<any 16>><<end>> permission is hereby granted free of charge to any person obtaining a copy of this software and
+        associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute
+        sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions the above copyright notice
+        and this permission notice <<optional>>including the next paragraph<<end>> shall be included in all copies or substantial portions of the software the software is provided as is
+        without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement in no event
+        shall the <<any 8>> be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software
+        or the use or other dealings in the software""",
+    "isc-text": """<<optional>>copyright <<any 16>><<end>> permission to use copy modify and <<optional>>or<<end>> distribute this software for any purpose with or without fee is hereby granted provided that
+        the above copyright notice and this permission notice appear in all copies the software is provided as is and <<any 8>> disclaims all warranties with regard to this software including
+        all implied warranties of merchantability and fitness in no event shall <<any 8>> be liable for any special direct indirect or consequential damages or any damages whatsoever resulting
+        from loss of use data or profits whether in an action of contract negligence or other tortious action arising out of or in connection with the use or performance of this software""",
+    "bsd-text": """<<optional>>copyright <<any 16>><<end>> <<optional>>all rights reserved<<end>> redistribution and use in source and binary forms with or without modification are permitted provided that
+        the following conditions are met <<any 1>> redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer <<any 1>>
+        redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with
+        the distribution <<optional>><<any 1>> neither the name of <<any 12>> nor the names of its contributors may be used to endorse or promote products derived from this software without
+        specific prior written permission<<end>> this software is provided by <<any 8>> as is and any express or implied warranties including but not limited to the implied warranties of
+        merchantability and fitness for a particular purpose are disclaimed in no event shall <<any 8>> be liable for any direct indirect incidental special exemplary or consequential damages
+        including but not limited to procurement of substitute goods or services loss of use data or profits or business interruption however caused and on any theory of liability whether in
+        contract strict liability or tort including negligence or otherwise arising in any way out of the use of this software even if advised of the possibility of such damage""",
+    "apache-header": """<<optional>>copyright <<any 16>><<end>> licensed under the apache license version 2 0 the license you may not use <<any 2>> except in compliance with the license you may obtain a copy of
+        the license at <<optional>>http<<end>> <<optional>>https<<end>> www apache org licenses license 2 0 unless required by applicable law or agreed to in writing software distributed under
+        the license is distributed on an as is basis without warranties or conditions of any kind either express or implied see the license for the specific language governing permissions
+        and limitations under the license""",
+    "gpl-header": """<<optional>>copyright <<any 16>><<end>> <<any 4>> is free software you can redistribute it and or modify it under the terms of the gnu <<optional>>lesser<<end>> <<optional>>affero<<end>> general
+        public license as published by the free software foundation either version <<any 3>> of the license or at your option any later version <<any 4>> is distributed in the hope that it will
+        be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose see the gnu <<optional>>lesser<<end>>
+        <<optional>>affero<<end>> general public license for more details you should have received a copy of the gnu <<optional>>lesser<<end>> <<optional>>affero<<end>> general public license
+        along with <<any 3>> if not""",
+}
+
+#: Notices of licences and openings of their grants, with what may be absent or replaced.
+TEMPLATES = LICENCES | {
     "mit-notice": "<<optional>>this <<any 3>> is<<end>> released under the <<optional>>terms of the<<end>> mit license",
     "mit-grant": "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files <<optional>>the software<<end>> to deal in the software without restriction",
     "gpl-notice": "<<optional>>this <<any 3>> is<<end>> licensed under the <<optional>>terms of the<<end>> gnu general public license <<optional>>version <<any 3>><<end>>",
@@ -186,9 +219,9 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, phrases: dict
 def label(found: DataFrame) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels and score of what ``scan`` found.
 
-    The score is 1 with a template's mandatory wording in full, 0.5 with a phrase alone, else 0.
+    The score is 1 with a whole licence or licence header, 0.75 with a notice or the opening of a grant, 0.5 with a phrase alone, else 0.
     """
     joined = lambda a: F.array_join(F.array_sort(F.array_distinct(a)), ",")
     at, base = F.transform("places", lambda p: p["place"]), F.transform("places", lambda p: p["label"])
     named = F.concat(base, F.transform("matches", lambda m: m["template"]))
-    return found.select("doc_id", "n_words", F.size("places").cast("long").alias("n_base"), F.array_min(at).alias("first_word"), F.array_max(at).alias("last_word"), joined(base).alias("base_labels"), joined(named).alias("labels"), F.when(F.size("matches") > 0, 1.0).when(F.size("places") > 0, 0.5).otherwise(0.0).alias("score"))
+    return found.select("doc_id", "n_words", F.size("places").cast("long").alias("n_base"), F.array_min(at).alias("first_word"), F.array_max(at).alias("last_word"), joined(base).alias("base_labels"), joined(named).alias("labels"), F.when(F.exists("matches", lambda m: m["template"].isin(*LICENCES)), 1.0).when(F.size("matches") > 0, 0.75).when(F.size("places") > 0, 0.5).otherwise(0.0).alias("score"))
