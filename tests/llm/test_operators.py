@@ -81,6 +81,64 @@ def test_outliers(spark, odd, nothing, docs):
     assert rows(outliers.mcd_outliers(table)) == first
 
 
+def mcd_by_loop(x, starts, share=0.75, reweight=0.975):
+    """Squared distances of the rows of ``x`` by plain concentration steps; starts are index arrays."""
+
+    def estimate(rows, stretch):
+        mean = rows.mean(axis=0)
+        return mean, stretch * ((rows - mean).T @ (rows - mean)) / len(rows) + np.diag(np.square(outliers.FLOORS))
+
+    def distances(mean, cov):
+        return np.array([(r - mean) @ np.linalg.solve(cov, r - mean) for r in x])
+
+    def step(mean, cov):
+        bins = np.floor(np.log2(np.maximum(distances(mean, cov), 1e-3)) * outliers.BINS_PER_OCTAVE)
+        cut = np.sort(bins)[math.ceil(len(x) * share) - 1]
+        return estimate(x[bins <= cut], outliers.consistency(share))
+
+    det = lambda p: np.linalg.slogdet(p[1])[1]
+    tried = [estimate(x[s], 1.0) for s in starts if len(s)]
+    for _ in range(2):
+        tried = [step(*p) for p in tried]
+    best = min(tried, key=det)
+    while det(new := step(*best)) < det(best) - outliers.FALL:
+        best = new
+    return distances(*estimate(x[distances(*best) <= outliers.chi2_quantile(reweight, outliers.P)], outliers.consistency(reweight)))
+
+
+def test_distances_equal_plain_steps(spark):
+    from pyspark.sql import functions as F
+
+    rng = random.Random(11)
+    shapes = [("en", "a", 200), ("fr", "b", 120), ("de", "a", 40), ("de", "b", 40), ("de", None, 5), (None, "a", 90)]
+
+    def text(odd):
+        n = rng.randint(30, 300)
+        return " ".join(rng.choice("AbcdeFghij") * rng.randint(1, 9) + str(k % 89) + ("#$" if odd and rng.random() < 0.5 else "") for k in range(n)) + "\nline" * rng.randint(0, 6 if odd else 1)
+
+    table, i = [], 0
+    for lang, source, n in shapes:
+        for k in range(n):
+            table.append((i, text(k % 6 == 0), lang, source))
+            i += 1
+    docs = spark.createDataFrame(table, "doc_id bigint, text string, lang string, source string")
+    got = {r.doc_id: r for r in outliers.mcd_outliers(docs).collect()}
+    stats = outliers.text_counts(docs).withColumn("bad", outliers.base_failed()).select("*", *outliers._statistics())
+    for j in range(6):
+        stats = stats.withColumn(f"h{j}", F.pmod(F.xxhash64("doc_id", F.lit(j)), F.lit(1 << 30)))
+    held = stats.orderBy("doc_id").collect()
+    rejected = 0
+    for group in (["en"], ["fr"], ["de"], [None]):
+        mine = [r for r in held if r.lang in group and not r.bad]
+        x = np.array([[r[f"x{k}"] for k in range(outliers.P)] for r in mine]) / outliers.UNIT
+        starts = [[k for k, r in enumerate(mine) if r[f"h{j}"] * len(mine) <= (2 * outliers.P + 2) * (1 << 30)] for j in range(6)]
+        for r, d2 in zip(mine, mcd_by_loop(x, starts), strict=True):
+            assert math.isclose(got[r.doc_id].distance, math.sqrt(d2), rel_tol=1e-6)
+            assert got[r.doc_id].kept == (d2 <= outliers.chi2_quantile(1 - 1e-9, outliers.P))
+            rejected += not got[r.doc_id].kept
+    assert len(got) == len(table) and rejected > 0
+
+
 def test_chi2():
     assert abs(outliers.chi2_cdf(outliers.chi2_quantile(0.975, 5), 5) - 0.975) < 1e-9
     assert abs(outliers.chi2_quantile(0.95, 1) - 3.841459) < 1e-5
@@ -152,6 +210,25 @@ def test_batches_are_idempotent(spark, tmp_path):
     assert rows(token_rollups.compact(rollup, f"file://{tmp_path}/s").totals()) == [("a", "en", "t", 1, 4)]
 
 
+def test_batch_delivered_twice_at_once(spark, tmp_path):
+    schema = "source string, lang string, tokenizer string, op string, n_tokens bigint, old_tokens bigint"
+    rollup = token_rollups.Rollup(spark, f"file://{tmp_path}/r")
+    one = spark.createDataFrame([("a", "en", "t", "insert", 10, None)], schema)
+
+    def late(batch):
+        """Another delivery of the batch commits while this one is being written."""
+        assert token_rollups.Rollup(spark, rollup.path).apply(1, one)
+        return deltas(batch)
+
+    deltas = token_rollups.signed_deltas
+    with pytest.MonkeyPatch.context() as patch:
+        calls = []
+        patch.setattr(token_rollups, "signed_deltas", lambda batch: deltas(batch) if calls or calls.append(1) else late(batch))
+        assert not rollup.apply(1, one)
+    assert rows(rollup.totals()) == [("a", "en", "t", 1, 10)]
+    assert sorted(p.name for p in (tmp_path / "r").iterdir()) == ["batch_id=1"]
+
+
 # 4
 
 
@@ -234,6 +311,25 @@ def test_licenses(spark, docs, odd, nothing):
     assert license_templates.scan(nothing).count() == 0
 
 
+def test_whole_licences(spark):
+    def plain(name, fill):
+        """A licence's wording with markup replaced: optional parts kept, replaceable ones filled."""
+        return re.sub(r" +", " ", re.sub(r"<<any \d+>>", fill, re.sub(r"<<optional>>|<<end>>", " ", license_templates.LICENCES[name])))
+
+    texts, want = [], []
+    for name in license_templates.LICENCES:
+        whole = plain(name, "X")
+        for text, found in ((whole.upper(), True), ("Before it. " + re.sub(r"(\w+) (\w+)", r"\1,\n  \2;", whole) + " (and after)", True), (whole.replace("software", "hardware"), False), (whole[: -len(whole) // 20], False), (whole.replace(" or ", " or not "), False)):
+            texts.append(text)
+            want.append((name, found))
+    bare = re.sub(r"<<optional>>(?:(?!<<optional>>).)*?<<end>>", "", license_templates.LICENCES["mit-text"], flags=re.DOTALL)
+    texts.append(re.sub(r"<<any \d+>>", "authors", bare))
+    want.append(("mit-text", True))
+    got = license_templates.label(license_templates.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"))).orderBy("doc_id").collect()
+    for r, (name, found) in zip(got, want, strict=True):
+        assert (name in r.labels.split(",")) == found and (r.score == 1.0) == found, (name, r)
+
+
 def test_automata():
     a = license_templates.compile_template("a <<optional>>b <<optional>>c<<end>><<end>> <<any 2>> d")
     shape = re.compile(r"a( b( c)?)?( \w){0,2} d")
@@ -516,6 +612,40 @@ def test_classifier_on_odd_rows(spark, odd, nothing):
     assert quality_gam.train(nothing, labels).intercept == 0
 
 
+def test_scores_equal_plain_sums():
+    rng = np.random.default_rng(4)
+    x = rng.random((900, len(quality_gam.FEATURES)))
+    model = quality_gam.fit(x, (x[:, 0] + x[:, 1] * x[:, 2] > 0.8).astype(float), rounds=20, pair_rounds=5)
+    odd = np.vstack([x[:50], np.full((1, x.shape[1]), -9.0), np.full((1, x.shape[1]), 9.0), [[float(e[0]) if len(e) else 0.0 for e in model.edges]]])
+    for row, got in zip(odd, model.score(odd), strict=True):
+        place = [sum(1 for e in edges if e <= v) for edges, v in zip(model.edges, row, strict=True)]
+        total = model.intercept + sum(t[place[i]] for i, t in enumerate(model.single)) + sum(t[place[i]][place[j]] for (i, j), t in zip(model.pairs, model.double, strict=True))
+        assert math.isclose(got, 1 / (1 + math.exp(-total)), rel_tol=1e-12)
+    assert model.pairs
+
+
+def test_trees_equal_search():
+    """A tree's split and a grid's splits against every possible one."""
+    rng = np.random.default_rng(5)
+    ridge = 5.0
+    gain = lambda g, h: g.sum() ** 2 / (h.sum() + ridge)
+    for _ in range(20):
+        g, h = rng.normal(size=9), rng.random(9)
+        cut = max(range(1, 9), key=lambda c: gain(g[:c], h[:c]) + gain(g[c:], h[c:]))
+        want = np.concatenate([np.full(cut, g[:cut].sum() / (h[:cut].sum() + ridge)), np.full(9 - cut, g[cut:].sum() / (h[cut:].sum() + ridge))])
+        if gain(g[:cut], h[:cut]) + gain(g[cut:], h[cut:]) > gain(g, h) + 1e-9:
+            assert np.allclose(quality_gam._tree(g, h, 2, ridge), want)
+        g, h = rng.normal(size=(4, 5)), rng.random((4, 5))
+        won = lambda parts: sum(gain(g[p], h[p]) for p in parts)
+        tried = [[np.s_[:a, :b], np.s_[:a, b:], np.s_[a:, :c], np.s_[a:, c:]] for a in range(1, 4) for b in range(1, 5) for c in range(1, 5)]
+        tried += [[np.s_[:b, :a], np.s_[b:, :a], np.s_[:c, a:], np.s_[c:, a:]] for a in range(1, 5) for b in range(1, 4) for c in range(1, 4)]
+        best = max(tried, key=won)
+        want = np.zeros_like(g)
+        for p in best:
+            want[p] = g[p].sum() / (h[p].sum() + ridge)
+        assert np.allclose(quality_gam._grid(g, h, ridge), want)
+
+
 def test_pairs_are_learned():
     rng = np.random.default_rng(3)
     x = rng.random((4000, len(quality_gam.FEATURES)))
