@@ -101,8 +101,8 @@ def mcd_by_loop(x, starts, share=0.75, reweight=0.975):
     for _ in range(2):
         tried = [step(*p) for p in tried]
     best = min(tried, key=det)
-    while det(new := step(*best)) < det(best) - outliers.FALL:
-        best = new
+    for _ in range(3):
+        best = step(*best)
     return distances(*estimate(x[distances(*best) <= outliers.chi2_quantile(reweight, outliers.P)], outliers.consistency(reweight)))
 
 
