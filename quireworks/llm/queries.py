@@ -1,4 +1,4 @@
-"""The queries of the ten operators with production parameters, and their SQL where SQL can express them."""
+"""The queries of the thirteen operators with production parameters, and their SQL where SQL can express them."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quireworks.llm import anisotropic_ann, bpe_stream, license_templates, line_dedup, outliers, quality_gam, simhash, source_mix, token_rollups, url_cascade
+from quireworks.llm import anisotropic_ann, bpe_stream, license_templates, line_dedup, outliers, prefix_trie, quality_gam, simhash, source_mix, spelling_variants, token_rollups, url_cascade, winnowing
 from quireworks.llm.common import save, shared_dir, table
 
 #: Fixed values of the URL rules and of the published list of unwanted domains.
@@ -79,8 +79,20 @@ def op10_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_gam.score(docs, quality_gam.train(docs, table(spark, sf_dir, "labels")))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(prefix_trie.rebuilt(save(prefix_trie.sequences(table(spark, sf_dir, "conversations")))))
+
+
+def op12_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return winnowing.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants.spelling_variants(spelling_variants.runs(table(spark, sf_dir, "documents")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_outliers, op2_url_cascade, op3_token_rollups, op4_source_mix, op5_license_templates, op6_anisotropic_ann, op7_simhash, op8_line_dedup, op9_bpe_stream, op10_quality_gam)}
+    return {f.__name__: f for f in (op1_quality_outliers, op2_url_cascade, op3_token_rollups, op4_source_mix, op5_license_templates, op6_anisotropic_ann, op7_simhash, op8_line_dedup, op9_bpe_stream, op10_quality_gam, op11_prefix_trie, op12_winnowing, op13_spelling_variants)}
 
 
 def _url_rule_sql() -> str:
@@ -153,5 +165,74 @@ FROM islands GROUP BY doc_id, run
 """
 
 
+
+def _crc(of: str) -> str:
+    """The checksum CRC-32 of a string, unsigned: its bits, lowest first, are divided out one by one."""
+    bits = f"flatten([[((CAST(('0x' || h) AS UBIGINT) >> k) & 1) FOR k IN range(8)] FOR h IN regexp_extract_all(hex({of}), '..')])"
+    return f"xor(list_reduce(list_concat([CAST(4294967295 AS UBIGINT)], {bits}), lambda c, b: xor(c >> 1, CAST(3988292384 AS UBIGINT) * (xor(c, b) & 1))), 4294967295)"
+
+
+_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+# a node is told by the digests of its turns in a row, 32 characters a turn, so the nodes above it are its prefixes
+TRIE_SQL = rf"""
+WITH given AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS k, coalesce(role, '') AS role, coalesce(text, '') AS text
+  FROM conversations WHERE conv_id IS NOT NULL),
+convs AS (SELECT conv_id, CAST({_crc("CAST(conv_id AS VARCHAR)")} % 4 AS INT) AS h FROM (SELECT DISTINCT conv_id FROM given)),
+parts AS (
+  SELECT c.conv_id, 0 AS part, g.k, g.role, g.text FROM convs c JOIN given g ON g.conv_id = c.conv_id - c.conv_id % 20 WHERE g.k <= c.h
+  UNION ALL SELECT c.conv_id, 1, g.k, g.role, g.text FROM convs c JOIN given g ON g.conv_id = c.conv_id WHERE g.k > c.h),
+turns AS (
+  SELECT conv_id, row_number() OVER o AS d, string_agg(md5(length(role) || ':' || role || ':' || text), '') OVER (PARTITION BY conv_id ORDER BY part, k ROWS UNBOUNDED PRECEDING) AS path,
+         len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS w
+  FROM parts WINDOW o AS (PARTITION BY conv_id ORDER BY part, k)),
+members AS (SELECT * FROM turns UNION ALL SELECT conv_id, 0, '', 0 FROM convs),
+nodes AS (SELECT path, any_value(d) AS depth, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(w) AS w FROM members GROUP BY path),
+children AS (SELECT left(path, length(path) - 32) AS path, count(*) AS n FROM nodes WHERE depth > 0 GROUP BY 1),
+own AS (SELECT nodes.*, coalesce(n, 0) AS n_children FROM nodes LEFT JOIN children USING (path)),
+sums AS (
+  SELECT left(path, 32 * CAST(u AS INT)) AS path, sum((n_children = 0)::INT) AS n_leaves, sum((n_convs - 1) * w) AS saved
+  FROM (SELECT *, unnest(range(depth + 1)) AS u FROM own) GROUP BY 1),
+ends AS (
+  SELECT path, string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) AS e
+  FROM members WHERE length(path) = 32 * d AND NOT EXISTS (SELECT 1 FROM turns t WHERE t.conv_id = members.conv_id AND t.d = members.d + 1) GROUP BY path)
+SELECT o.conv_id, CAST(o.depth AS BIGINT) AS depth, p.conv_id AS parent_conv_id, o.n_convs, o.n_children, CAST(n_leaves AS BIGINT) AS n_leaves, CAST(saved AS BIGINT) AS saved_tokens,
+       sha256(coalesce(e, '')) AS ends_sha256
+FROM own o JOIN sums USING (path) LEFT JOIN ends USING (path) LEFT JOIN nodes p ON o.depth > 0 AND p.path = left(o.path, length(o.path) - 32)
+"""
+
+_ITEM_WORDS = rf"regexp_extract_all({_LOWER.format('text')}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+LEAK_SQL = rf"""
+WITH items AS (SELECT CAST(item_id AS VARCHAR) AS item_id, w, least(len(w), {winnowing.SPAN}) AS s FROM (SELECT item_id, {_ITEM_WORDS} AS w FROM benchmark WHERE item_id IS NOT NULL AND text IS NOT NULL) WHERE len(w) > 0),
+asked AS (SELECT DISTINCT item_id, s, array_to_string(w[i:i + s - 1], ' ') AS x FROM (SELECT *, unnest(range(1, len(w) - s + 2)) AS i FROM items)),
+docs AS (SELECT row_number() OVER () AS r, doc_id, CASE WHEN text IS NULL THEN [] ELSE {_ITEM_WORDS} END AS w FROM documents),
+places AS (SELECT r, s, i, array_to_string(w[i:i + s - 1], ' ') AS x FROM (SELECT r, w, s, unnest(range(1, len(w) - s + 2)) AS i FROM docs, (SELECT DISTINCT s FROM asked))),
+hits AS (SELECT r, s, i, x FROM places JOIN (SELECT DISTINCT s, x FROM asked) USING (s, x)),
+covered AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(i, i + s)) AS p FROM hits) GROUP BY r),
+of_doc AS (SELECT r, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids FROM (SELECT DISTINCT r, item_id FROM hits JOIN asked USING (s, x)) GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+FROM docs LEFT JOIN covered USING (r) LEFT JOIN of_doc USING (r)
+"""
+
+VARIANT_SQL = rf"""
+WITH RECURSIVE found AS (SELECT CAST(doc_id AS VARCHAR) AS id, unnest(regexp_extract_all({_LOWER.format('text')}, '[A-Za-z\x{{C0}}-\x{{FF}}]+')) AS run FROM documents),
+counted AS (SELECT id, run, count(*) AS c FROM found GROUP BY id, run),
+summed AS (SELECT *, {_crc("id || ':' || run")} AS h FROM counted),
+typed AS (SELECT CASE WHEN h % {spelling_variants.LOSSY} = 0 THEN left(run, CAST(h % length(run) AS INT)) || substr(run, CAST(h % length(run) AS INT) + 2) ELSE run END AS word, c FROM summed),
+words AS (SELECT word, CAST(sum(c) AS BIGINT) AS n FROM typed WHERE length(word) >= {spelling_variants.MIN_LENGTH} GROUP BY word HAVING sum(c) >= {spelling_variants.MIN_COUNT}),
+masked AS (SELECT word, i, left(word, i - 1) AS a, substr(word, i + 1) AS b FROM (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM words)),
+near AS (
+  SELECT x.word, y.word AS other FROM masked x JOIN masked y USING (i, a, b) WHERE x.word != y.word
+  UNION SELECT m.word, w.word FROM masked m JOIN words w ON w.word = m.a || m.b
+  UNION SELECT w.word, m.word FROM masked m JOIN words w ON w.word = m.a || m.b),
+best AS (SELECT near.word, count(*) AS n_near, arg_min(other, struct_pack(m := -n, w := other)) AS other, max(n) AS m FROM near JOIN words ON words.word = other GROUP BY near.word),
+formed AS (SELECT word, CASE WHEN m >= 2 * n THEN other END AS form, n, coalesce(n_near, 0) AS n_near, CASE WHEN m >= 2 * n THEN m END AS form_n FROM words LEFT JOIN best USING (word)),
+chain AS (SELECT word, word AS reached, form AS next FROM formed UNION ALL SELECT c.word, c.next, f.form FROM chain c JOIN formed f ON f.word = c.next)
+SELECT word, form, reached AS root, n, n_near, form_n FROM formed JOIN (SELECT word, reached FROM chain WHERE next IS NULL) USING (word)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_url_cascade": URL_SQL, "op8_line_dedup": PASSAGE_SQL}
+    return {"op2_url_cascade": URL_SQL, "op8_line_dedup": PASSAGE_SQL, "op11_prefix_trie": TRIE_SQL, "op12_winnowing": LEAK_SQL, "op13_spelling_variants": VARIANT_SQL}
