@@ -4,8 +4,15 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Small rows, a dozen megabytes, up to which they are broadcast.
+BROADCAST_ROWS = 50_000
+_FOLDER: ContextVar[str | None] = ContextVar("folder", default=None)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -22,6 +29,30 @@ def shared_dir(spark: SparkSession) -> str:
 
 def save(df: DataFrame) -> DataFrame:
     """``df`` written once and read back: a lost executor costs no recomputation, and the plan starts anew."""
-    path = f"{shared_dir(df.sparkSession)}/quireworks-{uuid.uuid4().hex}"
+    path = _new_folder(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _new_folder(spark: SparkSession) -> str:
+    return f"{_FOLDER.get() or shared_dir(spark)}/quireworks-{uuid.uuid4().hex}"
+
+
+def settled(spark: SparkSession, make: Callable[[], DataFrame]) -> DataFrame:
+    """``save(make())``; what ``save`` wrote while ``make`` ran is deleted then."""
+    folder = _new_folder(spark)
+    token = _FOLDER.set(folder)
+    try:
+        df = make()
+    finally:
+        _FOLDER.reset(token)
+    try:
+        return save(df)
+    finally:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def hinted(small: DataFrame, n: int) -> DataFrame:
+    """Broadcast if the ``n`` rows, of some 250 bytes each, are few; else the join shuffles, and splits hot groups."""
+    return F.broadcast(small) if n <= BROADCAST_ROWS else small

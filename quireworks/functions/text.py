@@ -54,3 +54,21 @@ def heading_level(line: Column) -> Column:
 
 def heading_text(line: Column) -> Column:
     return F.when(line.rlike(HEADING), strip(F.regexp_extract(line, HEADING, 2)))
+
+
+#: Scripts that put no spaces between words (Han, kana, Thai, Lao, Myanmar, Khmer), as a character class without brackets.
+UNSPACED = "฀-໿က-႟ក-៿⺀-⿟々-〇぀-ヿㇰ-ㇿ㐀-䶿一-鿿豈-﫿\U00020000-\U0003ffff"
+GAPS = r"[^\p{L}\p{M}\p{N}']+"
+
+
+def plain(c: Column) -> Column:
+    """In lower case, with one space for whatever isn't a letter, mark, digit or apostrophe."""
+    return F.trim(F.regexp_replace(F.lower(c), GAPS, " "))
+
+
+def terms_of(text: Column) -> Column:
+    """Distinct terms: words of more than two characters, and, where words aren't spaced, every two neighbouring characters (a character that stands alone is a term)."""
+    word = F.filter(F.split(F.regexp_replace(F.lower(text), f"[{UNSPACED}]+", " "), r"[^\p{L}\p{N}]+"), lambda t: F.length(t) > 2)
+    runs = F.regexp_extract_all(F.lower(text), F.lit(f"([{UNSPACED}]+)"), F.lit(1))
+    pairs = F.flatten(F.transform(runs, lambda r: F.when(F.length(r) == 1, F.array(r)).otherwise(F.transform(F.sequence(F.lit(1), F.greatest(F.length(r) - 1, F.lit(1))), lambda i: F.substring(r, i, F.lit(2))))))
+    return F.array_distinct(F.concat(word, pairs))

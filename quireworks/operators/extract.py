@@ -103,14 +103,17 @@ def endnotes(anchors: DataFrame, files: DataFrame) -> DataFrame:
     return kept.groupBy("book", "anchor").agg(F.max_by(text, "pos").alias("note"))
 
 
+#: Words of a copyright page; three of them make one.
+COPYRIGHT_WORDS = ("ISBN", "版权所有", "Copyright", "All rights reserved", "出版社", "Publishing", "印刷", "字数", "开本")
+
+
 def content_pages(pages: DataFrame) -> DataFrame:
     """page_id of the pages (page_id, html) that are neither contents nor front matter."""
-    h = F.lower(F.coalesce("html", F.lit("")))
+    html = F.coalesce("html", F.lit(""))
+    h = F.lower(html)
     toc = (F.size(F.regexp_extract_all(h, F.lit(r"<div[^>]*class=\"[^\"]*(toc)[^\"]*\""), F.lit(1))) > 3) | h.rlike(r"class=\"[^\"]*toc-title")
-    text = strip(F.regexp_replace(F.regexp_replace(h, r"(?is)<(script|style|title)\b.*?</\1>", ""), r"(?s)<[^>]*>", ""))
-    # fixed values: words of a copyright page
-    words = ("copyright", "isbn", "all rights reserved", "published by", "printed in", "版权", "出版社", "定价", "印刷")
-    signs = sum((text.contains(w).cast("int") for w in words), F.lit(0))
+    text = strip(F.regexp_replace(F.regexp_replace(html, r"(?is)<(script|style|title)\b.*?</\1>", ""), r"(?s)<[^>]*>", ""))
+    signs = sum((text.contains(w).cast("int") for w in COPYRIGHT_WORDS), F.lit(0))
     front = ~h.contains("<body") | ((F.length(text) < 50) & h.contains("<img")) | (signs >= 3)
     return pages.where(~toc & ~front).select("page_id")
 

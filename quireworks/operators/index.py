@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quireworks.functions.text import heading_level, heading_text, is_blank, strip
+from quireworks.functions.lineage import hinted, save
+from quireworks.functions.text import heading_level, heading_text, is_blank, strip, terms_of
 
 BLOCK = r"^chunk-(\d+)\.md:\s*(.+)$"
 TAGS = r"^(?i:tags):\s*(.*)$"
@@ -124,10 +125,6 @@ def library_index(docs: DataFrame, chunks: DataFrame) -> DataFrame:
     return docs.join(n, "doc_id", "left").select("doc_id", "title", "type_tag", F.coalesce("n_chunks", F.lit(0)).alias("n_chunks"), F.concat(F.lit("library/"), F.col("doc_id").cast("string"), F.lit("/index.md")).alias("pointer"))
 
 
-def terms_of(text: Column) -> Column:
-    return F.array_distinct(F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda t: F.length(t) > 2))
-
-
 def tag_stats(descriptions: DataFrame, k: int = 3) -> DataFrame:
     """doc_id, tag, n, df, rank: each document's ``k`` commonest tags, with the number of documents that have the tag."""
     tags = descriptions.select("doc_id", F.explode("tags").alias("tag"))
@@ -137,18 +134,42 @@ def tag_stats(descriptions: DataFrame, k: int = 3) -> DataFrame:
     return n.withColumn("rank", F.row_number().over(w).cast("int")).where(F.col("rank") <= k).join(df, "tag").select("doc_id", "tag", "n", "df", "rank")
 
 
-def retrieve(queries: DataFrame, descriptions: DataFrame, k: int = 5, most_share: float = 1.0) -> DataFrame:
-    """query_id, rank, doc_id, chunk_no, score: the chunks whose main line, subtopics and tags share most terms with the query.
+def retrieve(queries: DataFrame, descriptions: DataFrame, k: int = 5, by_rarity: bool = False, common: float = 0.05) -> DataFrame:
+    """query_id, rank, doc_id, chunk_no, score: the ``k`` chunks whose main line, subtopics and tags share most terms with the query; with ``by_rarity`` a term counts
+    one more for each halving of the share of chunks that have it.
 
-    Terms of queries are few, so only their postings are joined; terms in more than ``most_share`` of the chunks are left out.
+    Only postings of queried terms are kept. Rare terms are scored first; their k-th best score is a bound that what enters must reach. Where it is more than all
+    of a query's common terms (in more than ``common`` of the chunks) can add up to, chunks with common terms alone are out, and common terms are counted for those chunks alone
+    that can still reach the bound. Other queries are scored in full. Spark keeps a query's first ``k`` of each task before it ranks them, so no task takes a
+    query's whole list. Ties go to smaller ids; chunks without ids take no part.
     """
     said = F.concat_ws(" ", "main", F.array_join("subtopics", " "), F.array_join("tags", " "))
-    asked = queries.select("query_id", F.explode(terms_of(F.col("text"))).alias("term"))
-    postings = descriptions.select("doc_id", "chunk_no", F.explode(terms_of(said)).alias("term")).join(asked.select("term").distinct(), "term", "left_semi")
-    if most_share < 1:
-        total = descriptions.agg(F.count("*").alias("total")).scalar()
-        common = postings.groupBy("term").agg(F.count("*").alias("n")).where(F.col("n") > most_share * total).select("term")
-        postings = postings.join(common, "term", "left_anti")
-    scores = asked.join(postings, "term").groupBy("query_id", "doc_id", "chunk_no").agg(F.count("*").alias("score"))
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id", "chunk_no")
-    return scores.withColumn("rank", F.row_number().over(w).cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "doc_id", "chunk_no", "score")
+    ids = ["query_id", "doc_id", "chunk_no"]
+    asked = save(queries.select("query_id", F.explode(terms_of(F.col("text"))).alias("term")).distinct())
+    wanted = asked.select("term").distinct()
+    described = descriptions.where("doc_id IS NOT NULL AND chunk_no IS NOT NULL")
+    postings = save(described.select("doc_id", "chunk_no", F.explode(terms_of(said)).alias("term")).distinct().join(hinted(wanted, wanted.count()), "term", "left_semi"))
+    total = described.count()
+    n = postings.groupBy("term").agg(F.count("*").alias("n"))
+    weight = F.length(F.bin(F.floor(F.lit(total) / F.col("n")))) if by_rarity else F.lit(1)
+    weighted = save(asked.join(n, "term").select("query_id", "term", weight.cast("bigint").alias("weight"), (F.col("n") > common * total).alias("common")))
+    n_weighted = weighted.count()
+
+    def scored(terms: DataFrame) -> DataFrame:
+        return postings.join(hinted(terms, n_weighted), "term")
+
+    def first(scores: DataFrame) -> DataFrame:
+        w = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id", "chunk_no")
+        return scores.withColumn("rank", F.row_number().over(w).cast("int")).where(F.col("rank") <= k)
+
+    rare = save(scored(weighted.where("NOT common")).groupBy(*ids).agg(F.sum("weight").alias("score")))
+    bound = first(rare).groupBy("query_id").agg(F.count("*").alias("found"), F.min("score").alias("bound"))
+    rest = weighted.groupBy("query_id").agg(F.sum(F.when(F.col("common"), F.col("weight")).otherwise(0)).alias("rest"))
+    bounded = save(rest.join(bound, "query_id", "left").withColumn("sure", (F.col("rest") == 0) | (F.coalesce("found", F.lit(0)) == k) & (F.col("rest") < F.col("bound"))))
+    n_queries = bounded.count()
+    sure, unsure = hinted(bounded.where("sure"), n_queries), hinted(bounded.where("NOT sure").select("query_id"), n_queries)
+    able = save(rare.join(sure, "query_id").where(F.col("score") + F.col("rest") >= F.coalesce("bound", F.lit(0))).select(*ids, "score"))
+    more = scored(weighted.where("common")).select(*ids, "weight").join(hinted(able.select(*ids), able.count()), ids, "left_semi")
+    added = able.unionByName(more.withColumnRenamed("weight", "score")).groupBy(*ids).agg(F.sum("score").alias("score"))
+    in_full = scored(weighted.join(unsure, "query_id", "left_semi")).groupBy(*ids).agg(F.sum("weight").alias("score"))
+    return first(added.unionByName(in_full)).select("query_id", "rank", "doc_id", "chunk_no", "score")

@@ -2,11 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import WindowSpec
 
-from quireworks.functions.text import CJK_WIDE, heading_level, is_blank, strip
+from quireworks.functions.automaton import phrases_in
+from quireworks.functions.fingerprints import key_of, keys
+from quireworks.functions.lineage import hinted, save
+from quireworks.functions.text import CJK_WIDE, heading_level, is_blank, plain, strip
 from quireworks.operators.cite import orphan_keys, unused
 
 PAGE_MARKER = r"(?U)^\[(\d+)\]\s*$"
@@ -73,35 +81,61 @@ def segments(quote: Column) -> Column:
     return F.filter(F.transform(F.split(quote, r"……|…|\.\.\."), strip), lambda s: s != "")
 
 
+def in_order(parts: Column, body: Column) -> Column:
+    """Whether all parts are in the body, each after the one before."""
+    start = F.struct(F.lit(1).alias("at"), F.lit(True).alias("ok"))
+
+    def step(a: Column, s: Column) -> Column:
+        place = F.call_function("locate", s, body, a["at"])
+        return F.struct(F.when(place > 0, place + F.length(s)).otherwise(a["at"]).alias("at"), (a["ok"] & (place > 0)).alias("ok"))
+
+    return F.aggregate(parts, start, step)["ok"]
+
+
 def check_verbatim(quotes: DataFrame, chunks: DataFrame) -> DataFrame:
     """quote_id and verbatim for quotes (quote_id, doc_id, chunk_no, quote) and chunks (doc_id, chunk_no, body).
 
     All segments must be in the chunk, each after the one before.
     """
     joined = quotes.join(chunks.select("doc_id", "chunk_no", "body"), ["doc_id", "chunk_no"], "left")
-    start = F.struct(F.lit(1).alias("at"), F.lit(True).alias("ok"))
-
-    def step(a: Column, s: Column) -> Column:
-        place = F.call_function("locate", s, F.col("body"), a["at"])
-        return F.struct(F.when(place > 0, place + F.length(s)).otherwise(a["at"]).alias("at"), (a["ok"] & (place > 0)).alias("ok"))
-
-    found = F.aggregate(segments(F.col("quote")), start, step)["ok"]
-    return joined.select("quote_id", F.coalesce(found, F.lit(False)).alias("verbatim"))
+    return joined.select("quote_id", F.coalesce(in_order(segments(F.col("quote")), F.col("body")), F.lit(False)).alias("verbatim"))
 
 
-def find_verbatim(quotes: DataFrame, chunks: DataFrame, shingle: int = 8) -> DataFrame:
-    """quote_id, doc_id, chunk_no of the chunks that hold a quote whose source isn't given.
+def find_verbatim(quotes: DataFrame, chunks: DataFrame) -> DataFrame:
+    """quote_id, doc_id, chunk_no of the chunks (doc_id, chunk_no, body) that hold a quote (quote_id, quote) whose source isn't given: all its
+    segments, each after the one before, as ``check_verbatim`` has it.
 
-    Candidates meet by the hash of the quote's first words; shorter quotes use what they have.
+    Candidates meet by a key of the longest segment's beginning: a winnowed fingerprint if it has 32 characters, else its first 16, 8, 4, 2 or 1. Bodies give keys of the asked
+    lengths alone, and these are filtered by the asked keys before anything is shuffled. Quotes without a segment, null bodies and chunks without ids are in no row.
     """
-    words = lambda c: F.filter(F.split(c, r"(?U)\s+"), lambda w: w != "")
-    key = lambda w, i, n: F.xxhash64(F.array_join(F.slice(w, i, n), " "))
-    asked = quotes.withColumn("w", words(F.col("quote"))).withColumn("n", F.least(F.size("w"), F.lit(shingle))).where("n > 0").withColumn("k", key(F.col("w"), F.lit(1), F.col("n")))
-    sizes = asked.select("n").distinct()  # at most ``shingle`` rows
-    places = chunks.select("doc_id", "chunk_no", words(F.col("body")).alias("w")).withColumn("n", F.explode(F.sequence(F.lit(1), F.lit(shingle)))).join(sizes, "n", "left_semi").where(F.size("w") >= F.col("n"))
-    keys = places.select("doc_id", "chunk_no", "n", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - F.col("n") + 1), lambda i: key(F.col("w"), i, F.col("n"))))).alias("k"))
-    met = asked.select("quote_id", "quote", "n", "k").join(keys, ["n", "k"]).join(chunks.select("doc_id", "chunk_no", "body"), ["doc_id", "chunk_no"])
-    return met.where(F.contains("body", "quote")).select("quote_id", "doc_id", "chunk_no").distinct()
+    parts = segments(F.col("quote"))
+    longest = F.array_max(F.transform("parts", lambda s: F.struct(F.length(s).alias("n"), s.alias("s"))))["s"]
+
+    @F.arrow_udf("size int, key bigint")
+    def asked_key(stretches: pa.Array) -> pa.Array:
+        found = [key_of(s.as_py()) for s in stretches]
+        return pa.StructArray.from_arrays([pa.array([s for s, _ in found], pa.int32()), pa.array([k for _, k in found], pa.int64())], ["size", "key"])
+
+    asked = save(quotes.select("quote_id", parts.alias("parts")).where(F.size("parts") > 0).withColumn("k", asked_key(longest)).select("quote_id", "parts", "k.*"))
+    wanted = asked.select("size", "key").distinct()
+    sizes = sorted(r[0] for r in wanted.select("size").distinct().collect())  # six numbers at most
+    names = ["doc_id", "chunk_no", "size", "key"]
+    kinds = T.StructType([*(T.StructField(c, chunks.schema[c].dataType) for c in names[:2]), T.StructField("size", T.IntegerType()), T.StructField("key", T.LongType())])
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, body in enumerate(batch.column("body")):
+                for size in sizes:
+                    found = keys(body.as_py(), size)
+                    at = pa.array(np.full(len(found), i))
+                    yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(at), batch.column("chunk_no").take(at), pa.array(np.full(len(found), size, dtype=np.int32)), pa.array(found)], names)
+
+    bodies = chunks.where("body IS NOT NULL").select("doc_id", "chunk_no", "body")
+    met = save(bodies.mapInArrow(work, kinds).join(hinted(wanted, asked.count()), ["size", "key"], "left_semi"))
+    places = met.select("doc_id", "chunk_no").distinct()
+    held = bodies.join(hinted(places, met.count()), ["doc_id", "chunk_no"], "left_semi")
+    tried = met.join(asked, ["size", "key"]).join(held, ["doc_id", "chunk_no"])
+    return tried.where(in_order(F.col("parts"), F.col("body"))).select("quote_id", "doc_id", "chunk_no").distinct()
 
 
 def check_hierarchy(headings: DataFrame) -> DataFrame:
@@ -180,39 +214,28 @@ def check_sequence(markers: DataFrame) -> DataFrame:
     return before.withColumn("rule", rule).where("rule IS NOT NULL").select("doc_id", "line_no", "pos", "number", "previous", "rule")
 
 
-def _tokens(text: Column) -> Column:
-    return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}']+"), lambda w: w != "")
-
-
-def _runs(lines: DataFrame, phrases: DataFrame, column: str) -> DataFrame:
-    """Adds ``column``: the runs of words of each line, once each, that are as long as some phrase; the driver sees the phrases' lengths alone."""
-    lengths = sorted(r[0] for r in phrases.select(F.size(_tokens(F.col(column)))).distinct().collect() if r[0] > 0)
-    none = F.array().cast("array<string>")
-    cut = lambda n: F.when(F.size("__w") >= n, F.transform(F.sequence(F.lit(1), F.size("__w") - n + 1), lambda i: F.array_join(F.slice("__w", i, n), " "))).otherwise(none)
-    return lines.withColumn("__w", _tokens(F.col("line"))).withColumn(column, F.explode(F.array_distinct(F.concat(none, *map(cut, lengths))))).drop("__w")
-
-
-def _uses(lines: DataFrame, terms: DataFrame, column: str) -> DataFrame:
-    """Lines that hold a term, of any number of words, as words of their own: runs of words meet terms by equality."""
-    held = terms.withColumn("__run", F.array_join(_tokens(F.col(column)), " "))
-    return _runs(lines.select("doc_id", "line_no", "line"), held, "__run").join(held, "__run").drop("__run")
+def _held(lines: DataFrame, terms: DataFrame, column: str, first_only: bool = False) -> DataFrame:
+    """Rows of terms with the lines that hold their ``column``, as words of their own where the script has spaces between words."""
+    named = terms.withColumn("phrase", plain(F.col(column)))
+    found = phrases_in(lines.select("doc_id", "line_no", "line"), named, first_only)
+    return found.join(hinted(named, named.count()), "phrase").drop("phrase")
 
 
 def term_variants(lines: DataFrame, terms: DataFrame) -> DataFrame:
     """doc_id, term, translations (sorted) for terms (term, translation) of which a document uses several translations."""
-    seen = _uses(lines, terms.select("term", F.lower("translation").alias("word")), "word")
+    seen = _held(lines, terms.select("term", F.lower("translation").alias("word")), "word", True)
     return seen.groupBy("doc_id", "term").agg(F.sort_array(F.collect_set("word")).alias("t")).where(F.size("t") > 1).select("doc_id", "term", F.array_join("t", ",").alias("translations"))
 
 
 def first_use(lines: DataFrame, terms: DataFrame) -> DataFrame:
     """doc_id, word, line_no where the first line that uses a word of terms (word, original) lacks the original form."""
-    first = _uses(lines, terms.select(F.lower("word").alias("word"), "original"), "word").groupBy("doc_id", "word", "original").agg(F.min_by(F.struct("line_no", "line"), "line_no").alias("f"))
+    first = _held(lines, terms.select(F.lower("word").alias("word"), "original"), "word", True).groupBy("doc_id", "word", "original").agg(F.min_by(F.struct("line_no", "line"), "line_no").alias("f"))
     return first.where(~F.contains("f.line", "original")).select("doc_id", "word", F.col("f.line_no").alias("line_no"))
 
 
 def lexicon_hits(lines: DataFrame, lexicon: DataFrame) -> DataFrame:
     """doc_id, line_no, phrase (in lower case) for the phrases of a lexicon, of any number of words, that a line holds."""
-    return _uses(lines, lexicon.select(F.lower("phrase").alias("phrase")).distinct(), "phrase").select("doc_id", "line_no", "phrase")
+    return _held(lines, lexicon.select(F.lower("phrase").alias("lexeme")).distinct(), "lexeme").select("doc_id", "line_no", F.col("lexeme").alias("phrase"))
 
 
 def report(findings: DataFrame) -> DataFrame:

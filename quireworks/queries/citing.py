@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quireworks.fixtures import DRAFTS_SQL, LINES_SQL, OUTLINE_SQL, SECTIONS_SQL, fx_book, fx_drafts, fx_lines, fx_outline, table
+from quireworks.fixtures import DRAFTS_SQL, HAN, LATIN, LINES_SQL, OUTLINE_SQL, SECTIONS_SQL, fx_book, fx_drafts, fx_lines, fx_outline, table
 from quireworks.operators import cite, outline, validate
 from quireworks.operators.index import headings_of
 from quireworks.plans.chunking import chunk_text, lines_in_chunks
@@ -138,11 +138,30 @@ def v5_check_verbatim(spark: SparkSession, sf: str) -> DataFrame:
     return validate.check_verbatim(_quotes(chunks), chunks)
 
 
-@query("""SELECT DISTINCT item_id AS quote_id, doc_id, 0 AS chunk_no FROM benchmark JOIN documents ON contains(documents.text, trim(benchmark.text)) WHERE trim(benchmark.text) != ''""")
+_HAN_TEXT = f"translate(lower(text), '{LATIN} ', '{HAN}')"
+
+
+def _han(c: Column) -> Column:
+    """A text in Chinese letters, without spaces."""
+    return F.translate(F.lower(c), LATIN + " ", HAN)
+
+
+@query(f"""WITH d AS (SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN {_HAN_TEXT} ELSE text END AS body FROM documents),
+i AS (SELECT item_id, trim(text) AS t FROM benchmark UNION ALL SELECT item_id || '-zh', {_HAN_TEXT} FROM benchmark),
+q AS (SELECT item_id || '-whole' AS quote_id, [t] AS parts FROM i UNION ALL SELECT item_id || '-cut', [trim(substr(t, 6, 40))] FROM i UNION ALL SELECT item_id || '-short', [trim(substr(t, 4, 13))] FROM i
+  UNION ALL SELECT item_id || '-gap', [trim(substr(t, 2, 20)), trim(substr(t, 40, 25))] FROM i)
+SELECT DISTINCT quote_id, doc_id, 0 AS chunk_no FROM q JOIN d ON contains(body, parts[1]) WHERE parts[1] != '' AND (len(parts) = 1 OR contains(substr(body, strpos(body, parts[1]) + length(parts[1])), parts[2]))""")
 def v5_find_verbatim(spark: SparkSession, sf: str) -> DataFrame:
-    """Benchmark passages as quotations without a source, against all documents."""
-    chunks = table(spark, sf, "documents").select("doc_id", F.lit(0).alias("chunk_no"), F.col("text").alias("body"))
-    return validate.find_verbatim(table(spark, sf, "benchmark").select(F.col("item_id").alias("quote_id"), F.trim("text").alias("quote")), chunks)
+    """Benchmark passages as quotations without a source, against all documents: whole, cut anywhere, short, and with something left out; every fourth document, and
+    each passage once more, in Chinese letters."""
+    text = F.col("text")
+    chunks = table(spark, sf, "documents").select("doc_id", F.lit(0).alias("chunk_no"), F.when(F.col("doc_id") % 4 == 0, _han(text)).otherwise(text).alias("body"))
+    items = table(spark, sf, "benchmark")
+    both = items.select(F.col("item_id").cast("string"), F.trim("text").alias("t")).unionByName(items.select(F.concat("item_id", F.lit("-zh")).alias("item_id"), _han(text).alias("t")))
+    part = lambda a, n: F.substring("t", a, n)
+    forms = {"whole": F.col("t"), "cut": part(6, 40), "short": part(4, 13), "gap": F.concat(part(2, 20), F.lit("……"), part(40, 25))}
+    quotes = both.select(F.explode(F.array(*(F.struct(F.concat("item_id", F.lit(f"-{name}")).alias("quote_id"), quote.alias("quote")) for name, quote in forms.items()))).alias("q")).select("q.*")
+    return validate.find_verbatim(quotes, chunks)
 
 
 @query(f"WITH {LINES_SQL} SELECT * FROM (SELECT doc_id, line_no, level, lag(level) OVER (PARTITION BY doc_id ORDER BY line_no) AS previous FROM hl WHERE level IS NOT NULL) WHERE level > previous + 1")
@@ -219,32 +238,46 @@ def v13_check_sequence(spark: SparkSession, sf: str) -> DataFrame:
     return validate.check_sequence(marks)
 
 
-#: Terms with their translations, by the words of the supplied texts.
-TERMS = [("right", "anen"), ("right", "ther"), ("duty", "onha"), ("duty", "erst"), ("duty", "was"), ("law", "thing")]
-TOKENS_SQL = r"tokens AS (SELECT DISTINCT doc_id, line_no, line, unnest(string_split_regex(lower(line), '[^\p{L}\p{N}]+')) AS word FROM fx_lines)"
+def _in_han(word: str) -> str:
+    return word.translate(str.maketrans(LATIN + " ", HAN + "\0")).replace("\0", "")
 
 
-@query(f"""WITH {LINES_SQL}, {TOKENS_SQL}, terms(term, word) AS (VALUES {', '.join(map(str, TERMS))}) SELECT doc_id, term, string_agg(DISTINCT word, ',' ORDER BY word) AS translations FROM tokens JOIN terms USING (word) GROUP BY 1, 2 HAVING count(DISTINCT word) > 1""")
-def v14_term_variants(spark: SparkSession, sf: str) -> DataFrame:
-    return validate.term_variants(fx_lines(spark, sf), spark.createDataFrame(TERMS, "term string, translation string"))
+def _values(rows: list[tuple[str, ...]]) -> str:
+    return ", ".join("(" + ", ".join(f"'{x}'" for x in row) + ")" for row in rows)
 
 
+#: Terms with their translations, by the words of the supplied texts, and once more in Chinese letters.
+TERMS = [("right", "anen"), ("right", "ther"), ("duty", "onha"), ("duty", "erst"), ("duty", "was"), ("law", "thing")]
+TERMS += [(term, _in_han(word)) for term, word in TERMS]
 FIRST_USES = [("anen", "(Recht)"), ("onha", "on"), ("erst", "the"), ("was", "of"), ("thing", "is")]
+FIRST_USES += [(_in_han(word), _in_han(original)) for word, original in FIRST_USES]
+LEXICON = [("of the",), ("is",), ("and onen",), ("was a",)]
+LEXICON += [(_in_han(phrase),) for phrase, in LEXICON]
 
+# lines of every fourth book as running Chinese text; English words have edges, Chinese ones stand wherever their characters do
+_DENSE_SQL = r"""dense AS (SELECT doc_id, line_no, CASE WHEN doc_id % 40 = 0 THEN replace(line, ' ', '') ELSE line END AS line FROM fx_lines),
+spoken AS (SELECT *, ' ' || trim(regexp_replace(lower(line), '[^\p{L}\p{M}\p{N}'']+', ' ', 'g')) || ' ' AS s FROM dense)"""
+_STANDS_SQL = r"CASE WHEN regexp_matches({0}, '[a-z]') THEN contains(s, ' ' || {0} || ' ') ELSE contains(lower(line), {0}) END"
 
-@query(f"""WITH {LINES_SQL}, {TOKENS_SQL}, terms(word, original) AS (VALUES {', '.join(map(str, FIRST_USES))}), f AS (SELECT doc_id, word, original, min(line_no) AS line_no FROM tokens JOIN terms USING (word) GROUP BY 1, 2, 3)
-SELECT doc_id, word, line_no FROM f JOIN fx_lines USING (doc_id, line_no) WHERE NOT contains(line, original)""")
-def v15_first_use(spark: SparkSession, sf: str) -> DataFrame:
-    return validate.first_use(fx_lines(spark, sf), spark.createDataFrame(FIRST_USES, "word string, original string"))
 
+def _dense(spark: SparkSession, sf: str) -> DataFrame:
+    return fx_lines(spark, sf).withColumn("line", F.when(F.col("doc_id") % 40 == 0, F.replace("line", F.lit(" "), F.lit(""))).otherwise(F.col("line")))
 
-LEXICON = [("of the",), ("is",), ("and onen",), ("was a",)]
+
+@query(f"""WITH {LINES_SQL}, {_DENSE_SQL}, terms(term, word) AS (VALUES {_values(TERMS)}) SELECT doc_id, term, string_agg(DISTINCT word, ',' ORDER BY word) AS translations FROM spoken JOIN terms ON {_STANDS_SQL.format('word')} GROUP BY 1, 2 HAVING count(DISTINCT word) > 1""")
+def v14_term_variants(spark: SparkSession, sf: str) -> DataFrame:
+    return validate.term_variants(_dense(spark, sf), spark.createDataFrame(TERMS, "term string, translation string"))
+
+
+@query(f"""WITH {LINES_SQL}, {_DENSE_SQL}, terms(word, original) AS (VALUES {_values(FIRST_USES)}), f AS (SELECT doc_id, word, original, min(line_no) AS line_no FROM spoken JOIN terms ON {_STANDS_SQL.format('word')} GROUP BY 1, 2, 3)
+SELECT doc_id, word, line_no FROM f JOIN dense USING (doc_id, line_no) WHERE NOT contains(line, original)""")
+def v15_first_use(spark: SparkSession, sf: str) -> DataFrame:
+    return validate.first_use(_dense(spark, sf), spark.createDataFrame(FIRST_USES, "word string, original string"))
 
 
-@query(rf"""WITH {LINES_SQL}, t AS (SELECT DISTINCT doc_id, line_no, ' ' || array_to_string([x FOR x IN string_split_regex(lower(line), '[^\p{{L}}\p{{N}}'']+') IF x != ''], ' ') || ' ' AS s FROM fx_lines), lexicon(phrase) AS (VALUES {', '.join(f"('{p}')" for p, in LEXICON)})
-SELECT doc_id, line_no, phrase FROM t JOIN lexicon ON contains(s, ' ' || phrase || ' ')""")
+@query(f"""WITH {LINES_SQL}, {_DENSE_SQL}, lexicon(phrase) AS (VALUES {_values(LEXICON)}) SELECT DISTINCT doc_id, line_no, phrase FROM spoken JOIN lexicon ON {_STANDS_SQL.format('phrase')}""")
 def v16_lexicon_hits(spark: SparkSession, sf: str) -> DataFrame:
-    return validate.lexicon_hits(fx_lines(spark, sf), spark.createDataFrame(LEXICON, "phrase string"))
+    return validate.lexicon_hits(_dense(spark, sf), spark.createDataFrame(LEXICON, "phrase string"))
 
 
 @query(f"""WITH {LINES_SQL}, f AS (SELECT doc_id, CASE WHEN line_no % 3 = 0 THEN 'error' ELSE 'warning' END AS severity FROM hl WHERE trim(line) = '') SELECT doc_id, severity, count(*) AS n FROM f GROUP BY ROLLUP (doc_id, severity)""")

@@ -25,20 +25,23 @@ def _flat(c: str) -> Column:
     return F.array_join(F.col(c).cast("array<string>"), "|").alias(c)
 
 
-@query("""SELECT source AS doc_id, ['markdown', 'html', 'pdf-unsupported', 'unknown'][length(source) % 4 + 1] AS route, CAST(sum(strlen(text) + 1) AS BIGINT) AS length
-FROM documents WHERE regexp_full_match(source, '[A-Za-z0-9_-]+') AND text IS NOT NULL GROUP BY source""")
+@query("""WITH d AS (SELECT coalesce(source, '') AS doc_id, coalesce(text, '') AS text FROM documents)
+SELECT doc_id, ['markdown', 'html', 'pdf-unsupported', 'unknown'][length(doc_id) % 4 + 1] AS route, CAST(sum(strlen(text) + 1) AS BIGINT) AS length FROM d GROUP BY doc_id""")
 def s1_scan_inbox(spark: SparkSession, sf: str) -> DataFrame:
     """The documents of each source written as files of an inbox, some 64 for a source at most, which is scanned; sizes are summed by
-    source."""
+    source. Files are named by the source in hexadecimal digits, so any source will do."""
     inbox = f"{shared_dir(spark)}/inbox-{uuid.uuid4().hex}"
-    docs = table(spark, sf, "documents").where("text IS NOT NULL").where(F.col("source").rlike("^[A-Za-z0-9_-]+$"))
-    docs.repartition("source", F.pmod(F.xxhash64("doc_id"), F.lit(64))).select("source", "text").write.partitionBy("source").text(inbox)
+    source = F.coalesce("source", F.lit(""))
+    extension = F.element_at(F.array(*map(F.lit, ("md", "html", "pdf", "bin"))), (F.length(source) % 4 + 1).cast("int"))
+    docs = table(spark, sf, "documents").select("doc_id", F.concat_ws("-", F.lit("s"), F.hex(source), extension).alias("kind"), F.coalesce("text", F.lit("")).alias("text"))
+    docs.repartition("kind", F.pmod(F.xxhash64("doc_id"), F.lit(64))).select("kind", "text").write.partitionBy("kind").text(inbox)
     place = spark._jvm.org.apache.hadoop.fs.Path
     fs = place(inbox).getFileSystem(spark._jsc.hadoopConfiguration())
-    for n, file in enumerate(fs.globStatus(place(f"{inbox}/source=*/part-*"))):
-        name = file.getPath().getParent().getName().removeprefix("source=")
-        fs.rename(file.getPath(), place(f"{inbox}/{name}~{n}.{('md', 'html', 'pdf', 'bin')[len(name) % 4]}"))
-    return scan_inbox(spark, inbox).groupBy(F.substring_index("doc_id", "~", 1).alias("doc_id"), "route").agg(F.sum("length").alias("length"))
+    for n, file in enumerate(fs.globStatus(place(f"{inbox}/kind=*/part-*"))):
+        _, name, ending = file.getPath().getParent().getName().split("-")
+        fs.rename(file.getPath(), place(f"{inbox}/{name}~{n}.{ending}"))
+    name = F.decode(F.unhex(F.substring_index("doc_id", "~", 1)), "UTF-8")
+    return scan_inbox(spark, inbox).groupBy(name.alias("doc_id"), "route").agg(F.sum("length").alias("length"))
 
 
 @query("""SELECT doc_id, CAST(generate_subscripts(a, 1) AS INT) AS line_no, unnest(a) AS line FROM (

@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quireworks.fixtures import BIB_SQL, LINES_SQL, SECTIONS_SQL, fx_bib, fx_book, fx_chunks, fx_description_lines, fx_lines, table
+from quireworks.fixtures import BIB_SQL, HAN, LATIN, LINES_SQL, SECTIONS_SQL, fx_bib, fx_book, fx_chunks, fx_description_lines, fx_lines, table
 from quireworks.functions import arrow
 from quireworks.functions.lineage import shared_dir
 from quireworks.operators import bib, extract, index
@@ -142,11 +142,16 @@ def e8_endnotes(spark: SparkSession, sf: str) -> DataFrame:
     return extract.endnotes(anchors, files)
 
 
-@query(r"""WITH p AS (SELECT page_id, lower(CASE page_id % 4 WHEN 0 THEN replace(html, '<article>', '<div class="toc"></div><div class="toc"></div><div class="toc"></div><div class="toc"></div><article>') WHEN 1 THEN replace(html, '<article>', '<article>Copyright ISBN all rights reserved ') WHEN 2 THEN '<body><img></body>' ELSE html END) AS h FROM pages)
-SELECT page_id FROM p WHERE page_id % 4 = 3 OR page_id % 4 IN (0, 1) AND NOT contains(h, '<article>')""")
+@query(r"""WITH p AS (SELECT page_id, contains(lower(html), '<article>') AS has FROM pages)
+SELECT page_id FROM p WHERE page_id % 4 = 3 OR page_id % 4 IN (0, 1) AND NOT has""")
 def e9_content_pages(spark: SparkSession, sf: str) -> DataFrame:
-    k, html = F.col("page_id") % 4, F.col("html")
-    dressed = F.when(k == 0, F.replace(html, F.lit("<article>"), F.lit('<div class="toc"></div>' * 4 + "<article>"))).when(k == 1, F.replace(html, F.lit("<article>"), F.lit("<article>Copyright ISBN all rights reserved "))).when(k == 2, "<body><img></body>").otherwise(html)
+    """A quarter of the pages dressed as contents, a quarter as copyright pages in one of two languages, a quarter as a picture; the rest have at most two of the words, or
+    all in lower case."""
+    k, html = F.col("page_id"), F.col("html")
+    led = lambda words: F.replace(html, F.lit("<article>"), F.lit(f"<article>{words} "))
+    copyright_page = F.when(k % 12 == 1, led("Copyright ISBN All rights reserved")).when(k % 12 == 5, led("某某出版社 版权所有 字数 300 千")).otherwise(led("Publishing 印刷 开本"))
+    plain_page = F.when(k % 8 == 3, led("copyright isbn all rights reserved publishing")).otherwise(led("Copyright 出版社 版权"))
+    dressed = F.when(k % 4 == 0, F.replace(html, F.lit("<article>"), F.lit('<div class="toc"></div>' * 4 + "<article>"))).when(k % 4 == 1, copyright_page).when(k % 4 == 2, "<body><img></body>").otherwise(plain_page)
     return extract.content_pages(table(spark, sf, "pages").select("page_id", dressed.alias("html")))
 
 
@@ -201,32 +206,32 @@ def i1_parse_descriptions(spark: SparkSession, sf: str) -> DataFrame:
     return _described(spark, sf).withColumns({c: F.array_join(c, "|") for c in ("subtopics", "tags")})
 
 
-_CHAPTERS_SQL = """late AS (SELECT doc_id, chunk_no, start, heading FROM fx_chunks WHERE chunk_no > 2), chapters AS (SELECT h.doc_id, line_no, h.heading FROM hl h JOIN (SELECT doc_id, min(start) AS f FROM late GROUP BY 1) f ON f.doc_id = h.doc_id AND line_no >= f WHERE level = (SELECT min(level) FROM hl x WHERE x.doc_id = h.doc_id AND x.line_no >= f)),
-mapped AS (SELECT c.doc_id, chunk_no, start, coalesce((SELECT arg_max(p.heading, p.line_no) FROM chapters p WHERE p.doc_id = c.doc_id AND p.line_no <= c.start), (SELECT arg_min(p.heading, p.line_no) FROM chapters p WHERE p.doc_id = c.doc_id), c.heading) AS chapter FROM late c)"""
+_CHAPTERS_SQL = """chapters AS (SELECT h.doc_id, line_no, h.heading FROM hl h JOIN (SELECT doc_id, min(start) AS f FROM fx_chunks GROUP BY 1) f ON f.doc_id = h.doc_id AND line_no >= f WHERE level = (SELECT min(level) FROM hl x WHERE x.doc_id = h.doc_id AND x.line_no >= f)),
+mapped AS (SELECT c.doc_id, chunk_no, start, coalesce((SELECT arg_max(p.heading, p.line_no) FROM chapters p WHERE p.doc_id = c.doc_id AND p.line_no <= c.start), (SELECT arg_min(p.heading, p.line_no) FROM chapters p WHERE p.doc_id = c.doc_id), c.heading) AS chapter FROM fx_chunks c)"""
 
 
-def _late(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    """Chunks from the third on, with the headings of all lines."""
+def _placed(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Chunks, and the headings of all lines."""
     lines, chunks = fx_book(spark, sf)
-    return chunks.where("chunk_no > 2"), index.headings_of(lines)
+    return chunks, index.headings_of(lines)
 
 
 @query(f"WITH {SECTIONS_SQL}, {_CHAPTERS_SQL} SELECT * FROM chapters")
 def i2_chapter_headings(spark: SparkSession, sf: str) -> DataFrame:
-    chunks, headings = _late(spark, sf)
+    chunks, headings = _placed(spark, sf)
     return index.chapter_headings(headings, chunks)
 
 
 @query(f"WITH {SECTIONS_SQL}, {_CHAPTERS_SQL} SELECT * FROM mapped")
 def i3_map_chapters(spark: SparkSession, sf: str) -> DataFrame:
-    chunks, headings = _late(spark, sf)
+    chunks, headings = _placed(spark, sf)
     return index.map_chapters(chunks, index.chapter_headings(headings, chunks))
 
 
 @query(f"""WITH {SECTIONS_SQL}, {_CHAPTERS_SQL}, s AS (SELECT *, CASE WHEN lag(chapter) OVER (PARTITION BY doc_id ORDER BY chunk_no) IS DISTINCT FROM chapter THEN 1 ELSE 0 END AS s FROM mapped), g AS (SELECT *, sum(s) OVER (PARTITION BY doc_id ORDER BY chunk_no) AS g FROM s)
 SELECT doc_id, CAST(g AS INT) AS group_no, min(chapter) AS chapter, min(chunk_no) AS first_chunk, max(chunk_no) AS last_chunk FROM g GROUP BY doc_id, g""")
 def i4_chapter_groups(spark: SparkSession, sf: str) -> DataFrame:
-    chunks, headings = _late(spark, sf)
+    chunks, headings = _placed(spark, sf)
     return index.chapter_groups(index.map_chapters(chunks, index.chapter_headings(headings, chunks)))
 
 
@@ -251,10 +256,10 @@ def i6_doc_meta(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(f"""WITH {SECTIONS_SQL}, {_CHAPTERS_SQL}, {_META_SQL}, s AS (SELECT *, CASE WHEN lag(chapter) OVER (PARTITION BY doc_id ORDER BY chunk_no) IS DISTINCT FROM chapter THEN 1 ELSE 0 END AS s FROM mapped),
-rows AS (SELECT doc_id, chunk_no AS n, 0 AS k, chr(10) || '## ' || chapter || chr(10) AS row FROM s WHERE s = 1 UNION ALL SELECT doc_id, chunk_no, 1, '- **chunk-' || lpad(CAST(chunk_no AS VARCHAR), CAST(greatest(2, length(CAST(chunk_no AS VARCHAR))) AS INTEGER), '0') || '.md**: ' || heading FROM late)
+rows AS (SELECT doc_id, chunk_no AS n, 0 AS k, chr(10) || '## ' || chapter || chr(10) AS row FROM s WHERE s = 1 UNION ALL SELECT doc_id, chunk_no, 1, '- **chunk-' || lpad(CAST(chunk_no AS VARCHAR), CAST(greatest(2, length(CAST(chunk_no AS VARCHAR))) AS INTEGER), '0') || '.md**: ' || heading FROM fx_chunks)
 SELECT doc_id, '# ' || any_value(title) || chr(10) || chr(10) || any_value(citation) || chr(10) || string_agg(row, chr(10) ORDER BY n, k) AS index_text FROM rows JOIN meta USING (doc_id) GROUP BY doc_id""")
 def s8_render_index(spark: SparkSession, sf: str) -> DataFrame:
-    chunks, headings = _late(spark, sf)
+    chunks, headings = _placed(spark, sf)
     groups = index.chapter_groups(index.map_chapters(chunks, index.chapter_headings(headings, chunks)))
     return index.render_index(groups, chunks.select("doc_id", "chunk_no", F.col("heading").alias("main")), _meta(spark, sf))
 
@@ -283,22 +288,39 @@ def i10_library_index(spark: SparkSession, sf: str) -> DataFrame:
     return index.library_index(table(spark, sf, "documents").select("doc_id", F.col("source").alias("title"), F.col("lang").alias("type_tag")), fx_chunks(spark, sf))
 
 
-@query(r"""WITH q AS (SELECT DISTINCT item_id AS query_id, unnest(string_split_regex(lower(text), '[^\p{L}\p{N}]+')) AS term FROM benchmark), d AS (SELECT DISTINCT doc_id, 0 AS chunk_no, unnest(string_split_regex(lower(substr(text, 1, 200) || ' ' || source || ' ' || lang), '[^\p{L}\p{N}]+')) AS term FROM documents),
-s AS (SELECT query_id, doc_id, chunk_no, count(*) AS score FROM q JOIN d USING (term) WHERE length(term) > 2 GROUP BY 1, 2, 3), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id, chunk_no) AS INT) AS rank FROM s)
-SELECT query_id, rank, doc_id, chunk_no, score FROM r WHERE rank <= 5""")
+# texts of every fourth document, and each item once more, in Chinese letters without spaces
+_TERMS_SQL = rf"""d AS (SELECT doc_id, (CASE WHEN doc_id % 4 = 0 THEN translate(lower(coalesce(text, '')), '{LATIN} ', '{HAN}') ELSE coalesce(text, '') END) || ' ' || coalesce(source, '') || ' ' || coalesce(lang, '') AS t FROM documents),
+i AS (SELECT CAST(item_id AS VARCHAR) AS query_id, text AS t FROM benchmark UNION ALL SELECT item_id || '-zh', translate(lower(text), '{LATIN} ', '{HAN}') FROM benchmark),
+words AS (SELECT DISTINCT doc_id AS id, x AS term FROM (SELECT doc_id, unnest(string_split_regex(regexp_replace(lower(t), '[\x{{4e00}}-\x{{9fff}}]', ' ', 'g'), '[^\p{{L}}\p{{N}}]+')) AS x FROM d) WHERE length(x) > 2),
+asked_words AS (SELECT DISTINCT query_id, x AS term FROM (SELECT query_id, unnest(string_split_regex(regexp_replace(lower(t), '[\x{{4e00}}-\x{{9fff}}]', ' ', 'g'), '[^\p{{L}}\p{{N}}]+')) AS x FROM i) WHERE length(x) > 2),
+runs AS (SELECT query_id, unnest(regexp_extract_all(t, '[\x{{4e00}}-\x{{9fff}}]+')) AS r FROM i),
+pairs AS (SELECT DISTINCT query_id, CASE WHEN length(r) = 1 THEN r ELSE substr(r, CAST(k AS INT), 2) END AS term FROM (SELECT *, unnest(range(1, greatest(length(r), 2))) AS k FROM runs)),
+single AS (SELECT DISTINCT doc_id, r FROM (SELECT doc_id, unnest(regexp_extract_all(t, '[\x{{4e00}}-\x{{9fff}}]+')) AS r FROM d) WHERE length(r) = 1),
+met AS (SELECT query_id, id AS doc_id, term FROM asked_words JOIN words USING (term)
+  UNION SELECT query_id, doc_id, term FROM pairs JOIN d ON length(term) = 2 AND contains(t, term) UNION SELECT query_id, doc_id, term FROM pairs JOIN single ON r = term)"""
+
+
+def _asked(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Benchmark items as queries, and documents described by their whole texts; every fourth document, and each item once more, in Chinese letters."""
+    text = F.coalesce("text", F.lit(""))
+    han = F.translate(F.lower(text), LATIN + " ", HAN)
+    docs, items = table(spark, sf, "documents"), table(spark, sf, "benchmark")
+    described = docs.select("doc_id", F.lit(0).alias("chunk_no"), F.when(F.col("doc_id") % 4 == 0, han).otherwise(text).alias("main"), F.array("source").alias("subtopics"), F.array("lang").alias("tags"))
+    return items.select(F.col("item_id").cast("string").alias("query_id"), "text").unionByName(items.select(F.concat("item_id", F.lit("-zh")).alias("query_id"), han.alias("text"))), described
+
+
+@query(f"""WITH {_TERMS_SQL}, df AS (SELECT term, count(DISTINCT doc_id) AS n FROM met GROUP BY term), s AS (SELECT query_id, doc_id, sum(length(bin((SELECT count(*) FROM documents) // n))) AS score FROM met JOIN df USING (term) GROUP BY 1, 2),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS INT) AS rank FROM s) SELECT query_id, rank, doc_id, 0 AS chunk_no, CAST(score AS BIGINT) AS score FROM r WHERE rank <= 5""")
 def i11_retrieve(spark: SparkSession, sf: str) -> DataFrame:
-    """Benchmark items as queries over documents described by their beginnings."""
-    described = table(spark, sf, "documents").select("doc_id", F.lit(0).alias("chunk_no"), F.substring("text", 1, 200).alias("main"), F.array("source").alias("subtopics"), F.array("lang").alias("tags"))
-    return index.retrieve(table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text"), described, 5)
+    """Terms count by their rarity."""
+    return index.retrieve(*_asked(spark, sf), 5, by_rarity=True)
 
 
-@query(r"""WITH q AS (SELECT DISTINCT item_id AS query_id, unnest(string_split_regex(lower(text), '[^\p{L}\p{N}]+')) AS term FROM benchmark), d AS (SELECT DISTINCT doc_id, 0 AS chunk_no, unnest(string_split_regex(lower(coalesce(text, '') || ' ' || source || ' ' || lang), '[^\p{L}\p{N}]+')) AS term FROM documents),
-s AS (SELECT query_id, doc_id, chunk_no, count(*) AS score FROM q JOIN d USING (term) WHERE length(term) > 2 GROUP BY 1, 2, 3), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id, chunk_no) AS INT) AS rank FROM s)
-SELECT query_id, rank, doc_id, chunk_no, score FROM r WHERE rank <= 5""")
+@query(f"""WITH {_TERMS_SQL}, s AS (SELECT query_id, doc_id, count(*) AS score FROM met GROUP BY 1, 2),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS INT) AS rank FROM s) SELECT query_id, rank, doc_id, 0 AS chunk_no, score FROM r WHERE rank <= 5""")
 def i11_retrieve_whole(spark: SparkSession, sf: str) -> DataFrame:
-    """Benchmark items as queries over documents described by their whole texts."""
-    described = table(spark, sf, "documents").select("doc_id", F.lit(0).alias("chunk_no"), F.col("text").alias("main"), F.array("source").alias("subtopics"), F.array("lang").alias("tags"))
-    return index.retrieve(table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text"), described, 5)
+    """Terms count alike."""
+    return index.retrieve(*_asked(spark, sf), 5)
 
 
 @query(f"""WITH {SECTIONS_SQL}, {_DESCRIBED_SQL}, t AS (SELECT doc_id, unnest(string_split(tags, '|')) AS tag FROM described), n AS (SELECT doc_id, tag, count(*) AS n FROM t GROUP BY 1, 2), f AS (SELECT tag, count(*) AS df FROM n GROUP BY 1),

