@@ -91,8 +91,8 @@ class Rollup:
             return False
         name = f"_draft-{batch_id}-{uuid.uuid4().hex}"
         draft, _ = self._place(name)
-        # one row a group, of which there are as many as sources, languages and versions
-        signed_deltas(changes).coalesce(1).write.parquet(draft.toString())
+        # a row a group, in as many tasks as their number asks for
+        signed_deltas(changes).write.parquet(draft.toString())
         # onto a folder that came in the meantime, a rename fails or moves the draft into it, where readers ignore it
         inside, _ = self._place(f"batch_id={batch_id}/{name}")
         if fs.rename(draft, final) and not fs.exists(inside):
@@ -116,5 +116,5 @@ def compact(rollup: Rollup, path: str) -> Rollup:
     newest = rollup.batches().agg(F.max("batch_id")).first()[0]
     fresh = Rollup(rollup.spark, path)
     if newest is not None:
-        rollup.totals().coalesce(1).write.mode("overwrite").parquet(f"{fresh.path}/batch_id={newest}")
+        rollup.totals().write.mode("overwrite").parquet(f"{fresh.path}/batch_id={newest}")
     return fresh
