@@ -49,11 +49,45 @@ def targets(sizes: dict[str | None, int], weights: tuple[float, ...] = (3, 1, 2)
     return {s: float(quota[s]) for s in order}
 
 
+def _parts(capacity: dict[tuple, int], quota: dict) -> list[dict[tuple, int]]:
+    """Patterns that share sources, directly or through others, together."""
+    leader: dict = {}
+
+    def find(s):
+        while leader[s] != s:
+            leader[s] = leader[leader[s]]
+            s = leader[s]
+        return s
+
+    held = {p: [s for s in p if s in quota] for p in capacity}
+    for sources in held.values():
+        for s in sources:
+            leader.setdefault(s, s)
+            leader[find(s)] = find(sources[0])
+    parts: dict = defaultdict(dict)
+    for p, sources in held.items():
+        parts[("of", find(sources[0])) if sources else ("alone", p)][p] = capacity[p]
+    return list(parts.values())
+
+
 def route(capacity: dict[tuple, int], quota: dict, most: int) -> dict[tuple, dict]:
     """Min-cost flow from patterns (capacity a repetition) to their sources (quota): units by pattern and source.
 
-    The ``r``-th repetition of a pattern costs ``r ** 2``. Successive shortest paths with potentials, on the aggregated graph only.
+    The ``r``-th repetition of a pattern costs ``r ** 2``. Patterns without common sources don't compete, so each such part is routed by itself; a pattern with one source
+    that no other has fills its quota as far as it can.
     """
+    out: dict[tuple, dict] = {}
+    for part in _parts(capacity, quota):
+        sources = {s: quota[s] for p in part for s in p if s in quota}
+        if len(part) == 1 and len(sources) <= 1:
+            out |= {p: {s: min(round(q), most * n) for s, q in sources.items()} for p, n in part.items()}
+        else:
+            out |= _route_part(part, sources, most)
+    return out
+
+
+def _route_part(capacity: dict[tuple, int], quota: dict, most: int) -> dict[tuple, dict]:
+    """Successive shortest paths with potentials, on the aggregated graph only."""
     patterns, sources = sorted(capacity, key=repr), sorted(quota, key=repr)
     number = {("p", p): i + 1 for i, p in enumerate(patterns)} | {("s", s): len(patterns) + 1 + i for i, s in enumerate(sources)}
     end = len(number) + 1
