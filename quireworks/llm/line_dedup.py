@@ -173,8 +173,8 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, min_chars: in
     later = again.join(first, ["h1", "h2"]).where(F.struct("doc_id", "tag", "start") > F.col("p"))
     own = (F.col("doc_id") == F.col("f.doc_id")) & (F.col("tag") == F.col("f.tag"))
     begin = F.when(own, F.greatest(F.col("start"), F.col("f.start") + F.col("f.length"))).otherwise(F.col("start"))
-    spans = later.select("doc_id", "tag", begin.alias("begin"), (F.col("start") + F.col("length")).alias("end"), F.col("f.doc_id").alias("kept_doc_id"), F.col("f.start").alias("kept_start")).where("begin < end")
-    # a document has at most two stretches a unit
+    spans = later.select("doc_id", "tag", begin.alias("begin"), (F.col("start") + F.col("length")).alias("end"), F.col("f.doc_id").alias("kept_doc_id"), F.col("f.start").alias("kept_start")).where("begin < end").distinct()
+    # rows that repeat a document have given each of its stretches again; a document has at most two stretches a unit
     order = Window.partitionBy("doc_id", "tag").orderBy("begin", "end", "kept_doc_id", "kept_start")
     reached = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
     runs = spans.withColumn("new", F.when(F.col("begin") <= reached + 1, 0).otherwise(1)).withColumn("run", F.sum("new").over(order))
