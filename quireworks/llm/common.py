@@ -2,19 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-from collections.abc import Callable
-from contextvars import ContextVar
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quireworks.functions.lineage import BROADCAST_ROWS, hinted, save, settled, shared_dir
+
+__all__ = ["BROADCAST_ROWS", "SPACE", "ascii_lower", "hinted", "save", "settled", "shared_dir", "table", "words"]
+
 #: What separates words: space, tab, line feed, vertical tab, form feed, carriage return.
 SPACE = r"[\x20\x09-\x0D]+"
-#: Small rows, a dozen megabytes, up to which they are broadcast.
-BROADCAST_ROWS = 50_000
-_FOLDER: ContextVar[str | None] = ContextVar("folder", default=None)
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -22,50 +18,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: ``spark.checkpoint.dir``, or one of our own where that is unset."""
-    sc = spark.sparkContext
-    folder = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if not folder:
-        if not sc.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
-        folder = sc.getCheckpointDir()
-    return folder.rstrip("/")
-
-
-def save(df: DataFrame) -> DataFrame:
-    """``df`` written once to the shared folder and read back: lineage ends here, and a lost executor costs no recomputation."""
-    spark = df.sparkSession
-    path = _new_folder(spark)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def _new_folder(spark: SparkSession) -> str:
-    return f"{_FOLDER.get() or shared_dir(spark)}/quireworks-{uuid.uuid4().hex}"
-
-
-def settled(spark: SparkSession, make: Callable[[], DataFrame]) -> DataFrame:
-    """``save(make())``; what ``save`` wrote while ``make`` ran is deleted then."""
-    folder = _new_folder(spark)
-    token = _FOLDER.set(folder)
-    try:
-        df = make()
-    finally:
-        _FOLDER.reset(token)
-    try:
-        return save(df)
-    finally:
-        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
-def hinted(small: DataFrame, n: int) -> DataFrame:
-    """Broadcast if the ``n`` rows, of some 250 bytes each, are few; else the join shuffles, and splits hot groups."""
-    return F.broadcast(small) if n <= BROADCAST_ROWS else small
-
-
 def words(text: Column) -> Column:
     """Array of the words of a text; null gives an empty array."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE), "")

@@ -21,7 +21,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quireworks.llm.common import save, words
+from quireworks.llm.common import hinted, save, words
 
 WINDOW = 8
 UNIT = 1024
@@ -32,8 +32,6 @@ PAIRS = [(i, j) for i in range(P) for j in range(i + 1)]
 BINS_PER_OCTAVE = 8
 #: Distances that one task works out; the table of statistics is so small that Spark would read it in few tasks.
 TASK_DISTANCES = 100_000
-#: Rows of estimates, a dozen megabytes, up to which they are broadcast.
-BROADCAST_ROWS = 50_000
 
 
 def _gamma_p(a: float, x: float) -> float:
@@ -98,12 +96,7 @@ def _grouped(stats: DataFrame, min_group: int) -> DataFrame:
     pooled = sizes.groupBy("g_lang").agg(F.sum(F.when(small, F.col("g_n"))).alias("g_pool"))
     pool = F.when(F.col("g_pool") < min_group, F.lit("rest")).otherwise(F.concat(F.lit("pool\n"), F.col("g_lang")))
     groups = save(sizes.join(pooled, "g_lang").select("g_fine", F.when(small, pool).otherwise(F.concat(F.lit("group\n"), F.col("g_fine"))).alias("grp")))
-    return stats.withColumn("g_fine", fine).join(_hinted(groups, groups.count()), "g_fine").drop("g_fine")
-
-
-def _hinted(small: DataFrame, n: int) -> DataFrame:
-    """Broadcast if the ``n`` rows, of some 250 bytes each, are few; else the join shuffles, and splits hot groups."""
-    return F.broadcast(small) if n <= BROADCAST_ROWS else small
+    return stats.withColumn("g_fine", fine).join(hinted(groups, groups.count()), "g_fine").drop("g_fine")
 
 
 def _cholesky(params: DataFrame) -> DataFrame:
@@ -172,17 +165,17 @@ def mcd_outliers(docs: DataFrame, share: float = 0.75, starts: int = 6, early_st
     # elemental starts: about 2 P + 2 rows of a group, chosen by a hash
     sizes = counts.agg(F.count("*").alias("n"), F.coalesce(F.sum("total"), F.lit(0)).alias("rows")).first()
     n = sizes["n"]
-    seeds = sound.join(_hinted(counts, n), "grp").withColumn("start", F.explode(F.sequence(F.lit(0), F.lit(starts - 1)))).where(F.pmod(F.xxhash64("doc_id", "start"), F.lit(1 << 30)) * F.col("total") <= F.lit((2 * P + 2) * (1 << 30)))
+    seeds = sound.join(hinted(counts, n), "grp").withColumn("start", F.explode(F.sequence(F.lit(0), F.lit(starts - 1)))).where(F.pmod(F.xxhash64("doc_id", "start"), F.lit(1 << 30)) * F.col("total") <= F.lit((2 * P + 2) * (1 << 30)))
     params = save(_estimate(seeds.groupBy("grp", "start").agg(F.max("total").alias("total"), *_sums()), ["grp", "start"], 1.0))
     for _ in range(early_steps):
-        params = save(_concentrate(_spread(sound, sizes["rows"] * starts), _hinted(params, n * starts), share))
+        params = save(_concentrate(_spread(sound, sizes["rows"] * starts), hinted(params, n * starts), share))
     best = params.groupBy("grp").agg(F.min(F.struct("logdet", "start")).alias("b")).select("grp", F.col("b.start").alias("start"))
     params = save(params.join(best, ["grp", "start"]))
     for _ in range(late_steps):
-        params = save(_concentrate(_spread(sound, sizes["rows"]), _hinted(params, n), share))
-    inner = _distance(sound.join(_hinted(params, n), "grp"), ["grp", "start", "total", *_XS]).where(F.col("d2") <= chi2_quantile(reweight, P))
+        params = save(_concentrate(_spread(sound, sizes["rows"]), hinted(params, n), share))
+    inner = _distance(sound.join(hinted(params, n), "grp"), ["grp", "start", "total", *_XS]).where(F.col("d2") <= chi2_quantile(reweight, P))
     final = save(_estimate(inner.groupBy("grp", "start").agg(F.max("total").alias("total"), *_sums()), ["grp", "start"], consistency(reweight)))
     columns = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
-    judged = _distance(rows.join(_hinted(final, n), "grp", "left"), columns)
+    judged = _distance(rows.join(hinted(final, n), "grp", "left"), columns)
     far = F.col("d2") > chi2_quantile(quantile, P)
     return judged.select(*columns, (~F.col("base_failed") & ~F.coalesce(far, F.lit(False))).alias("kept"), F.when(F.col("n_words") > 0, F.sqrt("d2")).alias("distance"))

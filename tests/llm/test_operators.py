@@ -14,7 +14,8 @@ import pytest
 import xxhash
 from conftest import DATA, rows, same_rows
 
-from quireworks.llm import anisotropic_ann, bpe_stream, components, license_templates, outliers, quality_gam, queries, simhash, source_mix, token_rollups, url_cascade
+from quireworks.functions import graph
+from quireworks.llm import anisotropic_ann, bpe_stream, license_templates, outliers, quality_gam, queries, simhash, source_mix, token_rollups, url_cascade
 
 DOCS = "doc_id bigint, text string, lang string, source string, words string, size int, taken int"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -465,16 +466,16 @@ def test_links(spark):
         fps.append(f)
     pairs = list({f: i for i, f in enumerate(fps)}.items())
     table = spark.createDataFrame([(i, simhash._signed(f)) for f, i in pairs], "node bigint, fp bigint")
-    got = {r.node: r.root for r in components.smallest_reachable(simhash.fingerprint_links(table)).collect()}
+    got = {r.node: r.root for r in graph.smallest_reachable(simhash.fingerprint_links(table)).collect()}
     want = components_by_loop([(i, f) for f, i in pairs])
     assert {i: got.get(i, i) for _, i in pairs} == want
 
 
 def test_chain_of_nodes(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(500, 500), (600, 601), (601, 600)], "a bigint, b bigint")
-    got = {r.node: r.root for r in components.smallest_reachable(edges).collect()}
+    got = {r.node: r.root for r in graph.smallest_reachable(edges).collect()}
     assert got == {i: 0 for i in range(201)} | {600: 600, 601: 600}
-    assert components.smallest_reachable(edges.where("false")).count() == 0
+    assert graph.smallest_reachable(edges.where("false")).count() == 0
 
 
 def test_simhash(spark, docs, odd, nothing):
