@@ -153,11 +153,11 @@ class Fold:
         return out
 
 
-_PLAN = "doc_id bigint, kind string, chunk_no int, start int, end int, heading string, units bigint, warning string"
+_PLAN = "doc_id bigint, kind string, chunk_no int, start int, end int, heading string, units bigint, warning string, most bigint"
 
 
-def plan_chunks(sections: DataFrame) -> DataFrame:
-    """doc_id, kind (chunk or toc), chunk_no, start, end, heading, units, warnings for sections with least, most and forced.
+def plan_chunks(sections: DataFrame, limits: bool = False) -> DataFrame:
+    """doc_id, kind (chunk or toc), chunk_no, start, end, heading, units, warnings for sections with least, most and forced; with ``limits`` also most.
 
     Warnings: ``under-size``, ``over-max`` or ``over-force``.
     """
@@ -171,12 +171,13 @@ def plan_chunks(sections: DataFrame) -> DataFrame:
         for c in found:
             numbers[c.kind] += 1
             warning = {"under": "under-size", "over": "over-force" if c.size > forced else "over-max", "": ""}[c.warning]
-            rows.append((doc["doc_id"].iloc[0], c.kind, numbers[c.kind], start[c.first], end[c.last], heading[c.head], c.size, warning))
-        return pd.DataFrame(rows, columns=["doc_id", "kind", "chunk_no", "start", "end", "heading", "units", "warning"])
+            rows.append((doc["doc_id"].iloc[0], c.kind, numbers[c.kind], start[c.first], end[c.last], heading[c.head], c.size, warning, int(doc["most"].iloc[0])))
+        return pd.DataFrame(rows, columns=["doc_id", "kind", "chunk_no", "start", "end", "heading", "units", "warning", "most"])
 
     thin = sections.select("doc_id", "section_no", "level", "heading", "start", "end", "units", "is_toc", "least", "most", "forced")
     planned = thin.groupBy("doc_id").applyInPandas(fold, _PLAN)
-    return planned.withColumn("warnings", F.when(F.col("warning") == "", F.array().cast("array<string>")).otherwise(F.array("warning"))).drop("warning")
+    warnings = F.when(F.col("warning") == "", F.array().cast("array<string>")).otherwise(F.array("warning"))
+    return planned.select("doc_id", "kind", "chunk_no", "start", "end", "heading", "units", warnings.alias("warnings"), *(["most"] if limits else []))
 
 
 def sections_of(lines: DataFrame) -> DataFrame:
@@ -212,6 +213,12 @@ def split_candidates(chunks: DataFrame, breaks: DataFrame) -> DataFrame:
     return chosen.groupBy("doc_id", "chunk_no").agg(F.sort_array(F.collect_list("line_no")).alias("candidates"))
 
 
+def large_chunks(lines: DataFrame, planned: DataFrame) -> DataFrame:
+    """The planned chunks (with most) that are warned of as too large, with candidates: the blank lines at which they may be cut (null if there are none)."""
+    large = planned.where("kind = 'chunk' AND exists(warnings, w -> startswith(w, 'over'))")
+    return large.join(split_candidates(large, paragraph_breaks(lines, large)), ["doc_id", "chunk_no"], "left")
+
+
 def apply_splits(chunks: DataFrame, splits: DataFrame) -> DataFrame:
     """doc_id, chunk_no, suffix, start, end: chunks cut before the lines of splits (doc_id, chunk_no, line_no); suffixes '', b, c, ..."""
     points = splits.join(chunks.select("doc_id", "chunk_no", F.col("start").alias("s"), F.col("end").alias("e")), ["doc_id", "chunk_no"]).where("line_no > s AND line_no <= e").select("doc_id", "chunk_no", F.col("line_no").alias("start"), F.col("e").alias("end")).distinct()

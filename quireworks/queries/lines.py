@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quireworks.fixtures import LINES_SQL, SECTIONS_SQL, fx_book, fx_chunks, fx_lines, fx_sections, raw_lines, table
-from quireworks.functions.lineage import shared_dir
+from quireworks.functions.lineage import save, shared_dir
 from quireworks.functions.text import cjk_count, heading_level, word_count
 from quireworks.operators import clean, extract
 from quireworks.operators.index import headings_of
@@ -237,10 +237,71 @@ def k7_plan_merges(spark: SparkSession, sf: str) -> DataFrame:
     return chunking.plan_chunks(fx_sections(spark, sf).withColumn("most", F.lit(1 << 40))).select("doc_id", "kind", "chunk_no", "start", "end", "units")
 
 
-@query()
+def _split_sql(n: int, top: int) -> str:
+    """Stretches that are too large (item{n}: first and last section a and b, and t0, the level whose sections they begin at) cut at the first level from ``top`` on that cuts:
+    pieces are walked one by one, and a stretch closes where one more piece would be too many and it isn't too small. What is still too large is item{n + 1}."""
+    return f"""
+cuttable{n} AS (SELECT i.*, greatest(i.deeper, (SELECT min(s.level) FROM sec s WHERE s.doc_id = i.doc_id AND s.section_no > i.a AND s.section_no <= i.b)) AS t FROM item{n} i),
+piece{n} AS (
+  SELECT doc_id, a AS of, t, row_number() OVER w AS p, x AS first, coalesce(lead(x) OVER w - 1, b) AS last
+  FROM (SELECT c.doc_id, a, b, t, s.section_no AS x FROM cuttable{n} c JOIN sec s ON s.doc_id = c.doc_id AND s.section_no BETWEEN a AND b AND (s.section_no = a OR s.level <= t) WHERE t <= 5) WINDOW w AS (PARTITION BY doc_id, a ORDER BY x)),
+sum{n} AS (SELECT p.*, u.upto - v.upto AS size, u.upto AS done, v.upto AS before FROM piece{n} p JOIN upto u ON u.doc_id = p.doc_id AND u.section_no = p.last JOIN upto v ON v.doc_id = p.doc_id AND v.section_no = p.first - 1),
+pack{n} AS (
+  SELECT doc_id, of, t, p, first AS c, last AS d, before, done FROM sum{n} WHERE p = 1
+  UNION ALL SELECT s.doc_id, s.of, s.t, s.p, CASE WHEN s.done - k.before > l.most AND k.done - k.before >= l.least THEN s.first ELSE k.c END, s.last,
+    CASE WHEN s.done - k.before > l.most AND k.done - k.before >= l.least THEN s.before ELSE k.before END, s.done FROM pack{n} k JOIN sum{n} s ON s.doc_id = k.doc_id AND s.of = k.of AND s.p = k.p + 1 JOIN limits l ON l.doc_id = s.doc_id),
+stretch{n} AS (SELECT doc_id, t, c AS a, max(d) AS b, max(done) - any_value(before) AS size FROM pack{n} GROUP BY doc_id, of, t, c),
+item{n + 1} AS (SELECT doc_id, a, b, size, t AS t0, t + 1 AS deeper FROM stretch{n} JOIN limits USING (doc_id) WHERE size > most),
+made{n} AS (SELECT doc_id, a, b, size, t0 FROM cuttable{n} WHERE t IS NULL OR t > 5 UNION ALL SELECT doc_id, a, b, size, t FROM stretch{n} JOIN limits USING (doc_id) WHERE size <= most)"""
+
+
+# sections of level 3 are put at levels 3 to 5; sizes have limits of their own so that all of the fold's branches are met
+_PLAN_SQL = f"""
+sec AS (SELECT doc_id, section_no, CASE WHEN level = 3 THEN 3 + section_no % 3 ELSE level END AS level, heading, start, "end", units, is_toc FROM sections),
+limits AS (SELECT doc_id, CASE WHEN language = 'zh' THEN 150 ELSE 250 END AS least, CASE WHEN language = 'zh' THEN 500 ELSE 700 END AS most, CASE WHEN language = 'zh' THEN 900 ELSE 1500 END AS forced FROM lang),
+upto AS (SELECT doc_id, section_no, sum(units) OVER (PARTITION BY doc_id ORDER BY section_no) AS upto FROM sec UNION ALL SELECT DISTINCT doc_id, 0, 0 FROM sec),
+opened AS (SELECT *, sum(CASE WHEN level <= 2 OR section_no = 1 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY section_no) AS k FROM sec),
+bundle AS (SELECT doc_id, k, min(section_no) AS a, max(section_no) AS b, sum(units) AS size, min(level) AS main, arg_min(is_toc, level * 1000000 + section_no) AS toc FROM opened GROUP BY doc_id, k),
+ahead AS (SELECT *, lead(main) OVER w AS next_main, lead(toc) OVER w AS next_toc FROM bundle JOIN limits USING (doc_id) WINDOW w AS (PARTITION BY doc_id ORDER BY k)),
+told AS (
+  SELECT doc_id, k, a, b, size, main, toc, false AS made_any, CASE WHEN toc THEN 'toc' WHEN size < least AND next_main > 1 AND NOT next_toc THEN 'wait' ELSE 'emit' END AS act FROM ahead WHERE k = 1
+  UNION ALL SELECT doc_id, k, a, b, size, main, toc, made_any, CASE WHEN toc THEN 'toc' WHEN size < least AND next_main > 1 AND NOT next_toc THEN 'wait' WHEN size < least AND next_main = 1 AND made_any THEN 'tail' ELSE 'emit' END
+  FROM (SELECT n.doc_id, n.k, n.b, n.least, n.next_main, n.next_toc, t.made_any OR t.act = 'emit' AS made_any, CASE WHEN t.act = 'wait' THEN t.a ELSE n.a END AS a, n.size + CASE WHEN t.act = 'wait' THEN t.size ELSE 0 END AS size,
+          CASE WHEN t.act = 'wait' THEN least(t.main, n.main) ELSE n.main END AS main, CASE WHEN t.act = 'wait' AND t.main <= n.main THEN t.toc ELSE n.toc END AS toc FROM told t JOIN ahead n ON n.doc_id = t.doc_id AND n.k = t.k + 1)),
+item1 AS (SELECT doc_id, a, b, size, 2 AS t0, 3 AS deeper FROM told JOIN limits USING (doc_id) WHERE act = 'emit' AND size > most),
+{_split_sql(1, 3)},{_split_sql(2, 4)},{_split_sql(3, 5)},
+made AS (SELECT doc_id, a, b, size, 2 AS t0 FROM told JOIN limits USING (doc_id) WHERE act = 'emit' AND size <= most UNION ALL SELECT * FROM made1 UNION ALL SELECT * FROM made2 UNION ALL SELECT * FROM made3 UNION ALL SELECT doc_id, a, b, size, t0 FROM item4),
+tails AS (SELECT t.doc_id, (SELECT max(m.a) FROM made m WHERE m.doc_id = t.doc_id AND m.a < t.a) AS a, max(t.b) AS b, sum(t.size) AS size FROM told t WHERE act = 'tail' GROUP BY 1, 2),
+closed AS (
+  SELECT m.doc_id, 'chunk' AS kind, m.a, greatest(m.b, coalesce(x.b, 0)) AS b, m.size + coalesce(x.size, 0) AS size, m.t0, CASE WHEN m.size > most THEN 'over' WHEN m.size < least AND x.a IS NULL THEN 'under' ELSE '' END AS w FROM made m JOIN limits USING (doc_id) LEFT JOIN tails x ON x.doc_id = m.doc_id AND x.a = m.a
+  UNION ALL SELECT doc_id, 'toc', a, b, size, 2, '' FROM told WHERE act = 'toc'),
+planned AS (
+  SELECT c.doc_id, kind, CAST(row_number() OVER (PARTITION BY c.doc_id, kind ORDER BY a) AS INT) AS chunk_no, f.start, l."end", CAST(size AS BIGINT) AS units, CASE WHEN w = 'over' THEN CASE WHEN size > forced THEN 'over-force' ELSE 'over-max' END WHEN w = 'under' THEN 'under-size' ELSE '' END AS warnings,
+    coalesce((SELECT arg_min(s.heading, s.section_no) FROM sec s WHERE s.doc_id = c.doc_id AND s.section_no BETWEEN a AND b AND s.level <= t0), f.heading) AS heading
+  FROM closed c JOIN limits USING (doc_id) JOIN sec f ON f.doc_id = c.doc_id AND f.section_no = c.a JOIN sec l ON l.doc_id = c.doc_id AND l.section_no = c.b)"""
+
+
+def _deep_plan(spark: SparkSession, sf: str, lines: DataFrame, limits: bool = False) -> DataFrame:
+    level = F.when(F.col("level") == 3, 3 + F.col("section_no") % 3).otherwise(F.col("level"))
+    found = fx_sections(spark, sf, lines).withColumn("level", level).drop("least", "most", "forced")
+    return chunking.plan_chunks(chunking.with_thresholds(found, {"zh": (150, 500, 900), "en": (250, 700, 1500)}), limits)
+
+
+@query(f"WITH RECURSIVE {SECTIONS_SQL}, {_PLAN_SQL} SELECT * FROM planned")
 def k8_plan_chunks(spark: SparkSession, sf: str) -> DataFrame:
-    """The fold with the thresholds of each language."""
-    return chunking.plan_chunks(fx_sections(spark, sf)).withColumn("warnings", _flat("warnings"))
+    """The fold with sections at five levels."""
+    return _deep_plan(spark, sf, save(fx_lines(spark, sf))).withColumn("warnings", _flat("warnings"))
+
+
+@query(f"""WITH RECURSIVE {SECTIONS_SQL}, {_PLAN_SQL}, large AS (SELECT p.*, most FROM planned p JOIN limits USING (doc_id) WHERE kind = 'chunk' AND starts_with(warnings, 'over')),
+b AS (SELECT c.doc_id, c.chunk_no, l.line_no, greatest(units // most, 1) AS n, row_number() OVER w - 1 AS i, greatest(count(*) OVER (PARTITION BY c.doc_id, c.chunk_no) // greatest(units // most, 1), 1) AS step FROM large c JOIN fx_lines l ON l.doc_id = c.doc_id AND l.line_no > c.start AND l.line_no < c."end" WHERE trim(l.line) = '' WINDOW w AS (PARTITION BY c.doc_id, c.chunk_no ORDER BY l.line_no)),
+s AS (SELECT doc_id, chunk_no, string_agg(CAST(line_no AS VARCHAR), '|' ORDER BY line_no) AS candidates FROM b WHERE i >= step AND i % step = 0 AND i // step <= greatest(n, 3) GROUP BY 1, 2)
+SELECT doc_id, chunk_no, start, "end", units, warnings, candidates FROM large LEFT JOIN s USING (doc_id, chunk_no)""")
+def k8_large_chunks(spark: SparkSession, sf: str) -> DataFrame:
+    """Chunks that stay too large, with the lines at which they may be cut by hand."""
+    lines = save(fx_lines(spark, sf))
+    found = chunking.large_chunks(lines, save(_deep_plan(spark, sf, lines, True)))
+    return found.select("doc_id", "chunk_no", "start", "end", "units", _flat("warnings"), _flat("candidates"))
 
 
 @query(f"""WITH {SECTIONS_SQL} SELECT c.doc_id, c.chunk_no, l.line_no FROM fx_chunks c JOIN fx_lines l ON l.doc_id = c.doc_id AND l.line_no > c.start AND l.line_no < c."end" WHERE trim(l.line) = ''""")
