@@ -16,6 +16,7 @@ from quireworks.plans import chunking
 from quireworks.queries.registry import Registry
 from quireworks.sources.documents import parse_plan, scan_inbox, to_lines, write_chunks
 from quireworks.streaming.inbox import ingest_stream
+from quireworks.streaming.sync import ChunkTable
 
 query = Registry()
 QUERIES, ORACLES = query.queries, query.oracles
@@ -108,9 +109,29 @@ def c6_restore_latex(spark: SparkSession, sf: str) -> DataFrame:
     return clean.restore_latex_simple(fx_lines(spark, sf).withColumn("line", F.when(n % 9 == 0, F.concat(line, F.lit(" $12-15$ and $[3]$ $7$ $①$"))).otherwise(line)))
 
 
-@query()
+#: Formulas, with two digits of a line's number in place of 8 and 9, and what they are as text.
+FORMULAS = [
+    (r"$ \mathrm { A } _ { 8 9 } $", "A 89"), (r"$8 9 - 9 8$", "89–98"), (r"$\S 8 9$", "§ 89"), (r"$8 0 ^ { \circ } \mathrm { C }$", "80 ° C"), (r"$\alpha + 8$", r"$\alpha + 8$"), (r"$\alpha \times 9$", ""),
+    (r"$\left( \mathbf { a } x \right)$", "( a x )"), (r"$\hspace { 8 m m } k ~ 9$", "k 9"), (r"${ \rm { v i } } \quad { . } 8$", "{ v i } . 8"), (r"$\operatorname { p q } _ { \textit { r } } \, 9$", "p q r 9"), (r"$\frac { 8 } { 9 }$", r"$\frac { 8 } { 9 }$"),
+]
+
+
+def _formula_sql(which: int, k: str) -> str:
+    texts = ", ".join("'" + pair[which] + "'" for pair in FORMULAS)
+    return f"replace(replace([{texts}][CAST({k} % {len(FORMULAS)} + 1 AS INT)], '8', CAST(({k} + 1) % 8 AS VARCHAR)), '9', CAST({k} % 7 AS VARCHAR))"
+
+
+@query(f"WITH {LINES_SQL} SELECT doc_id, line_no, {_formula_sql(1, 'line_no')} || ' ' || replace(line, '$', 'S') || ' ' || {_formula_sql(1, '(doc_id + line_no)')} AS line FROM fx_lines")
 def c7_strip_inline_math(spark: SparkSession, sf: str) -> DataFrame:
-    return clean.strip_inline_math(fx_lines(spark, sf).withColumn("line", F.when(F.col("line_no") % 6 == 0, F.concat(F.lit(r"$ \mathrm { A } _ { 1 2 } ^ { 3 } $ "), "line")).otherwise(F.col("line"))))
+    """Lines between formulas whose text is known."""
+
+    def made(k: Column) -> Column:
+        pick = F.element_at(F.array(*(F.lit(f) for f, _ in FORMULAS)), (k % len(FORMULAS) + 1).cast("int"))
+        return F.replace(F.replace(pick, F.lit("8"), ((k + 1) % 8).cast("string")), F.lit("9"), (k % 7).cast("string"))
+
+    n = F.col("line_no").cast("bigint")
+    line = F.concat_ws(" ", made(n), F.replace("line", F.lit("$"), F.lit("S")), made(F.col("doc_id") + n))
+    return clean.strip_inline_math(fx_lines(spark, sf).withColumn("line", line))
 
 
 @query(f"""WITH {LINES_SQL}, t AS (SELECT *, row_number() OVER (PARTITION BY doc_id, heading ORDER BY line_no) AS r, count(*) OVER (PARTITION BY doc_id, heading) AS n FROM hl WHERE level = 1)
@@ -370,6 +391,26 @@ def t1_ingest_stream(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.parquet(f"{path}/out").drop("batch")
 
 
+_REVISED = "revised once"
+
+
+@query(f"""SELECT doc_id, CAST(generate_subscripts(a, 1) AS INT) AS line_no, unnest(a) AS line FROM (
+  SELECT doc_id, CASE WHEN text = '' THEN [] WHEN ends_with(text, chr(10)) THEN string_split(text, chr(10))[:-2] ELSE string_split(text, chr(10)) END AS a
+  FROM (SELECT doc_id, CASE WHEN doc_id % 3 = 1 THEN '{_REVISED}' || chr(10) || text ELSE text END AS text FROM documents WHERE text IS NOT NULL AND doc_id % 3 != 2))""")
+def t1_sync_inbox(spark: SparkSession, sf: str) -> DataFrame:
+    """Three deliveries of documents; then one of them is delivered anew with another text and one is taken away."""
+    place = f"{shared_dir(spark)}/inbox-{uuid.uuid4().hex}"
+    docs = table(spark, sf, "documents").where("text IS NOT NULL").select(F.col("doc_id").cast("bigint"), "text")
+    for k in range(3):
+        docs.where(F.col("doc_id") % 3 == k).write.parquet(f"{place}/in/delivery-{k}")
+    chunks = ChunkTable(spark, f"{place}/out")
+    chunks.sync(f"{place}/in", make=to_lines)
+    docs.where("doc_id % 3 = 1").withColumn("text", F.concat(F.lit(f"{_REVISED}\n"), "text")).write.mode("overwrite").parquet(f"{place}/in/delivery-1")
+    docs.where("false").write.mode("overwrite").parquet(f"{place}/in/delivery-2")
+    chunks.sync(f"{place}/in", make=to_lines)
+    return chunks.rows().select("doc_id", "line_no", "line")
+
+
 @query(f"""WITH {SECTIONS_SQL}, cl AS (SELECT c.doc_id, c.chunk_no, l.line_no, l.line, trim(l.line) = '' AS blank FROM fx_chunks c JOIN fx_lines l ON l.doc_id = c.doc_id AND l.line_no BETWEEN c.start AND c."end"),
 e AS (SELECT *, CASE WHEN NOT blank AND coalesce(lag(blank) OVER (PARTITION BY doc_id, chunk_no ORDER BY line_no), true) THEN 1 ELSE 0 END AS edge FROM cl),
 r AS (SELECT *, sum(edge) OVER (PARTITION BY doc_id, chunk_no ORDER BY line_no) AS run FROM e),
