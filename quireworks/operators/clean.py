@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import WindowSpec
 
 from quireworks.functions.arrow import strip_math
+from quireworks.functions.lineage import save
 from quireworks.functions.text import HEADING, heading_level, heading_text, is_blank, lstrip, rstrip, strip
 
 #: The shapes of noise.
@@ -116,7 +117,7 @@ def merge_page_breaks(lines: DataFrame) -> DataFrame:
 
 def clean(lines: DataFrame) -> DataFrame:
     """The whole job."""
-    merged = merge_page_breaks(lines)
+    merged = save(merge_page_breaks(lines))
     short = drop_typeset(repair_soft_hyphen(drop_noise_lines(merged)))
     return dedupe_h1(strip_inline_math(restore_latex_simple(short)), merged)
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quireworks.functions import carry
 from quireworks.functions.lineage import hinted, save
 from quireworks.functions.text import heading_level, heading_text, is_blank, strip, terms_of
 
@@ -38,17 +39,16 @@ def chapter_headings(headings: DataFrame, chunks: DataFrame) -> DataFrame:
     return later.withColumn("top", F.min("level").over(Window.partitionBy("doc_id"))).where("level = top").select("doc_id", "line_no", "heading")
 
 
-def map_chapters(chunks: DataFrame, chapters: DataFrame) -> DataFrame:
+def map_chapters(chunks: DataFrame, chapters: DataFrame, block: int = carry.BLOCK) -> DataFrame:
     """doc_id, chunk_no, start, chapter: the last chapter at or before the chunk, else the first one, else the chunk's own heading.
 
-    An as-of join as one sort: both sides together by line, chapters first at equal lines, the last chapter carried on.
+    An as-of join without a range: both sides together by line, chapters first at equal lines, the last chapter carried on.
     """
     a = chapters.select("doc_id", F.col("line_no").alias("at"), F.lit(0).alias("side"), F.col("heading").alias("chapter"), F.lit(None).cast("int").alias("chunk_no"), F.lit(None).cast("string").alias("own"))
     b = chunks.select("doc_id", F.col("start").alias("at"), F.lit(1).alias("side"), F.lit(None).cast("string").alias("chapter"), "chunk_no", F.col("heading").alias("own"))
-    w = Window.partitionBy("doc_id").orderBy("at", "side", "chunk_no")
-    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    both = a.unionByName(b).withColumns({"last": F.last("chapter", True).over(w), "one": F.first("chapter", True).over(whole)})
-    return both.where("side = 1").select("doc_id", "chunk_no", F.col("at").alias("start"), F.coalesce("last", "one", "own").alias("chapter"))
+    first = chapters.groupBy("doc_id").agg(F.min_by("heading", "line_no").alias("one"))
+    both = carry.carried(a.unionByName(b), F.col("chapter"), "last", ("at", "side", "chunk_no"), block=block).where("side = 1").join(first, "doc_id", "left")
+    return both.select("doc_id", "chunk_no", F.col("at").alias("start"), F.coalesce("last", "one", "own").alias("chapter"))
 
 
 def chapter_groups(mapped: DataFrame) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import WindowSpec
 
 from quireworks.functions.automaton import phrases_in
+from quireworks.functions.carry import BLOCK, carried
 from quireworks.functions.fingerprints import key_of, keys
 from quireworks.functions.lineage import hinted, save
 from quireworks.functions.text import CJK_WIDE, heading_level, is_blank, plain, strip
@@ -43,10 +44,10 @@ def cross_check(cites: DataFrame, defs: DataFrame) -> DataFrame:
     return orphan_keys(cites, defs).withColumn("rule", F.lit("undefined")).unionByName(unused(cites, defs).withColumn("rule", F.lit("unused")))
 
 
-def page_of_line(lines: DataFrame) -> DataFrame:
+def page_of_line(lines: DataFrame, block: int = BLOCK) -> DataFrame:
     """Adds page: of the nearest marker at or before the line; null before the first."""
     mark = F.when(F.col("line").rlike(PAGE_MARKER), F.regexp_extract("line", PAGE_MARKER, 1).cast("int"))
-    return lines.withColumn("page", F.last(mark, True).over(_by_line()))
+    return carried(lines, mark, "page", block=block)
 
 
 def check_pages(notes: DataFrame, pages: DataFrame) -> DataFrame:

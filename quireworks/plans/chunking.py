@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.window import WindowSpec
 
+from quireworks.functions.carry import BLOCK, counted
+from quireworks.functions.lineage import hinted, save
 from quireworks.functions.text import CJK_IDEOGRAPHS, SPACE, cjk_count, heading_level, heading_text, is_blank, strip, word_count
 
 #: Least, most and forced size of a chunk by language (characters or words).
@@ -47,7 +49,7 @@ def measured(lines: DataFrame, languages: DataFrame) -> DataFrame:
     return lines.join(languages.select("doc_id", "language"), "doc_id").withColumn("units", F.when(F.col("language") == "zh", cjk_count(line)).otherwise(word_count(line)))
 
 
-def parse_sections(lines: DataFrame) -> DataFrame:
+def parse_sections(lines: DataFrame, block: int = BLOCK) -> DataFrame:
     """doc_id, section_no, level, heading, start, end, units, is_toc for lines with units; text before the first heading is in none.
 
     A section is a table of contents if its heading says so, if most of its lines end in a number and are short, or if it holds
@@ -55,7 +57,7 @@ def parse_sections(lines: DataFrame) -> DataFrame:
     """
     line = F.col("line")
     level = heading_level(line)
-    numbered = lines.withColumn("section_no", F.sum(level.isNotNull().cast("int")).over(_by_line())).where("section_no > 0")
+    numbered = counted(lines, level.isNotNull(), "section_no", block=block).where("section_no > 0")
     words, full = word_count(line), ~is_blank(line)
     numbered_end = line.rlike(TRAILING_NUMBER)
     sums = numbered.groupBy("doc_id", F.col("section_no").cast("int").alias("section_no")).agg(
@@ -181,9 +183,10 @@ def plan_chunks(sections: DataFrame, limits: bool = False) -> DataFrame:
 
 
 def sections_of(lines: DataFrame) -> DataFrame:
-    """Sections with thresholds, ready to be planned."""
-    languages = detect_language(lines)
-    return parse_sections(measured(lines, languages)).join(with_thresholds(languages), "doc_id")
+    """Sections with language and thresholds, ready to be planned."""
+    languages = save(detect_language(lines))
+    known = hinted(languages, languages.count())
+    return with_thresholds(parse_sections(measured(lines, known)).join(known, "doc_id"))
 
 
 def fresh_numbers(lines: DataFrame) -> DataFrame:

@@ -14,7 +14,7 @@ from quireworks.operators import clean, extract
 from quireworks.operators.index import headings_of
 from quireworks.plans import chunking
 from quireworks.queries.registry import Registry
-from quireworks.sources.documents import parse_plan, scan_inbox, to_lines, write_chunks
+from quireworks.sources.documents import parse_plan, scan_inbox, to_lines, write_chunk_table, write_chunks
 from quireworks.streaming.inbox import ingest_stream
 from quireworks.streaming.sync import ChunkTable
 
@@ -374,8 +374,11 @@ def k15_chunk_text(spark: SparkSession, sf: str) -> DataFrame:
     return chunking.chunk_text(*fx_book(spark, sf))
 
 
-@query(f"""WITH {SECTIONS_SQL} SELECT c.doc_id, c.chunk_no, '来源: ' || CAST(c.doc_id AS VARCHAR) || chr(10) || '位置: ' || CAST(c.start AS VARCHAR) || '-' || CAST(c."end" AS VARCHAR) AS provenance, string_agg(l.line, chr(10) ORDER BY l.line_no) AS body
-FROM fx_chunks c JOIN fx_lines l ON l.doc_id = c.doc_id AND l.line_no BETWEEN c.start AND c."end" GROUP BY 1, 2, 3""")
+_CHUNK_TEXT_SQL = f"""WITH {SECTIONS_SQL} SELECT c.doc_id, c.chunk_no, '来源: ' || CAST(c.doc_id AS VARCHAR) || chr(10) || '位置: ' || CAST(c.start AS VARCHAR) || '-' || CAST(c."end" AS VARCHAR) AS provenance, string_agg(l.line, chr(10) ORDER BY l.line_no) AS body
+FROM fx_chunks c JOIN fx_lines l ON l.doc_id = c.doc_id AND l.line_no BETWEEN c.start AND c."end" GROUP BY 1, 2, 3"""
+
+
+@query(_CHUNK_TEXT_SQL)
 def s7_write_chunks(spark: SparkSession, sf: str) -> DataFrame:
     """Chunk texts written by bucket and read back."""
     path = f"{shared_dir(spark)}/chunks-{uuid.uuid4().hex}"
@@ -383,6 +386,13 @@ def s7_write_chunks(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.parquet(path).drop("bucket")
 
 
+@query(_CHUNK_TEXT_SQL)
+def s7_chunk_table(spark: SparkSession, sf: str) -> DataFrame:
+    """Chunk texts as a table bucketed by document."""
+    name = f"chunks_{uuid.uuid4().hex}"
+    return write_chunk_table(chunking.chunk_text(*fx_book(spark, sf)), name, f"{shared_dir(spark)}/{name}")
+
+
 @query()
 def t1_ingest_stream(spark: SparkSession, sf: str) -> DataFrame:
     """The documents' files as an inbox (a pattern, as the table may be one file or a folder), streamed through cleaning and planning."""

@@ -39,3 +39,11 @@ def write_chunks(chunk_text: DataFrame, path: str, buckets: int = 16) -> None:
     """Chunk texts as Parquet; all chunks of a document lie in one bucket folder."""
     bucketed = chunk_text.withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).cast("int"))
     bucketed.repartition("bucket").sortWithinPartitions("doc_id", "chunk_no").write.mode("overwrite").partitionBy("bucket").parquet(path)
+
+
+def write_chunk_table(chunk_text: DataFrame, name: str, path: str, buckets: int = 16) -> DataFrame:
+    """Chunk texts as the table ``name``, bucketed by document: what joins or groups it by doc_id, or by doc_id and chunk_no beside another table of as many buckets,
+    moves none of its rows. The table, read back."""
+    dealt = chunk_text.repartition(buckets, "doc_id").write.mode("overwrite").bucketBy(buckets, "doc_id").sortBy("doc_id", "chunk_no")
+    dealt.option("path", path).saveAsTable(name)
+    return chunk_text.sparkSession.table(name)
