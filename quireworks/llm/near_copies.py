@@ -9,7 +9,7 @@ SimHash links of radius 2 count too, so a component holds all that ``simhash`` j
 
 Cases: a text of less than five words is one shingle; a text without words (null too) has no shingles and has SimHash links alone; rows
 without a doc_id take no part and stay; rows that repeat a doc_id are one document, linked by any of
-its texts; an empty table gives an empty result.
+its texts; an empty table gives an empty result; very long texts have all their shingles compared; other columns are kept.
 """
 
 from __future__ import annotations

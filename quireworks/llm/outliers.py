@@ -11,7 +11,7 @@ are whole multiples of 1/1024, so that sums don't depend on the order of rows an
 Cases: a null text has no words and fails the base rules; null languages and sources are groups of their own; groups of fewer than
 ``min_group`` rows are judged together with the other small groups of their language, and if these are still few, with all such rows;
 repeated rows count as often as they occur and get the same verdict; an empty table gives an empty result; columns beyond
-``doc_id, text, lang, source`` are ignored.
+``doc_id, text, lang, source`` are ignored; of very long texts only the counts go on.
 """
 
 from __future__ import annotations

@@ -10,7 +10,8 @@ bound makes what the driver sees independent of the corpus.
 
 Cases: null and empty texts have the figures of the empty text and are scored; a null quality or doc_id among the labels is left out,
 and so are repeated labels that contradict each other; without labels of both kinds every score is the share of 1 (0.5 without any);
-repeated rows score alike; an empty table gives an empty result; ``score`` ignores columns beyond doc_id and text, ``keep`` keeps them.
+repeated rows score alike; an empty table gives an empty result; ``score`` ignores columns beyond doc_id and text, ``keep`` keeps them;
+figures are of whole texts, however long.
 """
 
 from __future__ import annotations

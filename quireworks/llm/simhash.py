@@ -12,7 +12,8 @@ other radii, words within r // 2 bits are used if r is even; odd radii first use
 
 Cases: a text without words (null too) has fingerprint zero and is linked like any other; rows with a null doc_id get a fingerprint and
 link others, and a component without any doc_id has a null id; repeated rows fall into one class; an empty table gives an empty
-result; columns beyond doc_id and text are ignored by ``simhash_components`` and kept by ``dedup``.
+result; columns beyond doc_id and text are ignored by ``simhash_components`` and kept by ``dedup``;
+very long texts are hashed in bounded steps.
 """
 
 from __future__ import annotations

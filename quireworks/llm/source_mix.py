@@ -8,7 +8,7 @@ flow takes ``r`` times. Turns are exact running sums, in two levels, so no task
 
 Cases: a null text is of size 0 and takes part with 0 words; a null source is a source of its own, last in order; repeated rows are
 documents of their own with the same turn, taken or left together; an empty table gives an empty result; further columns are kept by
-``mix`` (its own are prefixed) and ignored by ``mix_sizes``.
+``mix`` (its own are prefixed) and ignored by ``mix_sizes``; a very long text is taken whole or left, so a source may miss its target by half of it.
 """
 
 from __future__ import annotations

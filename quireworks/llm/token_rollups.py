@@ -7,7 +7,8 @@ does one at the same time. Totals are the sums over the batches; ``compact`` fol
 one stroke, as HDFS and local ones do; on a plain object store keep the log in a table format that commits.
 
 Cases: null texts count 0 tokens; null sources, languages and versions are groups of their own; a change without counts on the side
-it needs counts 0 there; a repeated change row counts as often as it occurs; an empty batch is committed and adds nothing.
+it needs counts 0 there; a repeated change row counts as often as it occurs; an empty batch is committed and adds nothing;
+very long texts are counted whole, and their counts alone travel; columns beyond those named are ignored.
 """
 
 from __future__ import annotations

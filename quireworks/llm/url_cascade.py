@@ -6,7 +6,7 @@ DataFrame expressions; keys stay in tables, and only the filters, whose size is
 once. A list too long for filters of ``max_bytes`` is answered by an equality join instead, as exactly.
 
 Cases: a null url or one without ``://`` has neither keys nor host; empty lists or tables give no levels and nothing is listed;
-repeated rows get equal verdicts; rules of one length that fit alike are taken in the order of their text; null keys of the list are ignored; other columns are ignored.
+repeated rows get equal verdicts; rules of one length that fit alike are taken in the order of their text; null keys of the list are ignored; other columns are ignored; urls are looked at whole, however long.
 """
 
 from __future__ import annotations
