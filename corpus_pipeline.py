@@ -1,6 +1,10 @@
 """Documents to training text: classify, drop near copies, drop repeated lines, mix sources, encode.
 
 Each stage works on all that its predecessor kept; all but the last return the columns of documents.
+
+Cases: a null or empty text is scored as the empty text, has no shingles and no passages, is of size 0 and encodes to nothing; rows that repeat a doc_id and text are one document for labels, copies and
+passages, and go or stay together; rows with a null doc_id are scored, never dropped as copies, and keep their passages; very long texts are worked on whole; ties go to the smaller doc_id; columns beyond those of
+documents are carried through all stages but the last, whatever their names; empty tables give an empty result.
 """
 
 from __future__ import annotations
