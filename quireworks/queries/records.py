@@ -68,12 +68,32 @@ def e4_flat_markdown(spark: SparkSession, sf: str) -> DataFrame:
     return extract.flat_markdown(extract.main_content(table(spark, sf, "pages")))
 
 
-@query()
+def _walk_sql(html: str) -> str:
+    """The pages' own tags: what is skipped goes, blocks part a page, a piece with letters is a paragraph; bold is marked, a heading led in."""
+    x = "replace(replace(replace(x, '<h1>', '## '), '<b>', '**'), '<br>', ' ')"
+    x = rf"regexp_replace({x}, '</?[a-zA-Z][^>]*>', '', 'g')"
+    for name, c in (("lt", "<"), ("gt", ">"), ("quot", '"'), ("copy", "©"), ("middot", "·"), ("amp", "&")):
+        x = f"regexp_replace({x}, '&{name};?', '{c}', 'g')"
+    return rf"""shown AS (SELECT page_id, regexp_replace(regexp_replace({html}, '(?s)<(head|nav|footer|script|style)\b.*?(</(head|nav|footer|script|style)>|$)|<!--.*?-->', '', 'g'), '(?s)<div class="ad">.*?(</div>|$)', '', 'g') AS h FROM pages),
+pieces AS (SELECT page_id, generate_subscripts(a, 1) AS k, unnest(a) AS x FROM (SELECT page_id, string_split_regex(h, '<(?:/h1|/?p|/?body|/?article|/?html)\b[^>]*>|<!DOCTYPE[^>]*>') AS a FROM shown)),
+spoken AS (SELECT page_id, k, trim(regexp_replace({x}, '\s+', ' ', 'g')) AS t FROM pieces),
+walked AS (SELECT page_id, coalesce(string_agg(t, chr(10) || chr(10) ORDER BY k), '') AS markdown FROM pages LEFT JOIN (SELECT * FROM spoken WHERE regexp_replace(t, '[*#>\-\s]|^\d+\.$', '', 'g') != '') USING (page_id) GROUP BY page_id)"""
+
+
+@query(f"WITH {_walk_sql('html')} SELECT page_id, markdown FROM walked")
 def e4_html_to_markdown(spark: SparkSession, sf: str) -> DataFrame:
     """The walk that handles nested tags."""
     return arrow.html_to_markdown(table(spark, sf, "pages"))
 
 
+@query(f"""WITH {_walk_sql("replace(html, '</h1>', '</h1><p>See@@ more</p>')")} SELECT page_id, replace(markdown, 'See@@ more', 'See' || chr(10) || chr(10) || '<!-- footnote 1 -->' || chr(10) || '1 Note ' || CAST(page_id AS VARCHAR) || chr(10) || chr(10) || 'more') AS markdown FROM walked""")
+def e4_notes_in_body(spark: SparkSession, sf: str) -> DataFrame:
+    """Whole pages with a paragraph that refers to a note, and the note behind the article."""
+    noted = F.replace("html", F.lit("</h1>"), F.lit('</h1><p>See<sup><a href="#fn1">1</a></sup> more</p>'))
+    listed = F.concat(F.lit('</article><section class="footnotes"><ol><li id="fn1">1. Note '), F.col("page_id").cast("string"), F.lit(" ↩</li></ol></section>"))
+    return arrow.markdown_with_notes(table(spark, sf, "pages").select("page_id", F.replace(noted, F.lit("</article>"), listed).alias("html")))
+
+
 @query("""SELECT page_id, unnest(['fn1', 'fn2']) AS anchor, unnest(['Note ' || CAST(page_id AS VARCHAR), 'Other note']) AS note FROM pages WHERE contains(html, '</body>')""")
 def e5_html_footnotes(spark: SparkSession, sf: str) -> DataFrame:
     """Notes of pages that end in a list of notes."""
