@@ -63,8 +63,8 @@ def fx_drafts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One thesis a conversation: thesis_id, file, line_no, line."""
     c, t = F.col("conv_id"), F.col("turn")
     key = lambda x: F.concat(F.lit("[^k"), (x % 9).cast("string"), F.lit("]"))
-    line1 = F.concat(F.substring("text", 1, 60), key(c * 7 + t * 3), F.lit(" and "), key(c + t))
-    line2 = F.when((c + t) % 9 < 8, F.concat(key(c + t), F.lit(": def "), ((c + t) % 9 + 100 * (t % 2)).cast("string")))
+    line1 = F.concat(F.replace("text", F.lit("\n"), F.lit(" ")), key(c * 7 + t * 3), F.lit(" and "), key(c + t))
+    line2 = F.when((c + t) % 9 < 8, F.concat(key((c + t) % 5), F.lit(": def "), ((c + t) % 9 + 100 * (t % 2)).cast("string")))
     rows = table(spark, sf_dir, "conversations").select(c.alias("thesis_id"), F.when(t == 0, "introduction").otherwise(F.concat(F.lit("chapter"), t.cast("string"))).alias("file"), F.posexplode(F.array(line1, line2)).alias("p", "line"))
     return rows.where("line IS NOT NULL").select("thesis_id", "file", (F.col("p") + 1).cast("int").alias("line_no"), "line")
 
@@ -94,7 +94,7 @@ def fx_outline(spark: SparkSession, sf_dir: str) -> DataFrame:
     c, t = F.col("conv_id"), F.col("turn")
     path = lambda n: F.struct(F.concat(F.lit("chunk-"), n.cast("string")).alias("path"), F.lit("").alias("note"))
     refs = F.when(t % 4 == 3, F.array().cast("array<struct<path:string,note:string>>")).otherwise(F.array(path((c * 3 + t) % 40), path((c + t) % 25)))
-    return table(spark, sf_dir, "conversations").select(c.alias("thesis_id"), t.cast("int").alias("chapter"), t.alias("ord"), t.cast("string").alias("section_no"), F.substring("text", 1, 20).alias("title"), F.when(c % 3 != 0, F.substring("text", 1, 30)).alias("claim"), F.when(t % 3 != 1, F.substring("text", 5, 30)).otherwise(" ").alias("reasoning"), F.lit("plain").alias("style"), refs.alias("refs"))
+    return table(spark, sf_dir, "conversations").select(c.alias("thesis_id"), t.cast("int").alias("chapter"), t.alias("ord"), t.cast("string").alias("section_no"), F.element_at(F.split("text", "\n"), 1).alias("title"), F.when(c % 3 != 0, F.col("text")).alias("claim"), F.when(t % 3 != 1, F.substring("text", 5, 1 << 30)).otherwise(" ").alias("reasoning"), F.lit("plain").alias("style"), refs.alias("refs"))
 
 
 def small(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
@@ -146,8 +146,8 @@ fx_chunks AS (SELECT doc_id, unit_no AS chunk_no, start, "end", heading, units F
 
 DRAFTS_SQL = """
 turns AS (SELECT conv_id, turn, CASE WHEN turn = 0 THEN 'introduction' ELSE 'chapter' || CAST(turn AS VARCHAR) END AS file,
-   substr(text, 1, 60) || '[^k' || CAST((conv_id * 7 + turn * 3) % 9 AS VARCHAR) || '] and [^k' || CAST((conv_id + turn) % 9 AS VARCHAR) || ']' AS line1,
-   CASE WHEN (conv_id + turn) % 9 < 8 THEN '[^k' || CAST((conv_id + turn) % 9 AS VARCHAR) || ']: def ' || CAST((conv_id + turn) % 9 + 100 * (turn % 2) AS VARCHAR) END AS line2 FROM conversations),
+   replace(text, chr(10), ' ') || '[^k' || CAST((conv_id * 7 + turn * 3) % 9 AS VARCHAR) || '] and [^k' || CAST((conv_id + turn) % 9 AS VARCHAR) || ']' AS line1,
+   CASE WHEN (conv_id + turn) % 9 < 8 THEN '[^k' || CAST((conv_id + turn) % 5 AS VARCHAR) || ']: def ' || CAST((conv_id + turn) % 9 + 100 * (turn % 2) AS VARCHAR) END AS line2 FROM conversations),
 fx_drafts AS (SELECT conv_id AS thesis_id, file, 1 AS line_no, line1 AS line FROM turns UNION ALL SELECT conv_id, file, 2, line2 FROM turns WHERE line2 IS NOT NULL),
 files AS (SELECT DISTINCT thesis_id, file FROM fx_drafts),
 ranked AS (SELECT *, CASE WHEN file = 'introduction' THEN 0 WHEN file = 'conclusion' THEN 9 WHEN regexp_matches(file, '^chapter[1-8]$') THEN CAST(substr(file, 8) AS INT) WHEN starts_with(file, 'chapter') THEN 10 END AS rank FROM files),
@@ -168,8 +168,8 @@ bd AS (SELECT *, CASE WHEN doi IS NOT NULL THEN lower(replace(doi, 'https://doi.
 """
 
 OUTLINE_SQL = """
-outline AS (SELECT conv_id AS thesis_id, turn AS ord, CAST(turn AS VARCHAR) AS section_no, CASE WHEN conv_id % 3 != 0 THEN substr(text, 1, 30) END AS claim,
-   CASE WHEN turn % 3 != 1 THEN substr(text, 5, 30) ELSE ' ' END AS reasoning, 'plain' AS style,
+outline AS (SELECT conv_id AS thesis_id, turn AS ord, CAST(turn AS VARCHAR) AS section_no, CASE WHEN conv_id % 3 != 0 THEN text END AS claim,
+   CASE WHEN turn % 3 != 1 THEN substr(text, 5) ELSE ' ' END AS reasoning, 'plain' AS style,
    CASE WHEN turn % 4 = 3 THEN [] ELSE ['chunk-' || CAST((conv_id * 3 + turn) % 40 AS VARCHAR), 'chunk-' || CAST((conv_id + turn) % 25 AS VARCHAR)] END AS refs FROM conversations),
 orefs AS (SELECT thesis_id, section_no, unnest(refs) AS path FROM outline),
 known AS (SELECT DISTINCT 'chunk-' || CAST(doc_id % 30 AS VARCHAR) AS path FROM documents)

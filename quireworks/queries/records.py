@@ -133,14 +133,14 @@ def e4_notes_of_book(spark: SparkSession, sf: str) -> DataFrame:
     return arrow.markdown_with_notes(pages, notes)
 
 
-@query("""WITH r AS (SELECT page_id // 10 AS doc_id, page_id % 10 AS pos, CASE page_id % 4 WHEN 0 THEN 'f.xhtml#n' WHEN 1 THEN '#fn' ELSE 'n' END || CAST(page_id % 7 AS VARCHAR) AS anchor FROM pages), n AS (SELECT page_id // 10 AS doc_id, 'n' || CAST(page_id % 10 AS VARCHAR) AS anchor, 'note ' || CAST(page_id AS VARCHAR) AS note FROM pages WHERE page_id % 3 != 1),
+@query("""WITH r AS (SELECT page_id // 10 AS doc_id, page_id % 10 AS pos, CASE page_id % 4 WHEN 0 THEN 'f.xhtml#n' WHEN 1 THEN '#fn' ELSE 'n' END || CAST(page_id % 7 AS VARCHAR) AS anchor FROM pages), n AS (SELECT page_id // 10 AS doc_id, 'n' || CAST(page_id % 10 AS VARCHAR) AS anchor, 'note ' || coalesce(html, '') AS note FROM pages WHERE page_id % 3 != 1),
 j AS (SELECT r.*, note FROM r LEFT JOIN n ON n.doc_id = r.doc_id AND (n.anchor = regexp_replace(r.anchor, '^.*#', '') OR starts_with(r.anchor, '#fn') AND ends_with(n.anchor, substr(r.anchor, 4)))), k AS (SELECT *, CASE WHEN note IS NOT NULL THEN CAST(sum(CASE WHEN note IS NULL THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY pos) AS INT) END AS number FROM j)
 SELECT doc_id, pos, anchor, number, '<!-- footnote ' || CAST(number AS VARCHAR) || ' -->' || chr(10) || CAST(number AS VARCHAR) || ' ' || note || chr(10) || chr(10) AS marker FROM k""")
 def e6_resolve_note_refs(spark: SparkSession, sf: str) -> DataFrame:
     i = F.col("page_id")
     pages = table(spark, sf, "pages")
     refs = pages.select(F.floor(i / 10).alias("doc_id"), (i % 10).alias("pos"), F.concat(F.when(i % 4 == 0, "f.xhtml#n").when(i % 4 == 1, "#fn").otherwise("n"), (i % 7).cast("string")).alias("anchor"))
-    notes = pages.where(i % 3 != 1).select(F.floor(i / 10).alias("doc_id"), F.concat(F.lit("n"), (i % 10).cast("string")).alias("anchor"), F.concat(F.lit("note "), i.cast("string")).alias("note"))
+    notes = pages.where(i % 3 != 1).select(F.floor(i / 10).alias("doc_id"), F.concat(F.lit("n"), (i % 10).cast("string")).alias("anchor"), F.concat(F.lit("note "), F.coalesce("html", F.lit(""))).alias("note"))
     return extract.resolve_note_refs(refs, notes)
 
 
@@ -152,12 +152,14 @@ def e7_endnote_files(spark: SparkSession, sf: str) -> DataFrame:
     return extract.endnote_files(links.select("book", "source", F.concat("href", F.lit("#x")).alias("target")))
 
 
-@query("""WITH a AS (SELECT doc_id // 10 AS book, 'f' || CAST(doc_id % 3 AS VARCHAR) AS file, doc_id AS pos, CASE WHEN doc_id % 2 = 0 THEN 'fn' ELSE 'x' END || CAST(doc_id % 4 AS VARCHAR) AS anchor FROM documents)
-SELECT book, anchor, 'Text ' || CAST(max(pos) AS VARCHAR) AS note FROM a WHERE file != 'f1' AND starts_with(anchor, 'fn') GROUP BY 1, 2""")
+@query(r"""WITH a AS (SELECT doc_id // 10 AS book, 'f' || CAST(doc_id % 3 AS VARCHAR) AS file, doc_id AS pos, CASE WHEN doc_id % 2 = 0 THEN 'fn' ELSE 'x' END || CAST(doc_id % 4 AS VARCHAR) AS anchor, trim(regexp_replace('Text ' || coalesce(text, ''), '\s+', ' ', 'g')) AS note FROM documents)
+SELECT book, anchor, arg_max(note, pos) AS note FROM a WHERE file != 'f1' AND starts_with(anchor, 'fn') GROUP BY 1, 2""")
 def e8_endnotes(spark: SparkSession, sf: str) -> DataFrame:
+    """Whole texts as notes with a number before them."""
     i = F.col("doc_id")
     docs = table(spark, sf, "documents")
-    anchors = docs.select(F.floor(i / 10).alias("book"), F.concat(F.lit("f"), (i % 3).cast("string")).alias("file"), i.alias("pos"), F.concat(F.when(i % 2 == 0, "fn").otherwise("x"), (i % 4).cast("string")).alias("anchor"), F.concat(F.when(i % 5 == 0, "注3：").otherwise("[12] "), F.lit(" Text \n "), i.cast("string")).alias("text"))
+    text = F.concat(F.when(i % 5 == 0, "注3：").otherwise("[12] "), F.lit(" Text \n "), F.coalesce("text", F.lit("")))
+    anchors = docs.select(F.floor(i / 10).alias("book"), F.concat(F.lit("f"), (i % 3).cast("string")).alias("file"), i.alias("pos"), F.concat(F.when(i % 2 == 0, "fn").otherwise("x"), (i % 4).cast("string")).alias("anchor"), text.alias("text"))
     files = docs.select(F.floor(i / 10).alias("book")).distinct().select("book", F.explode(F.array(F.lit("f0"), F.lit("f2"))).alias("target"))
     return extract.endnotes(anchors, files)
 
