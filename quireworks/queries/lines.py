@@ -144,15 +144,20 @@ def c8_dedupe_h1(spark: SparkSession, sf: str) -> DataFrame:
 _END, _GO = r"[.?!;:\"''\)\]）」』。？！；：”]\s*$", "^[a-z,;(‘“\"'']"
 
 
-@query(rf"""WITH RECURSIVE {LINES_SQL},
-n AS (SELECT doc_id, line_no, line, lead(line, 1) OVER w AS n1, lead(line, 2) OVER w AS n2, lead(line, 3) OVER w AS n3, lead(line, 4) OVER w AS n4 FROM fx_lines WINDOW w AS (PARTITION BY doc_id ORDER BY line_no)),
+def _merged_sql(source: str) -> str:
+    """merged: the lines of ``source`` after page-break merges, walked from the first line on."""
+    return rf"""
+n AS (SELECT doc_id, line_no, line, lead(line, 1) OVER w AS n1, lead(line, 2) OVER w AS n2, lead(line, 3) OVER w AS n3, lead(line, 4) OVER w AS n4 FROM {source} WINDOW w AS (PARTITION BY doc_id ORDER BY line_no)),
 o AS (SELECT *, trim(line) != '' AND NOT regexp_matches(line, '^#{{1,6}}\s+.+$') AND NOT starts_with(trim(line), '>') AND NOT starts_with(trim(line), '<!--') AND NOT regexp_matches(line, '{_END}') AND trim(n1) = '' AS opens FROM n),
 c AS (SELECT *, CASE WHEN opens AND regexp_matches(trim(n2), '^\[\d+\]\s*$') AND trim(n3) = '' AND trim(n4) != '' AND NOT regexp_matches(n4, '^#{{1,6}}\s+.+$') THEN 4
       WHEN opens AND trim(n2) != '' AND NOT regexp_matches(n2, '^#{{1,6}}\s+.+$') AND regexp_matches(trim(n2), '{_GO}') THEN 2 ELSE 0 END AS span FROM o),
 walk AS (SELECT doc_id, line_no, span FROM c WHERE line_no = 1
-   UNION ALL SELECT c.doc_id, c.line_no, c.span FROM walk JOIN c ON c.doc_id = walk.doc_id AND c.line_no = walk.line_no + walk.span + 1)
-SELECT doc_id, line_no, CASE WHEN c.span = 0 THEN line ELSE CASE WHEN ends_with(rtrim(line), '-') THEN rtrim(line)[:-2] || ltrim(CASE c.span WHEN 4 THEN n4 ELSE n2 END) WHEN c.span = 4 THEN rtrim(line) || ltrim(n4) ELSE rtrim(line) || ' ' || ltrim(n2) END END AS line
-FROM walk JOIN c USING (doc_id, line_no)""")
+   UNION ALL SELECT c.doc_id, c.line_no, c.span FROM walk JOIN c ON c.doc_id = walk.doc_id AND c.line_no = walk.line_no + walk.span + 1),
+merged AS (SELECT doc_id, line_no, CASE WHEN c.span = 0 THEN line ELSE CASE WHEN ends_with(rtrim(line), '-') THEN rtrim(line)[:-2] || ltrim(CASE c.span WHEN 4 THEN n4 ELSE n2 END) WHEN c.span = 4 THEN rtrim(line) || ltrim(n4) ELSE rtrim(line) || ' ' || ltrim(n2) END END AS line
+FROM walk JOIN c USING (doc_id, line_no))"""
+
+
+@query(f"WITH RECURSIVE {LINES_SQL}, {_merged_sql('fx_lines')} SELECT * FROM merged")
 def c9_merge_page_breaks(spark: SparkSession, sf: str) -> DataFrame:
     return clean.merge_page_breaks(fx_lines(spark, sf))
 
@@ -211,10 +216,31 @@ def c14_heading_gate(spark: SparkSession, sf: str) -> DataFrame:
     return clean.heading_gate(lines, _toc(lines))
 
 
-@query()
+def _known_math(line: str) -> str:
+    for formula, text in FORMULAS:
+        line = f"replace({line}, '{formula}', '{text}')"
+    return line
+
+
+# dollar signs of the supplied texts are no formulas here; every ninth line ends in a formula of known text
+_CLEAN_SQL = rf"""
+dressed AS (SELECT doc_id, line_no, replace(replace(replace(line, '$12\sim34$', '@@'), '$', 'S'), '@@', '$12\sim34$') || CASE WHEN line_no % 9 = 0 THEN ' ' || [{", ".join("'" + f + "'" for f, _ in FORMULAS)}][CAST(line_no % {len(FORMULAS)} + 1 AS INT)] ELSE '' END AS line FROM fx_lines),
+{_merged_sql('dressed')},
+real AS (SELECT doc_id, line_no, regexp_replace(line, '([A-Za-z])Â\s*([A-Za-z])', '\1\2', 'g') AS line FROM merged WHERE NOT starts_with(line, '![image](http') AND NOT regexp_matches(line, '^\s*(\d+|\[\d+\])\s*$') AND NOT regexp_matches(line, '^[A-Za-z](?:\s+[A-Za-z0-9])+\s*$')),
+spared AS (SELECT * FROM real WHERE NOT (regexp_matches(line, '\$[^$]*\\(?:mathrm|times|mathbf|text|rm|bf|it|tt|sf|sc)[^$]*\$') AND length(trim(regexp_replace(line, '\$[^$]{{1,120}}\$', '', 'g'))) < 10)),
+simple AS (SELECT doc_id, line_no, regexp_replace(line, '\$\[?(\d+)\\sim(\d+)\]?\$(?:\s*\$\[?\d+\\sim\d+\]?\$)?', '\1–\2', 'g') AS line FROM spared),
+told AS (SELECT doc_id, line_no, {_known_math('line')} AS line FROM simple),
+titles AS (SELECT doc_id, trim(substr(line, 3)) AS t FROM merged WHERE regexp_matches(line, '^#\s+.+$') GROUP BY ALL HAVING count(*) > 1),
+ranked AS (SELECT told.*, titles.t IS NOT NULL AS again, row_number() OVER (PARTITION BY told.doc_id, titles.t ORDER BY line_no) AS r FROM told LEFT JOIN titles ON titles.doc_id = told.doc_id AND regexp_matches(line, '^#\s+.+$') AND titles.t = trim(substr(line, 3)))"""
+
+
+@query(f"WITH RECURSIVE {LINES_SQL}, {_CLEAN_SQL} SELECT doc_id, line_no, line FROM ranked WHERE NOT again OR r = 1")
 def c_clean_books(spark: SparkSession, sf: str) -> DataFrame:
     """The whole cleaning job on all books."""
-    return clean.clean(fx_lines(spark, sf))
+    n, made = F.col("line_no"), F.array(*(F.lit(f) for f, _ in FORMULAS))
+    own = F.replace(F.replace(F.replace("line", F.lit(r"$12\sim34$"), F.lit("@@")), F.lit("$"), F.lit("S")), F.lit("@@"), F.lit(r"$12\sim34$"))
+    line = F.concat(own, F.when(n % 9 == 0, F.concat(F.lit(" "), F.element_at(made, (n % len(FORMULAS) + 1).cast("int")))).otherwise(""))
+    return clean.clean(fx_lines(spark, sf).withColumn("line", line))
 
 
 @query(f"WITH {LINES_SQL} SELECT doc_id, line_no, CAST(cjk AS BIGINT) AS cjk, CAST(words AS BIGINT) AS words FROM hl")
