@@ -419,11 +419,20 @@ def s7_chunk_table(spark: SparkSession, sf: str) -> DataFrame:
     return write_chunk_table(chunking.chunk_text(*fx_book(spark, sf)), name, f"{shared_dir(spark)}/{name}")
 
 
-@query()
+# the texts have no headings, so each is one chunk of its cleaned lines, counted anew
+_INGEST_SQL = rf"""
+typed AS (SELECT doc_id, CAST(generate_subscripts(a, 1) AS INT) AS line_no, unnest(a) AS line FROM (
+  SELECT doc_id, CASE WHEN text = '' THEN [] WHEN ends_with(text, chr(10)) THEN string_split(text, chr(10))[:-2] ELSE string_split(text, chr(10)) END AS a FROM (SELECT doc_id, replace(text, '$', 'S') AS text FROM documents WHERE text IS NOT NULL))),
+{_merged_sql('typed')},
+real AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY line_no) AS n, regexp_replace(line, '([A-Za-z])Â\s*([A-Za-z])', '\1\2', 'g') AS line FROM merged WHERE NOT starts_with(line, '![image](http') AND NOT regexp_matches(line, '^\s*(\d+|\[\d+\])\s*$') AND NOT regexp_matches(line, '^[A-Za-z](?:\s+[A-Za-z0-9])+\s*$'))"""
+
+
+@query(f"WITH RECURSIVE {_INGEST_SQL} SELECT doc_id, 1 AS chunk_no, '来源: ' || CAST(doc_id AS VARCHAR) || chr(10) || '位置: 1-' || CAST(max(n) AS VARCHAR) AS provenance, string_agg(line, chr(10) ORDER BY n) AS body FROM real GROUP BY doc_id")
 def t1_ingest_stream(spark: SparkSession, sf: str) -> DataFrame:
-    """The documents' files as an inbox (a pattern, as the table may be one file or a folder), streamed through cleaning and planning."""
+    """The documents as files of an inbox, streamed through cleaning and planning."""
     path = f"{shared_dir(spark)}/inbox-{uuid.uuid4().hex}"
-    ingest_stream(spark, f"{sf}/documents.parque[t]", f"{path}/out", f"{path}/checkpoint").awaitTermination()
+    table(spark, sf, "documents").where("text IS NOT NULL").select(F.col("doc_id").cast("bigint"), F.replace("text", F.lit("$"), F.lit("S")).alias("text")).write.parquet(f"{path}/in")
+    ingest_stream(spark, f"{path}/in", f"{path}/out", f"{path}/checkpoint").awaitTermination()
     return spark.read.parquet(f"{path}/out").drop("batch")
 
 
