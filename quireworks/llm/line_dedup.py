@@ -170,6 +170,7 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, min_chars: in
     again = save(hashed.join(often, "h1"))
     place = F.struct("doc_id", "tag", "start", "length")
     first = again.groupBy("h1", "h2").agg(F.min(place).alias("f"), F.min(F.struct(F.col("doc_id"), F.col("tag"), F.col("start"))).alias("p"), F.count("*").alias("n")).where("n > 1").select("h1", "h2", "f", "p")
+    first = save(first)  # a table of its own, so that Spark can split the rows of a digest with very many places in the join
     later = again.join(first, ["h1", "h2"]).where(F.struct("doc_id", "tag", "start") > F.col("p"))
     own = (F.col("doc_id") == F.col("f.doc_id")) & (F.col("tag") == F.col("f.tag"))
     begin = F.when(own, F.greatest(F.col("start"), F.col("f.start") + F.col("f.length"))).otherwise(F.col("start"))
