@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import WindowSpec
 
 from quireworks.functions.arrow import strip_math
-from quireworks.functions.lineage import save
+from quireworks.functions.carry import BLOCK, counted
+from quireworks.functions.lineage import hinted, save
 from quireworks.functions.text import HEADING, heading_level, heading_text, is_blank, lstrip, rstrip, strip
 
 #: The shapes of noise.
@@ -86,21 +87,41 @@ def dedupe_h1(cleaned: DataFrame, raw: DataFrame) -> DataFrame:
     return keyed.withColumn("r", F.when(F.col("n").isNotNull(), rank)).where("n IS NULL OR r = 1").select("doc_id", "line_no", "line")
 
 
-def merge_page_breaks(lines: DataFrame) -> DataFrame:
-    """One line of a paragraph that a page break cut in two; a word's hyphen at the cut goes.
-
-    A + blank + B where A doesn't end a sentence and B goes on in small letters, or A + blank + page mark + blank + B. Merges that
-    would begin where another one ends are taken in turn: of a chain, the odd ones. The merged line has A's number.
-    """
+def _breaks(numbered: DataFrame) -> DataFrame:
+    """Adds span (lines that a merge beginning here takes in, null if none can) and joined (the merged line) to lines with n1 to n4, the lines after each."""
     line = F.col("line")
-    ahead = lambda k: F.lead("line", k).over(_by_line())
-    numbered = lines.select("doc_id", "line_no", "line", F.row_number().over(_by_line()).alias("i"), *[ahead(k).alias(f"n{k}") for k in range(1, 5)])
     s = strip(line)
     opens = (s != "") & ~line.rlike(HEADING) & ~s.startswith(">") & ~s.startswith("<!--") & ~line.rlike(SENTENCE_END)
     five = opens & is_blank(F.col("n1")) & strip(F.col("n2")).rlike(PAGE_MARKER) & is_blank(F.col("n3")) & ~is_blank(F.col("n4")) & ~F.col("n4").rlike(HEADING)
     three = opens & is_blank(F.col("n1")) & ~is_blank(F.col("n2")) & ~F.col("n2").rlike(HEADING) & strip(F.col("n2")).rlike(CONTINUES)
-    span = F.when(F.coalesce(five, F.lit(False)), 4).when(F.coalesce(three, F.lit(False)), 2)
-    marked = numbered.withColumn("span", span)
+    spanned = numbered.withColumn("span", F.when(F.coalesce(five, F.lit(False)), 4).when(F.coalesce(three, F.lit(False)), 2))
+    a, b = rstrip(line), lstrip(F.when(F.col("span") == 4, F.col("n4")).otherwise(F.col("n2")))
+    joined = F.when(a.endswith("-"), F.concat(F.regexp_replace(a, "-$", ""), b)).when(F.col("span") == 4, F.concat(a, b)).otherwise(F.concat(a, F.lit(" "), b))
+    return spanned.withColumn("joined", F.when(F.col("span").isNotNull(), joined))
+
+
+def _ahead(w: WindowSpec) -> list[Column]:
+    return [F.lead("line", k).over(w).alias(f"n{k}") for k in range(1, 5)]
+
+
+def merge_page_breaks(lines: DataFrame, block: int = BLOCK) -> DataFrame:
+    """One line of a paragraph that a page break cut in two; a word's hyphen at the cut goes.
+
+    A + blank + B where A doesn't end a sentence and B goes on in small letters, or A + blank + page mark + blank + B. Merges that
+    would begin where another one ends are taken in turn: of a chain, the odd ones. The merged line has A's number.
+
+    Documents with line numbers of ``block`` and more are worked on in blocks, so that no task sorts one whole.
+    """
+    huge = lines.groupBy("doc_id").agg(F.max("line_no").alias("n")).where(F.col("n") >= block).select("doc_id")
+    huge = save(huge)
+    if huge.isEmpty():
+        return _merge_by_document(lines)
+    known = hinted(huge, huge.count())
+    return _merge_by_document(lines.join(known, "doc_id", "left_anti")).unionByName(_merge_by_block(lines.join(known, "doc_id", "left_semi"), block))
+
+
+def _merge_by_document(lines: DataFrame) -> DataFrame:
+    marked = _breaks(lines.select("doc_id", "line_no", "line", F.row_number().over(_by_line()).alias("i"), *_ahead(_by_line())))
     # a candidate continues a chain if it begins at the end of the nearest candidate before it
     before = Window.partitionBy("doc_id").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
     ends = F.last(F.when(F.col("span").isNotNull(), F.col("i") + F.col("span")), True).over(before)
@@ -109,10 +130,25 @@ def merge_page_breaks(lines: DataFrame) -> DataFrame:
     place = F.sum(F.when(F.col("span").isNotNull(), 1)).over(Window.partitionBy("doc_id", "chain").orderBy("i"))
     taken = chained.withColumn("merge", F.col("span").isNotNull() & (place % 2 == 1))
     covered = F.last(F.when(F.col("merge"), F.col("i") + F.col("span")), True).over(before)
-    a, b = rstrip(line), lstrip(F.when(F.col("span") == 4, F.col("n4")).otherwise(F.col("n2")))
-    joined = F.when(a.endswith("-"), F.concat(F.regexp_replace(a, "-$", ""), b)).when(F.col("span") == 4, F.concat(a, b)).otherwise(F.concat(a, F.lit(" "), b))
     kept = taken.withColumn("covered", covered).where("merge OR covered IS NULL OR i > covered")
-    return kept.select("doc_id", "line_no", F.when(F.col("merge"), joined).otherwise(line).alias("line"))
+    return kept.select("doc_id", "line_no", F.when(F.col("merge"), F.col("joined")).otherwise(F.col("line")).alias("line"))
+
+
+def _merge_by_block(lines: DataFrame, block: int) -> DataFrame:
+    """The same; a block also sees the first four lines of the next one. Chains run over candidates alone, two numbers each."""
+    part = F.floor((F.col("i") - 1) / block)
+    seen = counted(lines.select("doc_id", "line_no", "line"), F.lit(True), "i", block=block).withColumn("own", part)
+    edge = ((F.col("i") - 1) % block < 4) & (F.col("own") > 0)
+    shown = seen.withColumn("part", F.explode(F.when(edge, F.array("own", F.col("own") - 1)).otherwise(F.array("own"))))
+    w = Window.partitionBy("doc_id", "part").orderBy("i")
+    marked = save(_breaks(shown.select("doc_id", "line_no", "line", "i", "own", "part", *_ahead(w))).where("own = part").select("doc_id", "line_no", "line", "i", "span", "joined"))
+    by_place = Window.partitionBy("doc_id").orderBy("i")
+    chained = marked.where("span IS NOT NULL").select("doc_id", "i", "span", (~F.lag(F.col("i") + F.col("span")).over(by_place).eqNullSafe(F.col("i"))).cast("int").alias("begins"))
+    chained = chained.withColumn("chain", F.sum("begins").over(by_place))
+    odd = chained.withColumn("place", F.row_number().over(Window.partitionBy("doc_id", "chain").orderBy("i"))).where("place % 2 = 1")
+    taken = odd.select("doc_id", F.explode(F.sequence(F.lit(0), F.col("span"))).alias("k"), "i").select("doc_id", (F.col("i") + F.col("k")).alias("i"), (F.col("k") == 0).alias("merge"))
+    kept = marked.join(taken, ["doc_id", "i"], "left").where("merge IS NULL OR merge")
+    return kept.select("doc_id", "line_no", F.when(F.col("merge"), F.col("joined")).otherwise(F.col("line")).alias("line"))
 
 
 def clean(lines: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from quireworks.functions.carry import carried, counted
 from quireworks.functions.lineage import save_bucketed
-from quireworks.operators import index, validate
+from quireworks.operators import clean, index, validate
 from quireworks.plans import chunking
 from quireworks.sources.documents import write_chunk_table
 
@@ -44,6 +44,17 @@ def test_blocks_equal_whole_windows(spark, block):
     assert rows(chunking.parse_sections(sized, block)) == rows(chunking.parse_sections(sized))
 
 
+@pytest.mark.parametrize("block", [5, 64, 400])
+def test_merges_by_block_equal_merges_by_document(spark, block):
+    rng = random.Random(block)
+    parts = ["", "", "an open line", "and it goes on", "which ends.", "[12]", "broken-", "# Heading", "> quoted", "Then more", "(so)"]
+    made = [(d, k + 1, rng.choice(parts)) for d, n in ((1, 1500), (2, 700), (3, 30), (4, 3)) for k in range(n)]
+    made += [(5, k + 1, "" if k % 2 else "goes on") for k in range(999)]  # a chain through all blocks
+    lines = spark.createDataFrame(made, "doc_id bigint, line_no int, line string")
+    whole = rows(clean.merge_page_breaks(lines))
+    assert rows(clean.merge_page_breaks(lines, block)) == whole and len(whole) < len(made)
+
+
 def test_windows_hold_no_whole_document(spark):
     """The largest group that a window sorts is a block, not a document."""
     lines = spark.range(10_000).select(F.lit(1).alias("doc_id"), F.col("id").alias("line_no"), F.when(F.col("id") % 997 == 3, F.col("id")).alias("v"))
