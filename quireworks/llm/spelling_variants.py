@@ -47,6 +47,8 @@ WORDS_OF_THREE = 2_000_000
 TASK_WORDS = 60_000
 #: Pairs of words below two nodes up to which they are compared at once, and of words with equal vectors beyond which masks are used.
 FEW_PAIRS, MANY_PAIRS = 8, 4096
+#: Pairs, of nodes or of words, that are held at once.
+AT_ONCE = 1 << 17
 #: Word lengths up to which letters are compared as a matrix.
 SHORT = 48
 SAME, LONGER = 0, 1  # queries of words of equal length, and of words with a letter less
@@ -148,38 +150,52 @@ def _ranges(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return of, np.arange(len(of)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
 
 
+def _slices(sizes: np.ndarray, most: int) -> Iterator[slice]:
+    """Neighbours whose sizes add up to ``most``, or a single larger one."""
+    upto, at = np.cumsum(sizes), 0
+    while at < len(sizes):
+        end = max(at + 1, int(np.searchsorted(upto, most + (upto[at - 1] if at else 0), side="right")))
+        yield slice(at, end)
+        at = end
+
+
 def _search(asked: _Trie, stored: _Trie, surplus: int, deficit: int) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
-    """Rows of both tries, in sorted order, that may differ by these; True marks two ranges (first and end of each) of equal or near vectors instead."""
+    """Rows of both tries, in sorted order, that may differ by these; True marks two ranges (first and end of each) of equal or near vectors instead.
+
+    Depth first: pairs of nodes of a level are taken ``AT_ONCE`` at a time, and what they lead to before the others.
+    """
     levels = len(asked.value)
-    a = b = np.zeros(1, dtype=np.int64)
-    s, d = np.full(1, surplus), np.full(1, deficit)
-    for level in range(levels + 1):
+    root = np.zeros(1, dtype=np.int64)
+    todo = [(0, root, root, np.full(1, surplus), np.full(1, deficit))]
+    while todo:
+        level, a, b, s, d = todo.pop()
         na, nb = asked.ends[level][a] - asked.starts[level][a], stored.ends[level][b] - stored.starts[level][b]
         pairs = na * nb
         last = level == levels
-        few = (pairs <= (MANY_PAIRS if last else FEW_PAIRS)) & (level > 0)
-        of, within = _ranges(pairs[few])
-        if len(of):
-            wide = nb[few][of]
-            yield asked.starts[level][a[few]][of] + within // wide, stored.starts[level][b[few]][of] + within % wide, False
-        a, b, s, d = a[~few], b[~few], s[~few], d[~few]
+        few = np.flatnonzero((pairs <= (MANY_PAIRS if last else FEW_PAIRS)) & (level > 0))
+        for part in _slices(pairs[few], AT_ONCE):
+            some = few[part]
+            of, within = _ranges(pairs[some])
+            wide = nb[some][of]
+            yield asked.starts[level][a[some]][of] + within // wide, stored.starts[level][b[some]][of] + within % wide, False
+        rest = np.ones(len(a), dtype=bool)
+        rest[few] = False
+        a, b, s, d = a[rest], b[rest], s[rest], d[rest]
         if last:
             for x, y in zip(a, b, strict=True):
                 yield np.array([asked.starts[level][x], asked.ends[level][x]]), np.array([stored.starts[level][y], stored.ends[level][y]]), True
-            return
+            continue
         if not len(a):
-            return
+            continue
         of, within = _ranges(asked.first_child[level][a + 1] - asked.first_child[level][a])
         child = asked.first_child[level][a][of] + within
         value, b, s, d = asked.value[level][child], b[of], s[of], d[of]
-        found = []
         for step in (0, 1, -1) if level else (0,):  # the topmost level is the shard
             may = np.flatnonzero(s > 0 if step > 0 else d > 0 if step < 0 else np.ones(len(s), dtype=bool))
             to = stored.child(level, b[may], value[may] + step)
             hit = to >= 0
-            may = may[hit]
-            found.append((child[may], to[hit], s[may] - (step > 0), d[may] - (step < 0)))
-        a, b, s, d = (np.concatenate(x) for x in zip(*found, strict=True))
+            may, to = may[hit], to[hit]
+            todo += [(level + 1, child[may[i]], to[i], s[may[i]] - (step > 0), d[may[i]] - (step < 0)) for k in range(0, len(may), AT_ONCE) for i in [slice(k, k + AT_ONCE)]]
 
 
 def _differ_once(x: _Words, y: _Words, i: np.ndarray, j: np.ndarray, kind: int) -> np.ndarray:
@@ -242,8 +258,8 @@ def near_words(words: np.ndarray, keys: np.ndarray, kinds: np.ndarray) -> tuple[
                 i, j = i[met[:, 0]], j[met[:, 1]]
             else:
                 i, j = left.order[rows_a], right.order[rows_b]
-            for at in range(0, len(i), 1 << 19):
-                p, q = i[at : at + (1 << 19)], j[at : at + (1 << 19)]
+            for at in range(0, len(i), AT_ONCE):
+                p, q = i[at : at + AT_ONCE], j[at : at + AT_ONCE]
                 more = stored.counts[q] - asked.counts[p]
                 near = (np.maximum(more, 0).sum(axis=1) <= 1 - kind) & (np.maximum(-more, 0).sum(axis=1) <= 1)
                 p, q = p[near], q[near]
