@@ -134,9 +134,9 @@ def tag_stats(descriptions: DataFrame, k: int = 3) -> DataFrame:
     return n.withColumn("rank", F.row_number().over(w).cast("int")).where(F.col("rank") <= k).join(df, "tag").select("doc_id", "tag", "n", "df", "rank")
 
 
-def retrieve(queries: DataFrame, descriptions: DataFrame, k: int = 5, by_rarity: bool = False, common: float = 0.05) -> DataFrame:
+def retrieve(queries: DataFrame, descriptions: DataFrame, k: int = 5, most_share: float = 1.0, by_rarity: bool = False, common: float = 0.05) -> DataFrame:
     """query_id, rank, doc_id, chunk_no, score: the ``k`` chunks whose main line, subtopics and tags share most terms with the query; with ``by_rarity`` a term counts
-    one more for each halving of the share of chunks that have it.
+    one more for each halving of the share of chunks that have it. Terms in more than ``most_share`` of the chunks are left out.
 
     Only postings of queried terms are kept. Rare terms are scored first; their k-th best score is a bound that what enters must reach. Where it is more than all
     of a query's common terms (in more than ``common`` of the chunks) can add up to, chunks with common terms alone are out, and common terms are counted for those chunks alone
@@ -152,7 +152,7 @@ def retrieve(queries: DataFrame, descriptions: DataFrame, k: int = 5, by_rarity:
     total = described.count()
     n = postings.groupBy("term").agg(F.count("*").alias("n"))
     weight = F.length(F.bin(F.floor(F.lit(total) / F.col("n")))) if by_rarity else F.lit(1)
-    weighted = save(asked.join(n, "term").select("query_id", "term", weight.cast("bigint").alias("weight"), (F.col("n") > common * total).alias("common")))
+    weighted = save(asked.join(n.where(F.col("n") <= most_share * total), "term").select("query_id", "term", weight.cast("bigint").alias("weight"), (F.col("n") > common * total).alias("common")))
     n_weighted = weighted.count()
 
     def scored(terms: DataFrame) -> DataFrame:

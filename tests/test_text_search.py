@@ -135,6 +135,6 @@ def test_retrieval_equals_full_scoring(spark, common, by_rarity):
         scores = sorted((-sum(weight[t] for t in terms(text) & h), k) for k, h in held.items() if terms(text) & h)
         want += [(q, r, *k, -s) for r, (s, k) in enumerate(scores[:5], 1)]
     described = spark.createDataFrame(chunks, "doc_id bigint, chunk_no bigint, main string, subtopics array<string>, tags array<string>")
-    found = index.retrieve(spark.createDataFrame(queries, "query_id bigint, text string"), described, 5, by_rarity, common)
+    found = index.retrieve(spark.createDataFrame(queries, "query_id bigint, text string"), described, 5, by_rarity=by_rarity, common=common)
     assert rows(found, "query_id", "rank", "doc_id", "chunk_no", "score") == sorted(want, key=repr)
     assert "WindowGroupLimit" in found._jdf.queryExecution().executedPlan().toString()
