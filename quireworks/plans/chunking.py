@@ -251,10 +251,15 @@ def token_budget(docs: DataFrame, chunks: DataFrame, batch: int = 35) -> DataFra
 
 
 def lines_in_chunks(lines: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Adds chunk_no to lines, and drops those in none: a chunk's number is carried on from its first line."""
-    opens = chunks.select("doc_id", F.col("start").alias("line_no"), F.struct("chunk_no", "end").alias("c"))
-    carried = lines.join(opens, ["doc_id", "line_no"], "left").withColumn("at", F.last("c", True).over(_by_line()))
-    return carried.where("line_no <= at.end").select("doc_id", "line_no", "line", F.col("at.chunk_no").alias("chunk_no"))
+    """Adds chunk_no to lines, and drops those in none.
+
+    A chunk's line numbers, in blocks, meet the lines by equality: chunks don't overlap, and no task sorts a whole document.
+    """
+    first, last = F.floor(F.col("start") / BLOCK), F.floor(F.col("end") / BLOCK)
+    cut = chunks.where("start <= end").select("doc_id", "chunk_no", "start", "end", F.explode(F.sequence(first, last)).alias("block"))
+    numbers = F.sequence(F.greatest("start", (F.col("block") * BLOCK).cast("int")), F.least("end", ((F.col("block") + 1) * BLOCK - 1).cast("int")))
+    placed = cut.select("doc_id", "chunk_no", F.explode(numbers).alias("line_no"))
+    return lines.join(placed, ["doc_id", "line_no"]).select("doc_id", "line_no", "line", "chunk_no")
 
 
 def _ordered(value: Column) -> Column:
