@@ -14,7 +14,7 @@ from pyspark.sql.window import WindowSpec
 from quireworks.functions.automaton import phrases_in
 from quireworks.functions.carry import BLOCK, carried
 from quireworks.functions.fingerprints import key_of, keys
-from quireworks.functions.lineage import hinted, save
+from quireworks.functions.lineage import BROADCAST_ROWS, hinted, save
 from quireworks.functions.text import CJK_WIDE, heading_level, is_blank, plain, strip
 from quireworks.operators.cite import orphan_keys, unused
 
@@ -107,7 +107,7 @@ def find_verbatim(quotes: DataFrame, chunks: DataFrame) -> DataFrame:
     segments, each after the one before, as ``check_verbatim`` has it.
 
     Candidates meet by a key of the longest segment's beginning: a winnowed fingerprint if it has 32 characters, else its first 16, 8, 4, 2 or 1. Bodies give keys of the asked
-    lengths alone, and these are filtered by the asked keys before anything is shuffled. Quotes without a segment, null bodies and chunks without ids are in no row.
+    lengths alone, and these are filtered by the asked keys before anything is shuffled (in the tasks themselves, if few are asked for). Quotes without a segment, null bodies and chunks without ids are in no row.
     """
     parts = segments(F.col("quote"))
     longest = F.array_max(F.transform("parts", lambda s: F.struct(F.length(s).alias("n"), s.alias("s"))))["s"]
@@ -120,6 +120,11 @@ def find_verbatim(quotes: DataFrame, chunks: DataFrame) -> DataFrame:
     asked = save(quotes.select("quote_id", parts.alias("parts")).where(F.size("parts") > 0).withColumn("k", asked_key(longest)).select("quote_id", "parts", "k.*"))
     wanted = asked.select("size", "key").distinct()
     sizes = sorted(r[0] for r in wanted.select("size").distinct().collect())  # six numbers at most
+    n_asked = asked.count()
+    few: dict[int, np.ndarray] = {}  # keys by size, where they are few enough to go to every task
+    if n_asked <= BROADCAST_ROWS:
+        rows = wanted.collect()
+        few = {size: np.unique(np.array([r["key"] for r in rows if r["size"] == size], dtype=np.int64)) for size in sizes}
     names = ["doc_id", "chunk_no", "size", "key"]
     kinds = T.StructType([*(T.StructField(c, chunks.schema[c].dataType) for c in names[:2]), T.StructField("size", T.IntegerType()), T.StructField("key", T.LongType())])
 
@@ -128,11 +133,13 @@ def find_verbatim(quotes: DataFrame, chunks: DataFrame) -> DataFrame:
             for i, body in enumerate(batch.column("body")):
                 for size in sizes:
                     found = keys(body.as_py(), size)
+                    if few:
+                        found = np.intersect1d(found, few[size], assume_unique=True)
                     at = pa.array(np.full(len(found), i))
                     yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(at), batch.column("chunk_no").take(at), pa.array(np.full(len(found), size, dtype=np.int32)), pa.array(found)], names)
 
     bodies = chunks.where("body IS NOT NULL").select("doc_id", "chunk_no", "body")
-    met = save(bodies.mapInArrow(work, kinds).join(hinted(wanted, asked.count()), ["size", "key"], "left_semi"))
+    met = save(bodies.mapInArrow(work, kinds).join(hinted(wanted, n_asked), ["size", "key"], "left_semi"))
     places = met.select("doc_id", "chunk_no").distinct()
     held = bodies.join(hinted(places, met.count()), ["doc_id", "chunk_no"], "left_semi")
     tried = met.join(asked, ["size", "key"]).join(held, ["doc_id", "chunk_no"])
