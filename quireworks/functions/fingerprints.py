@@ -16,8 +16,14 @@ _FACTOR, _SPREAD = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 _INVERSE = pow(_FACTOR, -1, 1 << 64)
 
 
+_KEPT: dict[int, np.ndarray] = {}
+
+
 def _powers(base: int, n: int) -> np.ndarray:
-    return np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n, base, np.uint64)]))
+    """The first ``n`` powers of a base and 1; kept, as every text asks for them."""
+    if base not in _KEPT or len(_KEPT[base]) <= n:
+        _KEPT[base] = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(max(2 * n, 1 << 15), base, np.uint64)]))
+    return _KEPT[base][: n + 1]
 
 
 def _grams(code: np.ndarray, n: int) -> np.ndarray:
