@@ -82,3 +82,16 @@ def test_bucketed_tables_move_no_rows(spark):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
         spark.sql("DROP TABLE IF EXISTS qw_test_chunks")
+
+
+def test_lines_meet_chunks_without_broadcast(spark):
+    """A few chunks of many lines each: their line numbers are as many as the lines, so they go to no driver."""
+    lines = spark.range(20_000).select((F.col("id") % 4).alias("doc_id"), (F.floor(F.col("id") / 4) + 1).cast("int").alias("line_no"), F.concat(F.lit("line "), "id").alias("line"))
+    chunks = spark.range(4).select(F.col("id").alias("doc_id"), F.lit(1).alias("chunk_no"), F.lit(2).alias("start"), F.lit(4000).alias("end"))
+    found = chunking.lines_in_chunks(lines, chunks)
+    assert found.count() == 4 * 3999
+    texts = chunking.chunk_text(lines, chunks)
+    assert [len(r.body.split("\n")) for r in texts.collect()] == [3999] * 4
+    for df in (found, texts):
+        df.collect()
+        assert "BroadcastExchange" not in df._jdf.queryExecution().executedPlan().toString()
