@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quireworks.functions import carry
-from quireworks.functions.lineage import hinted, save
+from quireworks.functions.lineage import hinted, save, save_bucketed
 from quireworks.functions.text import heading_level, heading_text, is_blank, strip, terms_of
 
 BLOCK = r"^chunk-(\d+)\.md:\s*(.+)$"
@@ -138,7 +138,7 @@ def retrieve(queries: DataFrame, descriptions: DataFrame, k: int = 5, most_share
     """query_id, rank, doc_id, chunk_no, score: the ``k`` chunks whose main line, subtopics and tags share most terms with the query; with ``by_rarity`` a term counts
     one more for each halving of the share of chunks that have it. Terms in more than ``most_share`` of the chunks are left out.
 
-    Only postings of queried terms are kept. Rare terms are scored first; their k-th best score is a bound that what enters must reach. Where it is more than all
+    Only postings of queried terms are kept, dealt out by document once, so that a chunk's scores are added up where its postings are. Rare terms are scored first; their k-th best score is a bound that what enters must reach. Where it is more than all
     of a query's common terms (in more than ``common`` of the chunks) can add up to, chunks with common terms alone are out, and common terms are counted for those chunks alone
     that can still reach the bound. Other queries are scored in full. Spark keeps a query's first ``k`` of each task before it ranks them, so no task takes a
     query's whole list. Ties go to smaller ids; chunks without ids take no part.
@@ -148,7 +148,8 @@ def retrieve(queries: DataFrame, descriptions: DataFrame, k: int = 5, most_share
     asked = save(queries.select("query_id", F.explode(terms_of(F.col("text"))).alias("term")).distinct())
     wanted = asked.select("term").distinct()
     described = descriptions.where("doc_id IS NOT NULL AND chunk_no IS NOT NULL")
-    postings = save(described.select("doc_id", "chunk_no", F.explode(terms_of(said)).alias("term")).distinct().join(hinted(wanted, wanted.count()), "term", "left_semi"))
+    said_terms = described.select("doc_id", "chunk_no", F.explode(terms_of(said)).alias("term")).join(hinted(wanted, wanted.count()), "term", "left_semi")
+    postings = save_bucketed(said_terms.select("doc_id", "chunk_no", "term"), "doc_id").distinct()
     total = described.count()
     n = postings.groupBy("term").agg(F.count("*").alias("n"))
     weight = F.length(F.bin(F.floor(F.lit(total) / F.col("n")))) if by_rarity else F.lit(1)
@@ -168,8 +169,9 @@ def retrieve(queries: DataFrame, descriptions: DataFrame, k: int = 5, most_share
     bounded = save(rest.join(bound, "query_id", "left").withColumn("sure", (F.col("rest") == 0) | (F.coalesce("found", F.lit(0)) == k) & (F.col("rest") < F.col("bound"))))
     n_queries = bounded.count()
     sure, unsure = hinted(bounded.where("sure"), n_queries), hinted(bounded.where("NOT sure").select("query_id"), n_queries)
-    able = save(rare.join(sure, "query_id").where(F.col("score") + F.col("rest") >= F.coalesce("bound", F.lit(0))).select(*ids, "score"))
-    more = scored(weighted.where("common")).select(*ids, "weight").join(hinted(able.select(*ids), able.count()), ids, "left_semi")
+    able = save_bucketed(rare.join(sure, "query_id").where(F.col("score") + F.col("rest") >= F.coalesce("bound", F.lit(0))).select(*ids, "score"), "doc_id")
+    # from the pairs that are left to their chunks' terms: all common terms with all their queries would be many times as many
+    more = able.select(*ids).join(postings, ["doc_id", "chunk_no"]).join(hinted(weighted.where("common").select("query_id", "term", "weight"), n_weighted), ["query_id", "term"]).select(*ids, "weight")
     added = able.unionByName(more.withColumnRenamed("weight", "score")).groupBy(*ids).agg(F.sum("score").alias("score"))
     in_full = scored(weighted.join(unsure, "query_id", "left_semi")).groupBy(*ids).agg(F.sum("weight").alias("score"))
     return first(added.unionByName(in_full)).select("query_id", "rank", "doc_id", "chunk_no", "score")
