@@ -10,6 +10,7 @@ from conftest import rows
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from quireworks.functions import arrow
 from quireworks.functions.carry import carried, counted
 from quireworks.functions.lineage import save_bucketed
 from quireworks.operators import clean, index, validate
@@ -95,3 +96,16 @@ def test_lines_meet_chunks_without_broadcast(spark):
     for df in (found, texts):
         df.collect()
         assert "BroadcastExchange" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("job", [lambda p: arrow.html_footnotes(p), lambda p: arrow.html_to_markdown(p), lambda p: arrow.markdown_with_notes(p), lambda p: arrow.read_epub_spine(p.selectExpr("'x' AS path", "CAST(html AS BINARY) AS content"))])
+def test_workers_hold_few_pages(spark, job):
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    spark.conf.unset(name)
+    try:
+        pages = spark.range(0, 1000, 1, 1).select(F.col("id").alias("page_id"), F.lit("<p>x</p>").alias("html"))
+        job(pages).count()
+        sizes = pages.mapInPandas(lambda batches: (b.assign(n=len(b))[["n"]] for b in batches), "n bigint")
+        assert sizes.agg(F.max("n")).first()[0] <= arrow.BATCH_PAGES
+    finally:
+        spark.conf.unset(name)
