@@ -109,3 +109,25 @@ def test_workers_hold_few_pages(spark, job):
         assert sizes.agg(F.max("n")).first()[0] <= arrow.BATCH_PAGES
     finally:
         spark.conf.unset(name)
+
+
+def test_documents_are_folded_in_many_tasks(spark):
+    rows_ = spark.range(40).select("id", F.explode(F.sequence(F.lit(1), F.lit(3))).alias("n"))
+    sections = rows_.select(F.col("id").alias("doc_id"), F.col("n").cast("int").alias("section_no"), F.lit(2).alias("level"), F.lit("h").alias("heading"), (F.col("n") * 10).cast("int").alias("start"), (F.col("n") * 10 + 9).cast("int").alias("end"), F.lit(200).cast("bigint").alias("units"), F.lit(False).alias("is_toc"), *(F.lit(k).cast("bigint").alias(c) for c, k in (("least", 150), ("most", 1200), ("forced", 2500))))
+    planned = chunking.plan_chunks(sections)
+    assert planned.count() == 120
+    assert planned.select(F.spark_partition_id()).distinct().count() > 1
+
+
+def test_lines_and_chunks_are_made_once(spark, monkeypatch):
+    from conftest import DATA
+
+    from quireworks import fixtures
+    from quireworks.queries import QUERIES
+
+    made, real = [], fixtures.fx_lines
+    monkeypatch.setattr(fixtures, "fx_lines", lambda *a: made.append(1) or real(*a))
+    for name in ("i5_index_gaps", "i7_pending"):
+        made.clear()
+        QUERIES[name](spark, str(DATA))
+        assert len(made) == 1
