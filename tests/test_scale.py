@@ -10,7 +10,7 @@ from conftest import rows
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from quireworks.functions import arrow
+from quireworks.functions import arrow, text
 from quireworks.functions.carry import carried, counted
 from quireworks.functions.lineage import save_bucketed
 from quireworks.operators import clean, index, validate
@@ -131,3 +131,44 @@ def test_lines_and_chunks_are_made_once(spark, monkeypatch):
         made.clear()
         QUERIES[name](spark, str(DATA))
         assert len(made) == 1
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def _numbered_lines(spark, n=400):
+    text = F.when(F.col("id") % 20 == 0, F.concat(F.lit("# Title "), F.col("id") % 3)).when(F.col("id") % 2 == 1, F.lit("")).otherwise(F.concat(F.lit("goes on "), "id"))
+    return spark.range(n).select((F.col("id") % 4).alias("doc_id"), (F.floor(F.col("id") / 4) + 1).cast("int").alias("line_no"), text.alias("line"))
+
+
+def test_planning_moves_no_text(spark):
+    """Lines are measured in one pass; the windows, joins and aggregates of planning go without their text, and a plan is made once."""
+    lines = _numbered_lines(spark)
+    sections = chunking.sections_of(lines)
+    assert sections.count() > 0 and "line#" not in _plan(sections)
+    plan = chunking.plan_documents(lines)
+    assert plan.count() > 0 and "Exchange" not in _plan(plan)
+
+
+def test_white_space_is_that_of_the_patterns(spark):
+    points = spark.range(0x110000).where("id NOT BETWEEN 55296 AND 57343").select(F.decode(F.unhex(F.lpad(F.hex("id"), 8, "0")), "UTF-32").alias("c")).where("c != ''")  # a byte order mark is none
+    white = points.where(F.length(F.regexp_replace("c", text.SPACE, "")) == 0)
+    assert {r.c for r in white.collect()} == set(text.WHITE)
+    odd = ["", " ", "a", "  a\t", "　你 ", "a \x85", " b c ", "\x1c a", "a\n", "é  è 1"]
+    df = spark.createDataFrame([(x,) for x in [*odd, None]], "c string")
+    trimmed = df.select("c", F.regexp_replace("c", r"(?U)^\s+|\s+$", "").alias("want"), text.strip(F.col("c")).alias("got"))
+    assert all(r.want == r.got for r in trimmed.collect())
+    counts = df.select(F.length(F.regexp_replace("c", text.CJK_WIDE, "")).alias("want"), text.cjk_count(F.col("c")).alias("got"))
+    assert all(r.want == r.got for r in counts.collect())
+
+
+def test_measures_without_headings_and_numbers(spark):
+    """A line's number at its end, in any digits, before white space or none; blank lines have no words."""
+    made = ["Chapter one 12", " 7", "7", "x 7 ", "x7", "x ٣", "x 7.", "", "  ", "Part 二 3　", "a b  c"]
+    lines = spark.createDataFrame([(1, k + 1, x) for k, x in enumerate(made)], "doc_id bigint, line_no int, line string")
+    found = lines.join(chunking.line_measures(lines), ["doc_id", "line_no"])
+    for r in found.withColumn("numbered", F.col("line").rlike(chunking.TRAILING_NUMBER)).collect():
+        assert (r.entry is not None) == r.numbered, r
+        assert r.words == len(r.line.split()) and r.visible == len("".join(r.line.split()))
+    assert {r.line for r in found.where("entry").collect()} == {"Chapter one 12", "Part 二 3　"}
