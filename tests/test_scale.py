@@ -172,3 +172,21 @@ def test_measures_without_headings_and_numbers(spark):
         assert (r.entry is not None) == r.numbered, r
         assert r.words == len(r.line.split()) and r.visible == len("".join(r.line.split()))
     assert {r.line for r in found.where("entry").collect()} == {"Chapter one 12", "Part 二 3　"}
+
+
+def test_lines_are_sorted_once_for_merges(spark):
+    lines = _numbered_lines(spark)
+    plan = _plan(clean._merge_by_document(lines))
+    assert plan.count("Sort [") == 1 and plan.count("Exchange") == 1
+    # titles are ranked without the lines' text, which isn't shuffled by title
+    assert "Window" not in _plan(clean.dedupe_h1(lines, lines))
+    whole = clean.clean(lines)
+    again = [r.line for r in whole.where("line LIKE '# %'").collect()]
+    assert len(again) == len(whole.where("line LIKE '# %'").select("doc_id", "line").distinct().collect())
+
+
+def test_sentence_ends_are_the_pattern(spark):
+    lines = [f"a{x}{y}" for x in [*clean.ENDS, "b", ",", "-", "…"] for y in ("", " ", "　\t", "\x85", "\n", "b")]
+    df = spark.createDataFrame([(x,) for x in lines], "line string")
+    found = df.select(F.col("line").rlike(clean.SENTENCE_END).alias("want"), F.right(text.strip(F.col("line")), F.lit(1)).isin(*clean.ENDS).alias("got"))
+    assert all(r.want == r.got for r in found.collect())
