@@ -44,6 +44,7 @@ def map_chapters(chunks: DataFrame, chapters: DataFrame, block: int = carry.BLOC
 
     An as-of join without a range: both sides together by line, chapters first at equal lines, the last chapter carried on.
     """
+    chapters = save(chapters)
     a = chapters.select("doc_id", F.col("line_no").alias("at"), F.lit(0).alias("side"), F.col("heading").alias("chapter"), F.lit(None).cast("int").alias("chunk_no"), F.lit(None).cast("string").alias("own"))
     b = chunks.select("doc_id", F.col("start").alias("at"), F.lit(1).alias("side"), F.lit(None).cast("string").alias("chapter"), "chunk_no", F.col("heading").alias("own"))
     first = chapters.groupBy("doc_id").agg(F.min_by("heading", "line_no").alias("one"))

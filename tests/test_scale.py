@@ -190,3 +190,17 @@ def test_sentence_ends_are_the_pattern(spark):
     df = spark.createDataFrame([(x,) for x in lines], "line string")
     found = df.select(F.col("line").rlike(clean.SENTENCE_END).alias("want"), F.right(text.strip(F.col("line")), F.lit(1)).isin(*clean.ENDS).alias("got"))
     assert all(r.want == r.got for r in found.collect())
+
+
+def test_headings_and_chapters_are_made_once(spark):
+    """They are written down, as the steps after them read them four times."""
+    from conftest import DATA
+
+    from quireworks.queries import QUERIES
+
+    lines = _numbered_lines(spark)
+    chapters = lines.where("line LIKE '# Title 1%'").select("doc_id", "line_no", F.col("line").alias("heading"))
+    chunks = lines.where("line_no % 13 = 0").select("doc_id", (F.col("line_no") / 13).cast("int").alias("chunk_no"), F.col("line_no").alias("start"), F.lit("own").alias("heading"))
+    mapped = index.map_chapters(chunks, chapters)
+    assert mapped.count() == chunks.count() and "Title 1" not in _plan(mapped)
+    assert "RLIKE" not in _plan(QUERIES["i4_chapter_groups"](spark, str(DATA)))
