@@ -67,13 +67,20 @@ def index_gaps(chunks: DataFrame, descriptions: DataFrame) -> DataFrame:
 
 
 def doc_meta(lines: DataFrame, section: str = "引用信息") -> DataFrame:
-    """doc_id, title (first level-1 line), citation (the lines of the section named ``section``, or a placeholder)."""
+    """doc_id, title (first level-1 line), citation (the lines of the section named ``section``, or a placeholder).
+
+    Lines are read several times; only those of documents that have such a section go through the window.
+    """
     line = F.col("line")
     w = Window.partitionBy("doc_id").orderBy("line_no")
-    state = F.when(strip(line) == f"## {section}", 1).when(line.startswith("## "), 0)
-    seen = lines.withColumns({"state": state, "inside": F.coalesce(F.last(state, True).over(w), F.lit(0))})
-    cited = F.when((F.col("inside") == 1) & F.col("state").isNull() & ~is_blank(line), F.struct("line_no", strip(line).alias("v")))
-    rows = seen.groupBy("doc_id").agg(F.min_by(strip(F.substr(line, F.lit(3))), F.when(line.startswith("# "), F.col("line_no"))).alias("title"), F.array_join(F.transform(F.sort_array(F.collect_list(cited)), lambda x: x["v"]), "\n").alias("c"))
+    opens = strip(line) == f"## {section}"
+    having = save(lines.where(opens).select(F.col("doc_id").alias("d")).distinct())
+    state = F.when(opens, 1).when(line.startswith("## "), 0)
+    told = lines.join(hinted(having, having.count()), F.col("doc_id").eqNullSafe(F.col("d")), "left_semi").select("doc_id", "line_no", state.alias("state"), strip(line).alias("v")).where("state IS NOT NULL OR v != ''")
+    cited = told.withColumn("inside", F.last("state", True).over(w)).where("inside = 1 AND state IS NULL")
+    citations = cited.groupBy("doc_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line_no", "v"))), lambda x: x["v"]), "\n").alias("c"))
+    titles = lines.where(line.startswith("# ")).groupBy("doc_id").agg(F.min_by(strip(F.substr(line, F.lit(3))), "line_no").alias("title"))
+    rows = lines.select("doc_id").distinct().unionByName(titles, True).unionByName(citations, True).groupBy("doc_id").agg(F.max("title").alias("title"), F.max("c").alias("c"))
     return rows.select("doc_id", F.coalesce("title", F.lit("未知文献")).alias("title"), F.when(F.col("c") != "", F.col("c")).otherwise("[引用信息待补充]").alias("citation"))
 
 

@@ -204,3 +204,25 @@ def test_headings_and_chapters_are_made_once(spark):
     mapped = index.map_chapters(chunks, chapters)
     assert mapped.count() == chunks.count() and "Title 1" not in _plan(mapped)
     assert "RLIKE" not in _plan(QUERIES["i4_chapter_groups"](spark, str(DATA)))
+
+
+def test_index_reads_the_books_that_it_cuts(spark, monkeypatch):
+    from conftest import DATA
+
+    from quireworks import fixtures
+    from quireworks.queries import QUERIES, records
+
+    made, real = [], fixtures.fx_lines
+    for module in (fixtures, records):
+        monkeypatch.setattr(module, "fx_lines", lambda *a: made.append(1) or real(*a))
+    QUERIES["s8_render_index"](spark, str(DATA))
+    assert len(made) == 1
+
+
+def test_citations_of_documents_with_sections(spark):
+    """Two sections, one that is empty, and none; only documents that have one go through a window."""
+    texts = {1: ["# A", "x", "## 引用信息 ", " one ", "", "# B", "## end", "no", "## 引用信息", "two"], 2: ["no title", "## 引用信息", " "], 3: ["# ", "# C", "## other", "y"], None: ["# N", "## 引用信息", "n"]}
+    lines = spark.createDataFrame([(d, k + 1, x) for d, t in texts.items() for k, x in enumerate(t)], "doc_id bigint, line_no int, line string")
+    found = index.doc_meta(lines)
+    assert rows(found) == [(1, "A", "one\n# B\ntwo"), (2, "未知文献", "[引用信息待补充]"), (3, "", "[引用信息待补充]"), (None, "N", "n")]
+    assert "LeftSemi" in _plan(found)
